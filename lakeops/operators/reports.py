@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeops.functions.text import escape_cell, truncate_cell
-from lakeops.plans.numbering import number_rows
+from lakeops.operators.numbering import number_rows
 
 # Place of each severity in a report; any other severity comes last.
 SEVERITY_RANK = {
