@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def decoded_text(value: Column) -> Column:
     """The text shown for a cell value: UTF-8 if printable, otherwise Base64."""
-    return F.when(is_binary(value), F.base64(value)).otherwise(value.cast("string"))
+    one_line = F.translate(F.base64(value), "\r\n", "")
+    return F.when(is_binary(value), one_line).otherwise(value.cast("string"))
 
 
 def is_binary(value: Column) -> Column:

@@ -230,7 +230,7 @@ def state_counts(apps: DataFrame) -> DataFrame:
     )
 
 
-def _order(df: DataFrame, key: str, direction: str, position: str) -> list[Column]:
+def sort_order(df: DataFrame, key: str, direction: str, position: str) -> list[Column]:
     if direction not in ("asc", "desc"):
         raise ValueError(f"unknown direction {direction!r}")
     value = F.col(key)
@@ -246,7 +246,7 @@ def sort_by(
 
     Ties keep the source order, given by the ``position`` column, in both directions.
     """
-    return apps.orderBy(*_order(apps, key, direction, position))
+    return apps.orderBy(*sort_order(apps, key, direction, position))
 
 
 @dataclass(frozen=True)

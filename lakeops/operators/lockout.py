@@ -102,7 +102,7 @@ def lockouts(
             parts.where(F.col("stretch").isNotNull()), max_attempts, lockout
         )
 
-        def enter_and_fold(key, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        def enter_and_fold(key: tuple, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
             state = FRESH if entry.empty else (int(entry["count"][0]), int(entry["until"][0]))
             return outcomes(pdf, state)
 
@@ -133,7 +133,7 @@ def _entry_states(parts: DataFrame, max_attempts: int, lockout: int) -> DataFram
         "until_at long"
     )
 
-    def summarise(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["at", "seq"], kind="stable")
         exits = Exits(pdf["at"].to_numpy(), pdf["success"].to_numpy(), max_attempts, lockout)
         unlocked = [exits.from_count(count) for count in range(max_attempts)]
@@ -144,7 +144,7 @@ def _entry_states(parts: DataFrame, max_attempts: int, lockout: int) -> DataFram
         both = pd.concat([counts, locks], ignore_index=True).assign(user=key[0], part=key[1])
         return both[["user", "part", "kind", *names]]
 
-    def follow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def follow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         state, entries = FRESH, []
         for part, lines in pdf.sort_values(["part", "kind", "at"]).groupby("part"):
             entries.append((key[0], part, *state))

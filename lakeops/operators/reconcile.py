@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeops.operators.analytics import boundary_aggregate, boundary_timestamp_count
 
@@ -55,6 +56,13 @@ def normalise_timestamps(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({name: normalise_timestamp(F.col(name)) for name in names})
 
 
+def timestamp_text(df: DataFrame, column: str) -> Column:
+    """A timestamp to the microsecond: typed columns are printed, text is normalised."""
+    if isinstance(df.schema[column].dataType, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_format(column, TIMESTAMP_FORMAT)
+    return normalise_timestamp(F.col(column))
+
+
 @dataclass(frozen=True)
 class _Side:
     alias: str
@@ -65,14 +73,12 @@ class _Side:
 
 def _differs(rule: str, left: Column, right: Column, strict: bool) -> Column:
     """True where the rule fails; a null matches only a null."""
-    if rule == "exact":
+    if rule in ("exact", "timestamp"):
         return ~left.eqNullSafe(right)
     if rule == "date":
         return ~F.substring(left.cast("string"), 1, 10).eqNullSafe(
             F.substring(right.cast("string"), 1, 10)
         )
-    if rule == "timestamp":
-        return ~normalise_timestamp(left).eqNullSafe(normalise_timestamp(right))
     if rule == "int":
         return ~left.cast("long").eqNullSafe(right.cast("long"))
     if rule == "decimal":
@@ -102,8 +108,13 @@ def reconcile(
     """
     rules = rules or {c: "exact" for c in expected.columns if c not in keys}
     left, right = _Side("e"), _Side("a")
-    e = expected.select(*keys, *rules).withColumn("_here", F.lit(True)).alias("e")
-    a = actual.select(*keys, *rules).withColumn("_here", F.lit(True)).alias("a")
+    times = [c for c, rule in rules.items() if rule == "timestamp"]
+
+    def side(df: DataFrame, alias: str) -> DataFrame:
+        texts = {c: timestamp_text(df, c) for c in times}
+        return df.select(*keys, *rules).withColumns({**texts, "_here": F.lit(True)}).alias(alias)
+
+    e, a = side(expected, "e"), side(actual, "a")
     paired = e.join(a, reduce(Column.__and__, [left[k].eqNullSafe(right[k]) for k in keys]), "full")
 
     def finding(column: str, was: Column, now: Column, reason: str) -> Column:

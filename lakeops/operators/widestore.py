@@ -25,7 +25,6 @@ MAX_GRID_COLUMNS = 60
 MAX_GRID_TEXT = 140
 
 _CELL = ("row_key", "column")
-_VERSION = F.struct("ts", "seq")
 
 
 def as_key(key: str | bytes) -> bytes:
@@ -42,7 +41,7 @@ def _lit_key(key: str | bytes) -> Column:
 def latest_cells(cells: DataFrame) -> DataFrame:
     """The newest version of every cell; cells whose newest version is a tombstone are gone."""
     newest = cells.groupBy(*_CELL).agg(
-        F.max_by(F.struct("ts", "seq", "value", "deleted"), _VERSION).alias("_v")
+        F.max_by(F.struct("ts", "seq", "value", "deleted"), F.struct("ts", "seq")).alias("_v")
     )
     return newest.where(~F.col("_v.deleted")).select(
         *_CELL, F.col("_v.ts").alias("ts"), F.col("_v.seq").alias("seq"), F.col("_v.value").alias("value")
