@@ -279,6 +279,13 @@ def catalog_inventory(t: Tables) -> DataFrame:
     return p.catalog_inventory(docs, "lake")
 
 
+@query("SELECT 'lake' AS catalog, catalog || '.' || schema AS schema FROM v_inventory")
+def catalog_schemas(t: Tables) -> DataFrame:
+    levels = F.array(F.array("catalog", "schema")).alias("namespaces")
+    docs = v.inventory(t).select(F.to_json(F.struct(levels)).alias("json"))
+    return p.catalog_schemas(docs, "lake")
+
+
 @query(
     "WITH g AS (SELECT DISTINCT u.\"user\", resource, privilege FROM v_privileges r "
     "JOIN v_user_roles u ON u.role = r.role WHERE upper(condition) = 'ALLOW'), "
