@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -59,59 +62,61 @@ def lockouts(
     """Each attempt with its outcome: ``failed``, ``locked``, ``blocked`` or ``success``.
 
     What an attempt does depends on all earlier ones of its user, which no window expression can
-    follow, so a user's attempts are folded in Python in time order. A user with more than
-    ``target_rows`` attempts is cut into stretches of about that size: first every stretch is
-    summarised on its own (where it leads from each state it could be entered in), then the
-    entry states are read off those summaries, and last the stretches are folded in parallel. The
-    results are the same as those of one fold. Equal times are taken in the order of ``seq``.
+    follow, so Spark brings the attempts of a user together in time order and Python folds them
+    batch by batch. A user with more than ``target_rows`` attempts is cut into stretches of about
+    that size: first every stretch is summarised on its own (where it leads from each state it
+    could be entered in), then the entry states are read off those summaries, and last the
+    stretches are folded in parallel. The results are the same as those of one fold. Equal times
+    are taken in the order of ``seq``.
     """
     lockout = lockout_seconds * 1_000_000
     rows = _prepared(attempts)
     stretches = _stretches(rows, target_rows, max(lockout, 1))
-
-    def outcomes(pdf: pd.DataFrame, state) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "seq"], kind="stable")
-        outcome, count, until, _ = fold(
-            pdf["at"].tolist(), pdf["success"].tolist(), state, max_attempts, lockout
-        )
-        return pd.DataFrame(
-            {
-                "user": pdf["user"].array,
-                "at": pdf["at"].array,
-                "seq": pdf["seq"].array,
-                "success": pdf["success"].array,
-                "outcome": outcome,
-                "count": count,
-                "until": until,
-            }
-        )
-
-    fields = (
-        "user string, at long, seq long, success boolean, outcome string, count int, until long"
-    )
     if stretches is None:
-        folded = rows.groupBy("user").applyInPandas(lambda pdf: outcomes(pdf, FRESH), fields)
+        nothing = F.lit(None).cast("long")
+        parts = rows.select(
+            "*", F.lit(0).cast("long").alias("part"), nothing.alias("count"), nothing.alias("until")
+        ).repartition("user")
     else:
         in_slice = F.floor(F.col("at") / max(lockout, 1)).cast("long")
-        parts = (
+        cut = (
             rows.withColumn("slice", in_slice)
             .join(stretches, ["user", "slice"], "left")
             .withColumn("part", F.coalesce("stretch", F.lit(0)).cast("long"))
         )
-        entries = _entry_states(
-            parts.where(F.col("stretch").isNotNull()), max_attempts, lockout
+        entries = _entry_states(cut.where(F.col("stretch").isNotNull()), max_attempts, lockout)
+        # The shuffle comes after the joins, which may split or move the rows of a stretch.
+        parts = (
+            cut.drop("slice", "stretch")
+            .join(entries, ["user", "part"], "left")
+            .repartition("user", "part")
         )
 
-        def enter_and_fold(key: tuple, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-            state = FRESH if entry.empty else (int(entry["count"][0]), int(entry["until"][0]))
-            return outcomes(pdf, state)
-
-        folded = (
-            parts.select("user", "part", "at", "seq", "success")
-            .groupBy("user", "part")
-            .cogroup(entries.groupBy("user", "part"))
-            .applyInPandas(enter_and_fold, fields)
-        )
+    def folded_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, state = None, FRESH
+        for pdf in batches:
+            keys = list(zip(pdf["user"], pdf["part"]))
+            times, successes = pdf["at"].tolist(), pdf["success"].tolist()
+            outcomes, counts, untils = [], [], []
+            starts = [i for i, key in enumerate(keys) if i == 0 or key != keys[i - 1]]
+            for start, end in zip(starts, [*starts[1:], len(keys)]):
+                if keys[start] != owner:
+                    owner, state = keys[start], FRESH
+                    if pd.notna(pdf["count"].iat[start]):
+                        state = (int(pdf["count"].iat[start]), int(pdf["until"].iat[start]))
+                more = fold(times[start:end], successes[start:end], state, max_attempts, lockout)
+                state = more[3]
+                outcomes += more[0]
+                counts += more[1]
+                untils += more[2]
+            yield pdf[["user", "at", "seq", "success"]].assign(
+                outcome=outcomes, count=counts, until=untils
+            )
+
+    folded = parts.sortWithinPartitions("user", "part", "at", "seq").mapInPandas(
+        folded_batches,
+        "user string, at long, seq long, success boolean, outcome string, count int, until long",
+    )
     until = F.when(F.col("until") != NEVER, F.timestamp_micros("until"))
     return folded.select(
         "user",
@@ -129,33 +134,36 @@ def lockouts(
 def _entry_states(parts: DataFrame, max_attempts: int, lockout: int) -> DataFrame:
     """The state in which each stretch of the busy users is entered."""
     fields = (
-        "user string, part long, kind int, at long, count long, until long, count_at long, "
+        "user string, part long, locked boolean, at long, count long, until long, count_at long, "
         "until_at long"
     )
 
     def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "seq"], kind="stable")
-        exits = Exits(pdf["at"].to_numpy(), pdf["success"].to_numpy(), max_attempts, lockout)
-        unlocked = [exits.from_count(count) for count in range(max_attempts)]
-        counts = pd.DataFrame(unlocked, columns=["count", "until"])
-        counts = counts.assign(kind=0, at=range(max_attempts), count_at=0, until_at=0)
-        names = ["at", "count", "until", "count_at", "until_at"]
-        locks = pd.DataFrame(dict(zip(names, exits.from_locks()))).assign(kind=1)
-        both = pd.concat([counts, locks], ignore_index=True).assign(user=key[0], part=key[1])
-        return both[["user", "part", "kind", *names]]
+        order = np.lexsort((pdf["seq"].to_numpy(), pdf["at"].to_numpy()))
+        times, successes = pdf["at"].to_numpy()[order], pdf["success"].to_numpy()[order]
+        exits = Exits(times, successes, max_attempts, lockout)
+        unlocked = np.array([exits.from_count(count) for count in range(max_attempts)])
+        nothing = np.zeros(max_attempts, dtype=np.int64)
+        counts = (np.arange(max_attempts), unlocked[:, 0], unlocked[:, 1], nothing, nothing)
+        lines = [np.concatenate(pair) for pair in zip(counts, exits.from_locks())]
+        kind = np.arange(len(lines[0])) >= max_attempts
+        named = dict(zip(("at", "count", "until", "count_at", "until_at"), lines))
+        return pd.DataFrame({"user": key[0], "part": key[1], "locked": kind, **named})
 
     def follow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        named = {name: pdf[name].to_numpy() for name in pdf.columns if name != "user"}
+        order = np.lexsort((named["at"], named["locked"], named["part"]))
+        lines = [named[c][order] for c in ("at", "count", "until", "count_at", "until_at")]
+        parts, starts = np.unique(named["part"][order], return_index=True)
         state, entries = FRESH, []
-        for part, lines in pdf.sort_values(["part", "kind", "at"]).groupby("part"):
-            entries.append((key[0], part, *state))
-            if state[1] == NEVER:
-                line = lines[(lines["kind"] == 0) & (lines["at"] == state[0])].iloc[0]
-                state = (int(line["count"]), int(line["until"]))
+        for start, end in zip(starts, [*starts[1:], len(order)]):
+            entries.append(state)
+            if state[1] == NEVER:  # the first lines tell where each count of failures leads
+                state = (int(lines[1][start + state[0]]), int(lines[2][start + state[0]]))
             else:
-                locks = lines[lines["kind"] == 1]
-                names = ["at", "count", "until", "count_at", "until_at"]
-                state = enter(state, *[locks[name].to_numpy() for name in names])
-        return pd.DataFrame(entries, columns=["user", "part", "count", "until"])
+                state = enter(state, *[column[start + max_attempts : end] for column in lines])
+        counts, untils = zip(*entries)
+        return pd.DataFrame({"user": key[0], "part": parts, "count": counts, "until": untils})
 
     # A summary holds at most the attempts of one user within one lockout, so the summaries of a
     # user together are far smaller than its attempts.
