@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeops.functions.text import normalise_whitespace
+from lakeops.operators.skew import TARGET_ROWS, busy_keys
 
 OWNER = ("user", "engine")
 # Entries kept per user and engine, operations kept per session, anonymous user.
@@ -59,55 +62,68 @@ def fold_runs(query_log: DataFrame) -> DataFrame:
 
 
 def compact_consecutive(
-    runs: DataFrame, keys: tuple[str, ...] = OWNER, slice_seconds: int = 3600
+    runs: DataFrame,
+    keys: tuple[str, ...] = OWNER,
+    target_rows: int = TARGET_ROWS,
+    slice_seconds: int = 3600,
 ) -> DataFrame:
     """Merge neighbouring runs of a key whose statements match up to whitespace.
 
     The newest run of a group survives with the summed ``execution_count``; a RUNNING run does not
     absorb the runs before it. Runs of a key must not overlap.
 
-    A busy key does not go through one task: runs are first merged within time slices of a key,
-    in parallel; then only the first and last group of every slice can still join a neighbour, and
-    only those (at most two per slice) are brought together per key.
+    Keys with more than ``target_rows`` runs do not go through one task: their runs are first
+    merged within time slices, in parallel; then only the first and last group of every slice can
+    still join a neighbour, and only those (at most two per slice) are brought together per key.
     """
-    carried = [c for c in runs.columns if c not in (*keys, "execution_count")]
-    order = [F.col("started_at"), F.col("id")]
-    running = F.coalesce(F.col("state").isin("RUNNING", "RUNNING_STATE"), F.lit(False))
-    sliced = runs.withColumns(
+    rows = runs.withColumns(
         {
             "_text": normalise_whitespace("statement"),
-            "_slice": F.floor(F.col("started_at") / (slice_seconds * 1000)).cast("long"),
             "execution_count": F.col("execution_count").cast("long"),
         }
     )
-
-    def merged(df: DataFrame, group: list[str], starts: Column, window) -> DataFrame:
-        numbered = df.withColumn("_new", starts.cast("int")).withColumn(
-            "_island", F.sum("_new").over(window.rowsBetween(W.unboundedPreceding, 0))
-        )
-        return numbered.groupBy(*group, "_island").agg(
-            F.max_by(F.struct(*carried, "_text", "_slice"), F.struct(*order)).alias("_run"),
-            F.min("_slice").alias("_first_slice"),
-            F.sum("execution_count").alias("execution_count"),
+    busy = busy_keys(runs, list(keys), target_rows)
+    if busy is None:
+        return _merged(rows, [*keys], _differs).select(*runs.columns)
+
+    in_slice = F.floor(F.col("started_at") / (slice_seconds * 1000)).cast("long")
+    sliced = rows.join(busy, list(keys), "left_semi").withColumn("_slice", in_slice)
+    inside = _merged(sliced, [*keys, "_slice"], _differs)
+    slices = W.partitionBy(*keys, "_slice")
+    at_edge = (F.col("_island") == 1) | (F.col("_island") == F.max("_island").over(slices))
+    # Groups that cannot join a neighbour stay with their slice, the others meet under null.
+    parted = inside.withColumn("_part", F.when(~at_edge, F.col("_slice")))
+
+    def apart(window) -> Column:
+        meets = (F.lag("_text").over(window) == F.col("_text")) & (
+            F.lag("_slice").over(window) != F.col("_slice")
         )
+        return ~F.coalesce(meets, F.lit(False))
 
-    local = W.partitionBy(*keys, "_slice").orderBy(*order)
-    differs = ~F.lag("_text").over(local).eqNullSafe(F.col("_text"))
-    inside = merged(sliced, [*keys, "_slice"], differs | running, local)
+    of_busy = _merged(parted.drop("_island"), [*keys, "_part"], apart)
+    of_others = _merged(rows.join(busy, list(keys), "left_anti"), [*keys], _differs)
+    return of_others.select(*runs.columns).unionByName(of_busy.select(*runs.columns))
 
-    ends = W.partitionBy(*keys, "_slice")
-    at_edge = (F.col("_island") == 1) | (F.col("_island") == F.max("_island").over(ends))
-    edged = inside.withColumn("_part", F.when(at_edge, F.lit(None)).otherwise(F.col("_slice"))).select(
-        *keys, "_part", "_run.*", "execution_count"
+
+def _differs(window) -> Column:
+    """True where the statement is not that of the run before."""
+    return ~F.lag("_text").over(window).eqNullSafe(F.col("_text"))
+
+
+def _merged(df: DataFrame, group: list[str], starts: Callable[..., Column]) -> DataFrame:
+    """Number the groups of neighbouring runs as ``_island`` and keep the newest run of each."""
+    window = W.partitionBy(*group).orderBy("started_at", "id")
+    running = F.coalesce(F.col("state").isin("RUNNING", "RUNNING_STATE"), F.lit(False))
+    carried = [c for c in df.columns if c not in (*group, "execution_count")]
+    numbered = df.withColumn("_new", (starts(window) | running).cast("int")).withColumn(
+        "_island", F.sum("_new").over(window.rowsBetween(W.unboundedPreceding, 0))
     )
-    across = W.partitionBy(*keys, "_part").orderBy(*order)
-    joins = (F.lag("_text").over(across) == F.col("_text")) & (
-        F.lag("_slice").over(across) != F.col("_slice")
+    # Grouping by the window's keys and the island needs no further shuffle.
+    merged = numbered.groupBy(*group, "_island").agg(
+        F.max_by(F.struct(*carried), F.struct("started_at", "id")).alias("_run"),
+        F.sum("execution_count").alias("execution_count"),
     )
-    whole = merged(edged, [*keys, "_part"], ~F.coalesce(joins, F.lit(False)) | running, across)
-    return whole.select(
-        *keys, *[F.col(f"_run.{c}").alias(c) for c in carried], "execution_count"
-    ).select(*runs.columns)
+    return merged.select(*group, "_island", "_run.*", "execution_count")
 
 
 def cap_history(

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeops.functions.attempts import FRESH, NEVER, Exits, enter, fold
+from lakeops.operators.skew import TARGET_ROWS, busy_keys
 
 # Failures that lock, and for how long.
 MAX_ATTEMPTS = 5
@@ -43,8 +44,8 @@ def _stretches(rows: DataFrame, target_rows: int, slice_micros: int) -> DataFram
     Returns ``(user, slice, stretch)``, where consecutive slices share a stretch of about
     ``target_rows`` attempts, or None when no user is that busy.
     """
-    busy = rows.groupBy("user").count().where(F.col("count") > target_rows).select("user")
-    if busy.isEmpty():
+    busy = busy_keys(rows, ["user"], target_rows)
+    if busy is None:
         return None
     in_slice = F.floor(F.col("at") / slice_micros).cast("long").alias("slice")
     sizes = rows.join(busy, "user", "left_semi").groupBy("user", in_slice).count()
@@ -57,7 +58,7 @@ def lockouts(
     attempts: DataFrame,
     max_attempts: int = MAX_ATTEMPTS,
     lockout_seconds: int = LOCKOUT_SECONDS,
-    target_rows: int = 1_000_000,
+    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Each attempt with its outcome: ``failed``, ``locked``, ``blocked`` or ``success``.
 

@@ -123,9 +123,51 @@ def filter_cells(live: DataFrame, predicates: list[ValueEquals | ColumnValue]) -
     return live
 
 
-def first_keys(live: DataFrame, limit: int) -> DataFrame:
+def first_keys(rows: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` distinct row keys in byte order."""
-    return live.select("row_key").distinct().orderBy("row_key").limit(limit)
+    return rows.select("row_key").distinct().orderBy("row_key").limit(limit)
+
+
+def _live_cells(cells: DataFrame) -> DataFrame:
+    """The keys of ``latest_cells``; values are neither read nor shuffled."""
+    newest = cells.groupBy(*_CELL).agg(
+        F.max_by("deleted", F.struct("ts", "seq")).alias("_deleted")
+    )
+    return newest.where(~F.col("_deleted")).select(*_CELL)
+
+
+def _page_keys(selected: DataFrame, predicates: list | None, limit: int) -> list[bytes]:
+    """The first ``limit`` row keys that show anything, at most 1000 of them.
+
+    Without predicates the versions of the whole store are not compared: candidates are the
+    first keys of all, and only the cells up to the last candidate are looked at. Should too many
+    of those rows be deleted, the search goes on behind them with more candidates.
+    """
+    if predicates:
+        live = filter_cells(latest_cells(selected), predicates)
+        return [bytes(row[0]) for row in first_keys(live, limit).collect()]
+    found: list[bytes] = []
+    ahead, asked = selected, 2 * limit
+    while len(found) < limit:
+        last, seen = first_keys(ahead, asked).agg(F.max("row_key"), F.count("row_key")).first()
+        if not seen:
+            break
+        near = _live_cells(ahead.where(F.col("row_key") <= F.lit(bytes(last))))
+        found += [bytes(row[0]) for row in first_keys(near, limit - len(found)).collect()]
+        if seen < asked:
+            break
+        ahead, asked = selected.where(F.col("row_key") > F.lit(bytes(last))), 4 * asked
+    return found
+
+
+def _rows_of(chosen: DataFrame, keys: list[bytes], predicates: list | None) -> DataFrame:
+    """The selected cells of at most 1000 rows, read by their key range."""
+    if not keys:
+        page = chosen.where(F.lit(False))
+    else:
+        within = F.col("row_key").between(F.lit(keys[0]), F.lit(keys[-1]))
+        page = chosen.where(within & F.col("row_key").isin(keys))
+    return filter_cells(latest_cells(page), predicates or []).orderBy("row_key", "column")
 
 
 def select_rows(
@@ -152,21 +194,24 @@ def scan(
 ) -> DataFrame:
     """Latest cells of the first ``limit`` rows in key order, at most 1000 rows.
 
-    The keys of the page are found first, then only their cells are read: at most 1000 keys are
-    sent to every task, whatever the size of the store.
+    The keys of these rows are found first, which runs right away and brings at most 1000 keys
+    to the driver. The result then reads only their key range, whatever the size of the store.
     """
     if limit <= 0:
         raise ValueError("scan limit must be positive")
-    live = select_rows(cells, start, start_inclusive, prefix, columns, predicates)
-    keys = first_keys(live, min(limit, MAX_SCAN))
-    return _cells_of(cells, live, keys, columns, predicates).orderBy("row_key", "column")
+    chosen = cells.where(_chosen_columns(columns))
+    selected = chosen.where(_key_range(start, start_inclusive, prefix))
+    keys = _page_keys(selected, predicates, min(limit, MAX_SCAN))
+    return _rows_of(chosen, keys, predicates)
 
 
-def _cells_of(cells, live, keys, columns, predicates) -> DataFrame:
-    if predicates:
-        return live.join(F.broadcast(keys), "row_key", "left_semi")
-    page = cells.join(F.broadcast(keys), "row_key", "left_semi").where(_chosen_columns(columns))
-    return latest_cells(page)
+@dataclass(frozen=True)
+class RowPage:
+    """The cells of one page of rows, and where the next page starts."""
+
+    rows: DataFrame
+    has_next: bool
+    next_cursor: bytes | None
 
 
 def page(
@@ -177,42 +222,20 @@ def page(
     columns: list[str] | None = None,
     predicates: list[ValueEquals | ColumnValue] | None = None,
     start: str | bytes = "",
-) -> DataFrame:
-    """One page of rows with ``has_next`` and ``next_cursor`` on every line.
+) -> RowPage:
+    """One page of rows. The next page starts strictly after ``next_cursor``, raw key bytes.
 
-    The next page starts strictly after the cursor, which holds the raw key bytes. One key more
-    than the page shows is fetched to learn whether there is a next page.
+    One key more than the page shows is fetched to learn whether there is a next page.
     """
     if size <= 0:
         raise ValueError("page size must be positive")
     size = min(size, MAX_PAGE)
     first = cursor is None
-    live = select_rows(cells, start if first else cursor, first, prefix, columns, predicates)
-    # At most 1000 keys: an ordinary window over them is as cheap as a sort of them.
-    ahead = W.orderBy("row_key")
-    keys = first_keys(live, size + 1).select(
-        "row_key",
-        F.row_number().over(ahead).alias("_n"),
-        F.count(F.lit(1)).over(ahead.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_all"),
-    )
-    last = F.max(F.when(F.col("_n") <= size, F.col("row_key"))).over(
-        W.partitionBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    )
-    keys = keys.withColumns(
-        {
-            "has_next": F.col("_all") > size,
-            "next_cursor": F.when(F.col("_all") > size, last),
-        }
-    ).where(F.col("_n") <= size)
-    shown = keys.select("row_key", "has_next", "next_cursor")
-    if predicates:
-        return live.join(F.broadcast(shown), "row_key").orderBy("row_key", "column")
-    found = cells.where(_chosen_columns(columns)).join(
-        F.broadcast(shown.select("row_key")), "row_key", "left_semi"
-    )
-    return (
-        latest_cells(found).join(F.broadcast(shown), "row_key").orderBy("row_key", "column")
-    )
+    chosen = cells.where(_chosen_columns(columns))
+    selected = chosen.where(_key_range(start if first else cursor, first, prefix))
+    keys = _page_keys(selected, predicates, size + 1)
+    more, shown = len(keys) > size, keys[:size]
+    return RowPage(_rows_of(chosen, shown, predicates), more, shown[-1] if more else None)
 
 
 def search_rows(cells: DataFrame, text: str, limit: int = 50) -> DataFrame:
@@ -225,7 +248,9 @@ def search_rows(cells: DataFrame, text: str, limit: int = 50) -> DataFrame:
 
 def autocomplete(cells: DataFrame, prefix: str | bytes = "", limit: int = 20) -> DataFrame:
     """The first row keys with a prefix."""
-    return first_keys(select_rows(cells, prefix=prefix), limit)
+    selected = cells.where(_key_range("", True, prefix))
+    keys = _page_keys(selected, None, min(limit, MAX_SCAN))
+    return cells.sparkSession.createDataFrame([(key,) for key in keys], "row_key binary")
 
 
 def get_row(cells: DataFrame, key: str | bytes, columns: list[str] | None = None) -> DataFrame:

@@ -36,6 +36,12 @@ def compacted_runs(t: Tables) -> DataFrame:
     return _compact(t).select(*_ENTRY, "execution_count")
 
 
+@query(f"SELECT {_SQL_ENTRY}, execution_count FROM v_compact")
+def compacted_runs_of_busy_users(t: Tables) -> DataFrame:
+    """The same with every user of more than 30 runs on an engine cut into slices of an hour."""
+    return h.compact_consecutive(v.runs(t), target_rows=30).select(*_ENTRY, "execution_count")
+
+
 def _capped(n: int, key: str) -> str:
     return (
         f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY started_at DESC, id DESC) AS n, "

@@ -82,10 +82,9 @@ def cells_with_value(t: Tables) -> DataFrame:
 )
 def row_page(t: Tables) -> DataFrame:
     page = ws.page(v.cells(t), cursor=b"u00000004", size=25)
-    cursor = display_key(F.col("next_cursor")).alias("next_cursor")
-    bounds = page.select("row_key", "column", "has_next", cursor)
-    return _shown(page).join(
-        bounds.withColumn("row_key", display_key(F.col("row_key"))), ["row_key", "column"]
+    cursor = display_key(F.lit(page.next_cursor).cast("binary"))
+    return _shown(page.rows).withColumns(
+        {"has_next": F.lit(page.has_next), "next_cursor": cursor}
     )
 
 

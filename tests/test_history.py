@@ -61,8 +61,8 @@ def test_running_run_is_not_merged(spark):
     assert [(r.id, r.execution_count) for r in got] == [("q0002", 2), ("q0003", 1)]
 
 
-@pytest.mark.parametrize("slice_seconds", [1, 7, 60, 10**6])
-def test_compaction_against_replay(spark, slice_seconds):
+@pytest.mark.parametrize("slice_seconds, target_rows", [(1, 60), (7, 10), (60, 0), (10**6, 60), (1, 10**6)])
+def test_compaction_against_replay(spark, slice_seconds, target_rows):
     rng = random.Random(slice_seconds)
     rows, log, at = [], [], {}
     for i in range(400):
@@ -71,7 +71,8 @@ def test_compaction_against_replay(spark, slice_seconds):
         text = rng.choice(["x", " x", "y", "z\n1", "z 1", "X"])
         rows.append(run(i, text, user=user, at=at[user]))
         log += events(i, text, at[user], at[user] + 10, user=user)
-    got = h.compact_consecutive(spark.createDataFrame(rows, RUN), slice_seconds=slice_seconds).collect()
+    runs = spark.createDataFrame(rows, RUN)
+    got = h.compact_consecutive(runs, h.OWNER, target_rows, slice_seconds).collect()
     want = replay(log, 10**9)
     for (user, _), entries in want.items():
         mine = sorted((r for r in got if r.user == user), key=lambda r: -r.started_at)

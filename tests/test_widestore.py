@@ -83,18 +83,37 @@ def test_pages_cover_the_rows_exactly_once(spark):
     cells = make(spark, rows).cache()
     seen, cursor = [], None
     for _ in range(20):
-        page = ws.page(cells, cursor, size=9).collect()
-        keys_here = sorted({bytes(r.row_key) for r in page})
+        page = ws.page(cells, cursor, size=9)
+        keys_here = sorted({bytes(r.row_key) for r in page.rows.collect()})
         assert len(keys_here) <= 9
         seen += keys_here
-        if not page[0].has_next:
-            assert page[0].next_cursor is None
+        cursor = page.next_cursor
+        if not page.has_next:
+            assert cursor is None
             break
-        cursor = bytes(page[0].next_cursor)
         assert cursor == keys_here[-1]
     assert seen == sorted(keys - set(dead))
 
 
+def test_scan_goes_on_behind_many_deleted_rows(spark):
+    rows = [(f"k{i:03}", "cf:a", 1, "v") for i in range(200)]
+    rows += [(k, c, 2, ...) for k, c, _, _ in rows if "k005" < k < "k190"]
+    cells = make(spark, rows).cache()
+    keys = [k for k, _, _ in shown(ws.scan(cells, limit=8))]
+    assert keys == [f"k{i:03}".encode() for i in [0, 1, 2, 3, 4, 5, 190, 191]]
+    rest = ws.page(cells, cursor=b"k198", size=1)
+    assert (shown(rest.rows), rest.has_next) == ([(b"k199", "cf:a", "v")], False)
+    empty = ws.page(cells, cursor=b"k199")
+    assert (empty.rows.count(), empty.has_next, empty.next_cursor) == (0, False, None)
+
+
+def test_scan_reads_a_narrow_range(spark, tmp_path):
+    make(spark, [(f"k{i:04}", "cf:a", 1, "v") for i in range(100)]).write.parquet(str(tmp_path / "cells"))
+    plan = ws.scan(spark.read.parquet(str(tmp_path / "cells")), start="k0050", limit=3)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(row_key" in text and "LessThanOrEqual(row_key" in text
+
+
 def test_versions_against_brute_force(spark):
     rng = random.Random(3)
     rows = [
