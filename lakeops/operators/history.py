@@ -33,27 +33,26 @@ def fold_runs(query_log: DataFrame) -> DataFrame:
     time = F.col("event_time")
     started, failed = F.col("kind") == "start", F.col("kind") == "fail"
     ended = ~started
-    end = F.when(ended, F.struct("kind", "error", "logs"))
+    start = F.when(started, F.struct("event_time", "statement"))
+    end = F.when(ended, F.struct(time.alias("ended"), failed.alias("failed"), "error", "logs"))
     folded = (
         query_log.withColumn("user", owner_name(F.col("user")))
         .groupBy(*OWNER, "id")
         .agg(
-            F.min_by(F.when(started, F.col("statement")), F.when(started, time)).alias("statement"),
-            F.min(F.when(started, time)).alias("started_at"),
-            F.max(F.when(ended, time)).alias("_ended"),
-            F.max_by(end, F.when(ended, F.struct(time, failed))).alias("_end"),
+            F.min(start).alias("_start"),
+            F.max(end).alias("_end"),
         )
-        .where(F.col("started_at").isNotNull())
+        .where(F.col("_start").isNotNull())
     )
-    error = F.col("_end.kind") == "fail"
+    error = F.col("_end.failed")
     running = F.col("_end").isNull()
     no_logs = F.array().cast("array<string>")
     return folded.select(
         *OWNER,
         "id",
-        "statement",
-        "started_at",
-        F.coalesce("_ended", F.lit(0)).cast("long").alias("completed_at"),
+        "_start.statement",
+        F.col("_start.event_time").alias("started_at"),
+        F.coalesce("_end.ended", F.lit(0)).cast("long").alias("completed_at"),
         F.when(running, "RUNNING").when(error, "ERROR").otherwise("FINISHED").alias("state"),
         F.when(error, F.coalesce("_end.error", F.lit(""))).otherwise(F.lit("")).alias("error"),
         F.lit(1).cast("long").alias("execution_count"),
@@ -113,17 +112,23 @@ def _differs(window) -> Column:
 def _merged(df: DataFrame, group: list[str], starts: Callable[..., Column]) -> DataFrame:
     """Number the groups of neighbouring runs as ``_island`` and keep the newest run of each."""
     window = W.partitionBy(*group).orderBy("started_at", "id")
+    so_far = window.rowsBetween(W.unboundedPreceding, 0)
     running = F.coalesce(F.col("state").isin("RUNNING", "RUNNING_STATE"), F.lit(False))
-    carried = [c for c in df.columns if c not in (*group, "execution_count")]
-    numbered = df.withColumn("_new", (starts(window) | running).cast("int")).withColumn(
-        "_island", F.sum("_new").over(window.rowsBetween(W.unboundedPreceding, 0))
+    numbered = df.withColumn("_new", (starts(window) | running).cast("int")).withColumns(
+        {
+            "_island": F.sum("_new").over(so_far),
+            "_total": F.sum("execution_count").over(so_far),
+            "_last": F.coalesce(F.lead("_new").over(window), F.lit(1)) == 1,
+        }
     )
-    # Grouping by the window's keys and the island needs no further shuffle.
-    merged = numbered.groupBy(*group, "_island").agg(
-        F.max_by(F.struct(*carried), F.struct("started_at", "id")).alias("_run"),
-        F.sum("execution_count").alias("execution_count"),
+    # The last run of a group is its newest; its count is what was added since the group before.
+    # All of this goes over the rows in one order, so they are sorted once.
+    before = F.coalesce(F.lag("_total").over(window), F.lit(0))
+    return (
+        numbered.where("_last")
+        .withColumn("execution_count", F.col("_total") - before)
+        .drop("_new", "_total", "_last")
     )
-    return merged.select(*group, "_island", "_run.*", "execution_count")
 
 
 def cap_history(
@@ -213,9 +218,6 @@ def last_result_marker(runs: DataFrame) -> DataFrame:
     return (
         runs.where(F.col("ok"))
         .groupBy("session")
-        .agg(
-            F.max_by(F.struct("id", "started_at"), F.struct("has_rows", "started_at", "id")).alias("_r"),
-            F.max("has_rows").alias("has_rows"),
-        )
-        .select("session", "_r.id", "_r.started_at", "has_rows")
+        .agg(F.max(F.struct("has_rows", "started_at", "id")).alias("_r"))
+        .select("session", "_r.id", "_r.started_at", "_r.has_rows")
     )

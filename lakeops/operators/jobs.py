@@ -176,14 +176,11 @@ def merged_jobs(
     rows = reduce(DataFrame.unionByName, ranked)
     if not is_admin:
         return rows.where(F.col("user") == user)
-    body = [c for c in (*APPLICATION, "source_rank") if c != "id"]
     # The lowest source rank first, then the newest start; the rest makes the choice unique.
-    place = F.struct(-F.col("source_rank"), "start_time", "name", "user", "end_time", "duration_ms")
-    return (
-        rows.groupBy("id")
-        .agg(F.max_by(F.struct(*body), place).alias("_r"))
-        .select("id", "_r.*")
-        .select(*APPLICATION, "source_rank")
+    place = ["start_time", *[c for c in APPLICATION if c not in ("id", "start_time")]]
+    first = F.max(F.struct((-F.col("source_rank")).alias("_order"), *place)).alias("_r")
+    return rows.groupBy("id").agg(first).select("id", "_r.*").select(
+        *APPLICATION, (-F.col("_order")).alias("source_rank")
     )
 
 

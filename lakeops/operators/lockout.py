@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,10 +19,7 @@ from lakeops.operators.skew import TARGET_ROWS, busy_keys
 MAX_ATTEMPTS = 5
 LOCKOUT_SECONDS = 15 * 60
 
-OUTCOME_SCHEMA = (
-    "user string, ts timestamp, seq long, success boolean, outcome string, count int, "
-    "locked_until timestamp, remaining int"
-)
+_FOLDED = ["user", "at", "seq", "success", "outcome", "count", "until"]
 
 
 def user_key(username: Column) -> Column:
@@ -93,28 +92,34 @@ def lockouts(
             .repartition("user", "part")
         )
 
-    def folded_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def folded_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, state = None, FRESH
-        for pdf in batches:
-            keys = list(zip(pdf["user"], pdf["part"]))
-            times, successes = pdf["at"].tolist(), pdf["success"].tolist()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            user, part = batch["user"], batch["part"]
+            changes = pc.or_(
+                pc.not_equal(user[1:], user[:-1]), pc.not_equal(part[1:], part[:-1])
+            ).to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero(changes) + 1)]
+            times, successes = batch["at"].to_pylist(), batch["success"].to_pylist()
             outcomes, counts, untils = [], [], []
-            starts = [i for i, key in enumerate(keys) if i == 0 or key != keys[i - 1]]
-            for start, end in zip(starts, [*starts[1:], len(keys)]):
-                if keys[start] != owner:
-                    owner, state = keys[start], FRESH
-                    if pd.notna(pdf["count"].iat[start]):
-                        state = (int(pdf["count"].iat[start]), int(pdf["until"].iat[start]))
+            for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+                key = (user[start].as_py(), part[start].as_py())
+                if key != owner:
+                    owner, state = key, FRESH
+                    if batch["count"][start].is_valid:
+                        state = (batch["count"][start].as_py(), batch["until"][start].as_py())
                 more = fold(times[start:end], successes[start:end], state, max_attempts, lockout)
                 state = more[3]
                 outcomes += more[0]
                 counts += more[1]
                 untils += more[2]
-            yield pdf[["user", "at", "seq", "success"]].assign(
-                outcome=outcomes, count=counts, until=untils
-            )
+            folded = [pa.array(outcomes), pa.array(counts, pa.int32()), pa.array(untils, pa.int64())]
+            kept = [batch[name] for name in ("user", "at", "seq", "success")]
+            yield pa.RecordBatch.from_arrays([*kept, *folded], names=_FOLDED)
 
-    folded = parts.sortWithinPartitions("user", "part", "at", "seq").mapInPandas(
+    folded = parts.sortWithinPartitions("user", "part", "at", "seq").mapInArrow(
         folded_batches,
         "user string, at long, seq long, success boolean, outcome string, count int, until long",
     )
@@ -190,7 +195,7 @@ def lock_status(
     last = (
         outcomes.where(F.col("ts") <= now)
         .groupBy("user")
-        .agg(F.max_by(F.struct("count", "locked_until"), F.struct("ts", "seq")).alias("_s"))
+        .agg(F.max(F.struct("ts", "seq", "count", "locked_until")).alias("_s"))
         .select("user", "_s.count", "_s.locked_until")
     )
     blocked = F.coalesce(F.col("locked_until") > now, F.lit(False))

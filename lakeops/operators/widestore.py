@@ -41,7 +41,7 @@ def _lit_key(key: str | bytes) -> Column:
 def latest_cells(cells: DataFrame) -> DataFrame:
     """The newest version of every cell; cells whose newest version is a tombstone are gone."""
     newest = cells.groupBy(*_CELL).agg(
-        F.max_by(F.struct("ts", "seq", "value", "deleted"), F.struct("ts", "seq")).alias("_v")
+        F.max(F.struct("ts", "seq", "deleted", "value")).alias("_v")
     )
     return newest.where(~F.col("_v.deleted")).select(
         *_CELL, F.col("_v.ts").alias("ts"), F.col("_v.seq").alias("seq"), F.col("_v.value").alias("value")
@@ -130,10 +130,8 @@ def first_keys(rows: DataFrame, limit: int) -> DataFrame:
 
 def _live_cells(cells: DataFrame) -> DataFrame:
     """The keys of ``latest_cells``; values are neither read nor shuffled."""
-    newest = cells.groupBy(*_CELL).agg(
-        F.max_by("deleted", F.struct("ts", "seq")).alias("_deleted")
-    )
-    return newest.where(~F.col("_deleted")).select(*_CELL)
+    newest = cells.groupBy(*_CELL).agg(F.max(F.struct("ts", "seq", "deleted")).alias("_v"))
+    return newest.where(~F.col("_v.deleted")).select(*_CELL)
 
 
 def _page_keys(selected: DataFrame, predicates: list | None, limit: int) -> list[bytes]:

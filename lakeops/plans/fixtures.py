@@ -36,6 +36,12 @@ def millis(ts: Column | str) -> Column:
     return F.unix_millis(ts.cast("timestamp"))
 
 
+def padded(prefix: str, number: Column | str, width: int) -> Column:
+    """``prefix`` and the number with leading zeros, as ``%0<width>d`` would print it."""
+    digits = (F.col(number) if isinstance(number, str) else number).cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0")))
+
+
 def _by_type(values: dict[str, str], default: str) -> Column:
     picked = F.lit(default)
     for event_type, value in values.items():
@@ -178,7 +184,7 @@ VIEW_SQL["v_boundary_copy"] = (
 def cells(t: Tables) -> DataFrame:
     deleted = (F.col("event_type") == "signup") & (F.col("value") < 20)
     return t["events"].select(
-        F.encode(F.format_string("u%08d", "user_id"), "UTF-8").alias("row_key"),
+        F.encode(padded("u", "user_id", 8), "UTF-8").alias("row_key"),
         F.concat(F.lit("cf:"), "event_type").alias("column"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"),
@@ -341,7 +347,7 @@ def applications(t: Tables) -> DataFrame:
         return F.date_format(F.timestamp_seconds(at), "yyyy-MM-dd'T'HH:mm:ss'.000GMT'")
 
     return t["orders"].select(
-        F.format_string("app-%010d", "o_orderkey").alias("id"),
+        padded("app-", "o_orderkey", 10).alias("id"),
         F.concat(F.lit("Job "), "o_orderpriority").alias("name"),
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("user"),
         text(seconds).alias("start_time"),

@@ -227,7 +227,7 @@ def view_permissions(t: Tables) -> DataFrame:
     asked = t["events"].select(
         F.concat(F.lit("c"), (F.col("event_id") % 50).cast("string")).alias("user"),
         (F.col("event_type") == "signup").alias("is_admin"),
-        F.format_string("app-%010d", F.col("event_id") * 2).alias("app_id"),
+        v.padded("app-", F.col("event_id") * 2, 10).alias("app_id"),
     )
     return j.can_view(asked, v.applications(t))
 

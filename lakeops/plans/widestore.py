@@ -105,7 +105,7 @@ def row_autocomplete(t: Tables) -> DataFrame:
     f"{_LIVE} WHERE row_key IN (SELECT 'u' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') FROM customer)"
 )
 def rows_by_key(t: Tables) -> DataFrame:
-    key = F.encode(F.format_string("u%08d", "c_custkey"), "UTF-8").alias("row_key")
+    key = F.encode(v.padded("u", "c_custkey", 8), "UTF-8").alias("row_key")
     return _shown(ws.get_rows(v.cells(t), t["customer"].select(key)))
 
 
@@ -131,7 +131,7 @@ def cell_versions(t: Tables) -> DataFrame:
 )
 def rows_after_put(t: Tables) -> DataFrame:
     updates = t["customer"].select(
-        F.encode(F.format_string("u%08d", "c_custkey"), "UTF-8").alias("row_key"),
+        F.encode(v.padded("u", "c_custkey", 8), "UTF-8").alias("row_key"),
         F.lit("cf:segment").alias("column"),
         F.lit("2025-01-01").cast("timestamp").alias("ts"),
         F.col("c_custkey").alias("seq"),
@@ -148,7 +148,7 @@ def _doomed(t: Tables) -> DataFrame:
         t["supplier"]
         .where(F.col("s_acctbal") < 5000)
         .select(
-            F.encode(F.format_string("u%08d", "s_suppkey"), "UTF-8").alias("row_key"),
+            F.encode(v.padded("u", "s_suppkey", 8), "UTF-8").alias("row_key"),
             F.lit("2025-01-01").cast("timestamp").alias("ts"),
             F.col("s_suppkey").alias("seq"),
         )
