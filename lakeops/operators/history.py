@@ -83,52 +83,45 @@ def compact_consecutive(
     )
     busy = busy_keys(runs, list(keys), target_rows)
     if busy is None:
-        return _merged(rows, [*keys], _differs).select(*runs.columns)
+        return _merged(rows, [*keys], _same_text).select(*runs.columns)
 
     in_slice = F.floor(F.col("started_at") / (slice_seconds * 1000)).cast("long")
     sliced = rows.join(busy, list(keys), "left_semi").withColumn("_slice", in_slice)
-    inside = _merged(sliced, [*keys, "_slice"], _differs)
-    slices = W.partitionBy(*keys, "_slice")
-    at_edge = (F.col("_island") == 1) | (F.col("_island") == F.max("_island").over(slices))
+    inside = _merged(sliced, [*keys, "_slice"], _same_text)
     # Groups that cannot join a neighbour stay with their slice, the others meet under null.
-    parted = inside.withColumn("_part", F.when(~at_edge, F.col("_slice")))
+    parted = inside.withColumn("_part", F.when(~F.col("_edge"), F.col("_slice"))).drop("_edge")
+    of_busy = _merged(parted, [*keys, "_part"], _same_text_next_slice)
+    of_others = _merged(rows.join(busy, list(keys), "left_anti"), [*keys], _same_text)
+    return of_others.select(*runs.columns).unionByName(of_busy.select(*runs.columns))
 
-    def apart(window) -> Column:
-        meets = (F.lag("_text").over(window) == F.col("_text")) & (
-            F.lag("_slice").over(window) != F.col("_slice")
-        )
-        return ~F.coalesce(meets, F.lit(False))
 
-    of_busy = _merged(parted.drop("_island"), [*keys, "_part"], apart)
-    of_others = _merged(rows.join(busy, list(keys), "left_anti"), [*keys], _differs)
-    return of_others.select(*runs.columns).unionByName(of_busy.select(*runs.columns))
+def _same_text(window) -> Column:
+    return F.lead("_text").over(window) == F.col("_text")
+
 
+def _same_text_next_slice(window) -> Column:
+    return _same_text(window) & (F.lead("_slice").over(window) != F.col("_slice"))
 
-def _differs(window) -> Column:
-    """True where the statement is not that of the run before."""
-    return ~F.lag("_text").over(window).eqNullSafe(F.col("_text"))
 
+def _merged(df: DataFrame, group: list[str], joins_next: Callable[..., Column]) -> DataFrame:
+    """The newest run of every group of neighbours, with the executions of the group.
 
-def _merged(df: DataFrame, group: list[str], starts: Callable[..., Column]) -> DataFrame:
-    """Number the groups of neighbouring runs as ``_island`` and keep the newest run of each."""
+    ``_edge`` marks the first and the last of these in the order of ``group``.
+    """
     window = W.partitionBy(*group).orderBy("started_at", "id")
-    so_far = window.rowsBetween(W.unboundedPreceding, 0)
     running = F.coalesce(F.col("state").isin("RUNNING", "RUNNING_STATE"), F.lit(False))
-    numbered = df.withColumn("_new", (starts(window) | running).cast("int")).withColumns(
+    joined = F.coalesce(joins_next(window) & ~F.lead(running).over(window), F.lit(False))
+    so_far = F.sum("execution_count").over(window.rowsBetween(W.unboundedPreceding, 0))
+    newest = df.withColumns({"_joined": joined, "_total": so_far}).where(~F.col("_joined"))
+    # What was counted since the group before. The rows are still in the order of the first
+    # window, so neither a shuffle nor a sort comes in between.
+    before, after = F.lag("_total").over(window), F.lead("_total").over(window)
+    return newest.withColumns(
         {
-            "_island": F.sum("_new").over(so_far),
-            "_total": F.sum("execution_count").over(so_far),
-            "_last": F.coalesce(F.lead("_new").over(window), F.lit(1)) == 1,
+            "execution_count": F.col("_total") - F.coalesce(before, F.lit(0)),
+            "_edge": before.isNull() | after.isNull(),
         }
-    )
-    # The last run of a group is its newest; its count is what was added since the group before.
-    # All of this goes over the rows in one order, so they are sorted once.
-    before = F.coalesce(F.lag("_total").over(window), F.lit(0))
-    return (
-        numbered.where("_last")
-        .withColumn("execution_count", F.col("_total") - before)
-        .drop("_new", "_total", "_last")
-    )
+    ).drop("_joined", "_total")
 
 
 def cap_history(

@@ -19,15 +19,24 @@ from lakeops.streaming.runs import latest_history, stream_runs
 from lakeops.streaming.table import drain
 
 
+# Bounds what one micro-batch, and so one user in it, can bring to a task.
+BATCH_BYTES = 1024**3
+
+
 class StreamedTables(Tables):
-    """The given tables, with ``events`` as a stream of its files."""
+    """The given tables, with ``events`` as a stream of its files.
+
+    Files that arrive in time order give the batch results; rows behind those already seen of
+    their user come out as late.
+    """
 
     def __getitem__(self, name: str) -> DataFrame:
         if name != "events":
             return super().__getitem__(name)
         schema = self.spark.read.parquet(self.path(name)).schema
         # A pattern, because the stream source takes a folder or a pattern, not one file.
-        return self.spark.readStream.schema(schema).parquet(f"{self.path(name)}*")
+        stream = self.spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES)
+        return stream.parquet(f"{self.path(name)}*")
 
 
 def _streamed(t: Tables) -> StreamedTables:

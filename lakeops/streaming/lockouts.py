@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,33 +39,27 @@ def stream_lockouts(
             state.remove()
             return
         count, until, last = state.get if state.exists else (*FRESH, NEVER)
-        rows = pd.concat(list(batches)).sort_values(["at", "seq"], kind="stable")
-        late = rows["at"] < last
-        for part, is_late in ((rows[late], True), (rows[~late], False)):
-            if part.empty:
-                continue
-            if is_late:
-                outcome, counts, untils = "late", count, until
-            else:
-                outcome, counts, untils, (count, until) = fold(
-                    part["at"].tolist(),
-                    part["success"].tolist(),
-                    (count, until),
-                    max_attempts,
-                    lockout,
-                )
-                last = int(part["at"].iloc[-1])
-            yield pd.DataFrame(
-                {
-                    "user": key[0],
-                    "at": part["at"].array,
-                    "seq": part["seq"].array,
-                    "success": part["success"].array,
-                    "outcome": outcome,
-                    "count": counts,
-                    "until": untils,
-                }
-            )
+        columns = [[b[c].to_numpy() for c in ("at", "seq", "success")] for b in batches]
+        at, seq, success = (np.concatenate(parts) for parts in zip(*columns))
+        order = np.lexsort((seq, at))
+        at, seq, success = at[order], seq[order], success[order]
+        late = int(np.searchsorted(at, last, side="left"))
+        before = (count, until)
+        outcomes, counts, untils, (count, until) = fold(
+            at[late:].tolist(), success[late:].tolist(), before, max_attempts, lockout
+        )
+        yield pd.DataFrame(
+            {
+                "user": key[0],
+                "at": at,
+                "seq": seq,
+                "success": success,
+                "outcome": ["late"] * late + outcomes,
+                "count": [before[0]] * late + counts,
+                "until": [before[1]] * late + untils,
+            }
+        )
+        last = max(last, int(at[-1]))
         state.update((count, until, last))
         # A running lock matters until it ends, a clear state only to attempts before ``last``.
         if until != NEVER or count == 0:
