@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,7 +46,8 @@ def _read_heads(max_bytes: int):
         if parts.scheme in ("", "file"):
             system, name = fs.LocalFileSystem(), unquote(parts.path)
         else:
-            system, name = fs.FileSystem.from_uri(path)
+            # Hadoop and Arrow name the same store by different schemes.
+            system, name = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
         with system.open_input_file(name) as file:
             return file.read(max_bytes).decode("utf-8", errors="replace")
 
