@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeops.llm import bpe, decontaminate, exact_index, minhash, toxicity
+from lakeops.llm import bpe, decontaminate, exact_index, minhash, suffixes, toxicity
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = "regexp_extract_all(" + LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -48,6 +48,7 @@ QUERIES = {
     "op2_toxicity": (toxicity.op2_toxicity, None),
     "op5_exact_dedup": (op5_exact_dedup, OP5_SQL),
     "op6_byte_bpe": (bpe.op6_byte_bpe, None),
+    "op9_repeated_passages": (suffixes.op9_repeated_passages, None),
     "op10_near_dedup": (minhash.op10_near_dedup, None),
 }
 
