@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeops.llm import bpe, decontaminate, exact_index, minhash, suffixes, toxicity
+from lakeops.llm import bpe, decontaminate, exact_index, lines, minhash, suffixes, toxicity
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = "regexp_extract_all(" + LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -28,6 +28,28 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP4_SQL = r"""
+WITH l AS (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS line_no, unnest(parts) AS raw
+           FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)),
+t AS (SELECT *, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l),
+d AS (SELECT line, length(line) AS n, min({'doc_id': doc_id, 'line_no': line_no}) AS place
+      FROM t WHERE length(line) >= 20 GROUP BY line),
+v AS (SELECT line, place, i, hash(substr(line, 1, i - 1) || substr(line, i + 1)) AS k, n - 1 AS m
+      FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d)),
+near AS (SELECT v.line FROM v JOIN (SELECT k, i, m, min(place) AS p FROM v GROUP BY ALL) f USING (k, i, m) WHERE p < place
+         UNION SELECT v.line FROM v JOIN d ON hash(d.line) = v.k AND d.n = v.m WHERE d.place < v.place
+         UNION SELECT d.line FROM v JOIN d ON hash(d.line) = v.k AND d.n = v.m WHERE v.place < d.place),
+s AS (SELECT t.*, length(t.line) < 20 OR (d.place = {'doc_id': doc_id, 'line_no': line_no}
+             AND t.line NOT IN (SELECT line FROM near)) AS stays
+      FROM t LEFT JOIN d USING (line)),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
+             coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (stays), '') AS text
+      FROM s GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped,
+       sha256(coalesce(g.text, '')) AS text_sha256
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
@@ -46,6 +68,7 @@ def op5_exact_dedup(spark, sf_dir: str):
 QUERIES = {
     "op1_decontamination": (decontaminate.op1_decontamination, OP1_SQL),
     "op2_toxicity": (toxicity.op2_toxicity, None),
+    "op4_line_dedup": (lines.op4_line_dedup, OP4_SQL),
     "op5_exact_dedup": (op5_exact_dedup, OP5_SQL),
     "op6_byte_bpe": (bpe.op6_byte_bpe, None),
     "op9_repeated_passages": (suffixes.op9_repeated_passages, None),
