@@ -34,9 +34,10 @@ from lakeops.llm.common import named, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # What the tables of states, pairs and pieces may hold before they are emptied and begun anew.
-MAX_STATES = 150_000
+MAX_STATES = 300_000
 MAX_PAIRS = 400_000
 MAX_PIECES = 300_000
+MAX_CHUNKS = 900_000
 MAX_PIECE_BYTES = 64
 # Code points of a text that are split and encoded at a time, and ids that are decoded at a time.
 STEP = 1 << 16
@@ -72,7 +73,8 @@ class Transducer:
         # the token that ends at each of these bytes.
         self.states: dict[tuple[int, bytes], int] = {}
         self.content: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple]]] = []
+        # By state and byte: the next state and the tokens emitted.
+        self.moves: dict[int, tuple[int, tuple]] = {}
         self.start = self.state(b"", (-1,))
 
     def state(self, data: bytes, ending: tuple) -> int:
@@ -81,7 +83,6 @@ class Transducer:
         if number is None:
             number = self.states[key] = len(self.content)
             self.content.append((data, ending))
-            self.moves.append({})
         return number
 
     def split(self, token: int) -> tuple[int, int] | None:
@@ -169,7 +170,7 @@ class Transducer:
             if root:
                 emitted = tuple([ending[at] for at in self.path(ending, root)])
                 data, ending = data[root:], ending[root:]
-        move = self.moves[state][byte] = (self.state(data, ending), emitted)
+        move = self.moves[state << 8 | byte] = (self.state(data, ending), emitted)
         return move
 
     def path(self, ending: tuple, at: int) -> list[int]:
@@ -190,7 +191,7 @@ class Transducer:
         out: list[int] = []
         state, moves = self.start, self.moves
         for byte in piece:
-            move = moves[state].get(byte)
+            move = moves.get(state << 8 | byte)
             if move is None:
                 if len(self.content) > 2 * MAX_STATES:  # one endless piece: begin the tables anew
                     content = self.content[state]
@@ -213,8 +214,9 @@ class Encoder:
     blanks is remembered as a whole.
     """
 
-    # A blank beside more white space (the class is a superset of what the pattern calls white).
-    OTHER_BLANK = re.compile(r" \s|\s |^ | $")
+    # White space beside a blank, and white space that is rare enough to take the plain way at once.
+    BESIDE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+    RARE_WHITE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
     def __init__(self, tokens: list[bytes], pattern: str):
         self.transducer = Transducer(tokens)
@@ -250,14 +252,23 @@ class Encoder:
     def chunk(self, chunk: str) -> bytes:
         packed = self.matches(" " + chunk)
         if len(chunk) <= MAX_PIECE_BYTES:
-            if len(self.after_blank) >= MAX_PIECES:
+            if len(self.after_blank) >= MAX_CHUNKS:
                 self.after_blank.clear()
             self.after_blank[chunk] = packed
         return packed
 
+    def only_single_blanks(self, text: str) -> bool:
+        """Whether every blank stands between two characters that are no white space."""
+        return not (
+            text[:1] == " "
+            or text[-1:] == " "
+            or any(pair in text for pair in self.BESIDE)
+            or self.RARE_WHITE.search(text)
+        )
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if not self.cut_at_blanks or self.OTHER_BLANK.search(text):
+        if not self.cut_at_blanks or not self.only_single_blanks(text):
             return self.matches(text)
         first, *rest = text.split(" ")
         known, chunk = self.after_blank, self.chunk
