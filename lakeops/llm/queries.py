@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeops.llm import bpe, decontaminate, exact_index, licenses, lines, minhash, suffixes, toxicity
+from lakeops.llm import bpe, decontaminate, exact_index, licenses, lines, minhash, pii, suffixes, toxicity
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = "regexp_extract_all(" + LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -71,6 +71,7 @@ QUERIES = {
     "op4_line_dedup": (lines.op4_line_dedup, OP4_SQL),
     "op5_exact_dedup": (op5_exact_dedup, OP5_SQL),
     "op6_byte_bpe": (bpe.op6_byte_bpe, None),
+    "op7_personal_data": (pii.op7_personal_data, None),
     "op8_license_scan": (licenses.op8_license_scan, licenses.op8_sql()),
     "op9_repeated_passages": (suffixes.op9_repeated_passages, None),
     "op10_near_dedup": (minhash.op10_near_dedup, None),
