@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeops.llm import bpe, decontaminate, exact_index, licenses, lines, minhash, pii, suffixes, toxicity
+from lakeops.llm import bpe, decontaminate, exact_index, licenses, lines, minhash, pii, pll, suffixes, toxicity
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = "regexp_extract_all(" + LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -68,6 +68,7 @@ def op5_exact_dedup(spark, sf_dir: str):
 QUERIES = {
     "op1_decontamination": (decontaminate.op1_decontamination, OP1_SQL),
     "op2_toxicity": (toxicity.op2_toxicity, None),
+    "op3_lm_scoring": (pll.op3_lm_scoring, None),
     "op4_line_dedup": (lines.op4_line_dedup, OP4_SQL),
     "op5_exact_dedup": (op5_exact_dedup, OP5_SQL),
     "op6_byte_bpe": (bpe.op6_byte_bpe, None),
