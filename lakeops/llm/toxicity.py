@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from lakeops.llm.common import named, table
 
-# Labelled documents of each class that are trained on at most.
-MAX_SAMPLE = 4000
+# Labelled documents that are not toxic and that are, of which at most so many are trained on.
+MAX_SAMPLE = (4000, 2000)
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 EPOCHS = 8
@@ -52,19 +52,42 @@ def grams(word: str) -> list[int]:
     return [zlib.crc32(g.encode()) % BUCKETS for g in found]
 
 
-def features(text: str, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and their shares."""
-    counts = Counter(WORD.findall(text.lower()))
-    total = NEUTRAL + sum(n**0.5 for n in counts.values())
-    ids, shares = [], []
-    for w, count in counts.items():
-        g = known.get(w)
-        if g is None:
-            g = known[w] = grams(w)
-        ids += g
-        shares += [count**0.5 / total / len(g)] * len(g)
-    places, where = np.unique(np.array(ids, np.int64), return_inverse=True)
-    return places, np.bincount(where, weights=shares, minlength=len(places)).astype(np.float32)
+class Bags:
+    """The words of some texts as bags of n-grams, and the texts as shares of words.
+
+    Kept by word, so that its size follows the distinct words and not the n-grams of the texts.
+    """
+
+    def __init__(self, texts: list[str]):
+        number: dict[str, int] = {}
+        self.words, self.shares = [], []
+        for text in texts:
+            counts = Counter(WORD.findall(text.lower()))
+            weights = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)))
+            ids = [number.setdefault(w, len(number)) for w in counts]
+            self.words.append(np.array(ids, np.int32))
+            self.shares.append((weights / (NEUTRAL + weights.sum())).astype(np.float32))
+        bags = [np.array(grams(w), np.int32) for w in number]
+        self.sizes = np.array([len(b) for b in bags], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate(bags) if bags else np.empty(0, np.int32)
+
+    def frequent(self) -> np.ndarray:
+        """Which buckets are in enough texts to learn from (a text counts for each of its words)."""
+        of_word = np.bincount(np.concatenate(self.words), minlength=len(self.sizes))
+        of_gram = np.bincount(self.flat, np.repeat(of_word, self.sizes), BUCKETS)
+        return of_gram >= max(3, len(self.words) // RARE)
+
+    def batch(self, part: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the texts of a batch: place in the batch, bucket and share of every n-gram."""
+        words = np.concatenate([self.words[i] for i in part])
+        shares = np.concatenate([self.shares[i] for i in part])
+        texts = np.repeat(np.arange(len(part)), [len(self.words[i]) for i in part])
+        sizes = self.sizes[words]
+        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        ids = self.flat[np.repeat(self.starts[words], sizes) + inside]
+        known = frequent[ids]
+        return np.repeat(texts, sizes)[known], ids[known], np.repeat(shares / sizes, sizes)[known].astype(np.float32)
 
 
 class Model:
@@ -97,36 +120,40 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
     prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     if len(set(toxic)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), prior, prior)
-    known: dict[str, list[int]] = {}
-    rows = [features(t, known) for t in texts]
-    frequent = np.bincount(np.concatenate([r[0] for r in rows]), minlength=BUCKETS)
-    frequent = frequent >= max(3, len(rows) // RARE)
-    rows = [(ids[frequent[ids]], shares[frequent[ids]]) for ids, shares in rows]
+    bags = Bags(texts)
+    frequent = bags.frequent()
     rng = np.random.default_rng(seed)
     table_ = rng.normal(0, 0.05, (BUCKETS, DIMENSIONS)).astype(np.float32)
     out = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     squares = [np.full(BUCKETS, 1e-6, np.float32), np.full(out.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)]
-    filled = [i for i in range(len(rows)) if len(rows[i][0])]
+    filled = np.array([i for i, w in enumerate(bags.words) if len(w)], np.int64)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         order = rng.permutation(filled)
         for at in range(0, len(order), BATCH):
             part = order[at : at + BATCH]
-            ids = np.concatenate([rows[i][0] for i in part])
-            shares = np.concatenate([rows[i][1] for i in part])
-            starts = np.cumsum([0] + [len(rows[i][0]) for i in part[:-1]])
-            mean = SCALE * np.add.reduceat(table_[ids] * shares[:, None], starts)
+            of, ids, shares = bags.batch(part, frequent)
+            if not len(ids):
+                continue
+            # Texts by distinct n-grams, so that a step touches each embedding once.
+            cells, where = np.unique(ids.astype(np.int64) * len(part) + of, return_inverse=True)
+            shares = np.bincount(where, shares, len(cells)).astype(np.float32)
+            of, ids = cells % len(part), cells // len(part)
+            places, where = np.unique(ids, return_inverse=True)
+            vectors = table_[places]
+            mean = np.stack(
+                [np.bincount(of, vectors[where, d] * shares, len(part)) for d in range(DIMENSIONS)], 1
+            ).astype(np.float32) * SCALE
             logits = mean @ out + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(part)), y[part]] -= 1
             p /= len(part)
             to_out, to_bias, to_mean = mean.T @ p, p.sum(axis=0), SCALE * (p @ out.T)
-            of = np.repeat(np.arange(len(part)), np.diff([*starts, len(ids)]))
-            places, where = np.unique(ids, return_inverse=True)
-            push = to_mean[of] * shares[:, None]
-            step = np.stack([np.bincount(where, push[:, d], len(places)) for d in range(DIMENSIONS)], 1).astype(np.float32)
+            step = np.stack(
+                [np.bincount(where, to_mean[of, d] * shares, len(places)) for d in range(DIMENSIONS)], 1
+            ).astype(np.float32)
             squares[0][places] += (step**2).mean(axis=1)
             table_[places] -= rate * step / np.sqrt(squares[0][places])[:, None]
             squares[1] += to_out**2
@@ -145,18 +172,18 @@ def held_out(id_column: Column) -> Column:
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_sample: int = MAX_SAMPLE,
+    max_sample: tuple[int, int] = MAX_SAMPLE,
 ) -> Model:
     """Trains on the labelled documents outside the held-out fold, at most ``max_sample`` of each
-    class, chosen by a hash of the id. Rows without id, text or label are not learnt from; a
+    class (not toxic, toxic), chosen by a hash of the id. Rows without id, text or label are not learnt from; a
     document with several labels counts as toxic if one of them says so.
     """
     marks = labels.select(named(id_col).cast("long").alias("key"), named(label_col).cast("int").alias("mark")).dropna()
     marks = marks.where(~held_out(F.col("key"))).groupBy("key").agg(F.max("mark").alias("mark"))
     order = [F.xxhash64("key"), F.col("key")]
-    chosen = [marks.where(F.col("mark") == m).orderBy(*order).limit(max_sample) for m in (0, 1)]
+    chosen = [marks.where(F.col("mark") == m).orderBy(*order).limit(max_sample[m]) for m in (0, 1)]
     sample = docs.select(named(id_col).cast("long").alias("key"), named(text_col).alias("text")).dropna()
-    # The ids are at most twice max_sample, whatever the tables.
+    # The ids are as many as max_sample at most, whatever the tables.
     rows = sample.join(F.broadcast(chosen[0].unionAll(chosen[1])), "key").collect()
     rows.sort(key=lambda r: (r["key"], r["text"]))
     return train([r["text"] for r in rows], [r["mark"] for r in rows])
