@@ -26,7 +26,7 @@ def fold(times, successes, state, max_attempts: int, lockout: int):
         else:
             if until != NEVER and t > until:
                 count, until = 0, NEVER
-            count = min(count + 1, max_attempts)
+            count += 1
             outcome = "failed"
             if count >= max_attempts:
                 outcome, until = "locked", t + lockout
@@ -67,13 +67,25 @@ class Exits:
         exit_count[n + 1 : self.end] = max_attempts
         exit_until[n + 1 : self.end] = self.t + lockout
 
-        point = np.where(step == self.end, np.arange(2 * n + 2), step)
+        # A lock that follows a lock at the very instant it ends counts one failure more; any other
+        # step starts the count anew. ``gain`` adds these up to the end of the path.
+        here = np.arange(2 * n + 2)
+        point = np.where(step == self.end, here, step)
+        is_lock = (here > n) & (here < self.end)
+        relocks = is_lock & (point > n) & (point < self.end) & (point != here)
+        gain = relocks.astype(np.int64)
+        anew = (point != here) & ~relocks
         while True:
+            gain = np.where(anew[point], gain[point], gain + gain[point])
+            anew = anew | anew[point]
             further = point[point]
             if np.array_equal(further, point):
                 break
             point = further
-        self.count, self.until = exit_count[point], exit_until[point]
+        gain = np.where(is_lock[point], gain, 0)
+        self.count, self.until = exit_count[point] + gain, exit_until[point]
+        # Only relocks up to the end: the count goes on from the one the path is entered with.
+        self.goes_on = np.where(is_lock & ~anew, 1 + gain, 0)
 
     def _after_fresh(self, i, count):
         """The point after being fresh before attempt ``i`` with ``count`` failures so far."""
@@ -117,7 +129,9 @@ class Exits:
         at = at[:reach]
         fresh = np.searchsorted(self.t, at, side="left")
         exact = self._entry(at)
-        lines = (at, self.count[fresh], self.until[fresh], self.count[exact], self.until[exact])
+        # A negative count is what to add to the count the stretch is entered with.
+        count_at = np.where(self.goes_on[exact] > 0, -self.goes_on[exact], self.count[exact])
+        lines = (at, self.count[fresh], self.until[fresh], count_at, self.until[exact])
         # A line that leads where the next one leads adds nothing.
         needed = np.ones(len(at), dtype=bool)
         needed[:-1] = False
@@ -133,5 +147,6 @@ def enter(state, at, count, until, count_at, until_at):
     if j == len(at):
         return state
     if at[j] == state[1]:
-        return int(count_at[j]), int(until_at[j])
+        ahead = int(count_at[j])
+        return (state[0] - ahead if ahead < 0 else ahead), int(until_at[j])
     return int(count[j]), int(until[j])

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeops.functions.text import normalise_whitespace
-from lakeops.operators.skew import TARGET_ROWS, busy_keys
+from lakeops.session import scratch_root
 
 OWNER = ("user", "engine")
 # Entries kept per user and engine, operations kept per session, anonymous user.
@@ -27,14 +27,18 @@ def fold_runs(query_log: DataFrame) -> DataFrame:
     """One line per run from its ``start`` and ``finish`` or ``fail`` events.
 
     ``query_log(user, engine, id, statement, event_time, kind, error, logs)`` with ``event_time`` in
-    epoch milliseconds. A run without an end is RUNNING. A failed run keeps its message and loses
-    its logs.
+    epoch milliseconds. A run without an end is RUNNING. A failed run keeps its message, or the
+    ``error_class`` of the event if the log has that column and there is no message, and loses its
+    logs.
     """
+    message = F.col("error")
+    if "error_class" in query_log.columns:
+        message = F.coalesce(message, F.col("error_class"))
     time = F.col("event_time")
     started, failed = F.col("kind") == "start", F.col("kind") == "fail"
     ended = ~started
     start = F.when(started, F.struct("event_time", "statement"))
-    end = F.when(ended, F.struct(time.alias("ended"), failed.alias("failed"), "error", "logs"))
+    end = F.when(ended, F.struct(time.alias("ended"), failed.alias("failed"), message.alias("error"), "logs"))
     folded = (
         query_log.withColumn("user", owner_name(F.col("user")))
         .groupBy(*OWNER, "id")
@@ -61,38 +65,38 @@ def fold_runs(query_log: DataFrame) -> DataFrame:
 
 
 def compact_consecutive(
-    runs: DataFrame,
-    keys: tuple[str, ...] = OWNER,
-    target_rows: int = TARGET_ROWS,
-    slice_seconds: int = 3600,
+    runs: DataFrame, keys: tuple[str, ...] = OWNER, slices: int | None = None
 ) -> DataFrame:
     """Merge neighbouring runs of a key whose statements match up to whitespace.
 
     The newest run of a group survives with the summed ``execution_count``; a RUNNING run does not
     absorb the runs before it. Runs of a key must not overlap.
 
-    Keys with more than ``target_rows`` runs do not go through one task: their runs are first
-    merged within time slices, in parallel; then only the first and last group of every slice can
-    still join a neighbour, and only those (at most two per slice) are brought together per key.
+    The runs are sorted into ``slices`` ranges of about equal size (as many as shuffle partitions
+    by default), so a busy key is spread over several. Runs are merged inside a range first; then
+    only the first and last group of a key in a range can still join a neighbour, and only these,
+    at most two per key and range, are brought together. Whether two neighbours join depends on
+    their texts and the state of the later one, so a group carries the state of its first run.
     """
+    spark = runs.sparkSession
+    scratch_root(spark)
+    count = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(k) for k in keys] + [F.col("started_at"), F.col("id")]
     rows = runs.withColumns(
         {
             "_text": normalise_whitespace("statement"),
             "execution_count": F.col("execution_count").cast("long"),
+            "_first_running": F.coalesce(F.col("state").isin("RUNNING", "RUNNING_STATE"), F.lit(False)),
         }
     )
-    busy = busy_keys(runs, list(keys), target_rows)
-    if busy is None:
-        return _merged(rows, [*keys], _same_text).select(*runs.columns)
-
-    in_slice = F.floor(F.col("started_at") / (slice_seconds * 1000)).cast("long")
-    sliced = rows.join(busy, list(keys), "left_semi").withColumn("_slice", in_slice)
+    # Written down, so that a lost executor cannot change which range a run is in.
+    sliced = (
+        rows.repartitionByRange(count, *order).withColumn("_slice", F.spark_partition_id()).checkpoint()
+    )
     inside = _merged(sliced, [*keys, "_slice"], _same_text)
     # Groups that cannot join a neighbour stay with their slice, the others meet under null.
     parted = inside.withColumn("_part", F.when(~F.col("_edge"), F.col("_slice"))).drop("_edge")
-    of_busy = _merged(parted, [*keys, "_part"], _same_text_next_slice)
-    of_others = _merged(rows.join(busy, list(keys), "left_anti"), [*keys], _same_text)
-    return of_others.select(*runs.columns).unionByName(of_busy.select(*runs.columns))
+    return _merged(parted, [*keys, "_part"], _same_text_next_slice).select(*runs.columns)
 
 
 def _same_text(window) -> Column:
@@ -106,13 +110,19 @@ def _same_text_next_slice(window) -> Column:
 def _merged(df: DataFrame, group: list[str], joins_next: Callable[..., Column]) -> DataFrame:
     """The newest run of every group of neighbours, with the executions of the group.
 
-    ``_edge`` marks the first and the last of these in the order of ``group``.
+    ``_first_running`` becomes the state of the group's first run, ``_edge`` marks the first and
+    the last group in the order of ``group``.
     """
     window = W.partitionBy(*group).orderBy("started_at", "id")
-    running = F.coalesce(F.col("state").isin("RUNNING", "RUNNING_STATE"), F.lit(False))
-    joined = F.coalesce(joins_next(window) & ~F.lead(running).over(window), F.lit(False))
-    so_far = F.sum("execution_count").over(window.rowsBetween(W.unboundedPreceding, 0))
-    newest = df.withColumns({"_joined": joined, "_total": so_far}).where(~F.col("_joined"))
+    so_far = window.rowsBetween(W.unboundedPreceding, 0)
+    joined = F.coalesce(joins_next(window) & ~F.lead("_first_running").over(window), F.lit(False))
+    begins = ~F.coalesce(F.lag("_joined").over(window), F.lit(False))
+    newest = (
+        df.withColumns({"_joined": joined, "_total": F.sum("execution_count").over(so_far)})
+        .withColumn("_starts", F.when(begins, F.col("_first_running")))
+        .withColumn("_first_running", F.last("_starts", ignorenulls=True).over(so_far))
+        .where(~F.col("_joined"))
+    )
     # What was counted since the group before. The rows are still in the order of the first
     # window, so neither a shuffle nor a sort comes in between.
     before, after = F.lag("_total").over(window), F.lead("_total").over(window)
@@ -121,7 +131,7 @@ def _merged(df: DataFrame, group: list[str], joins_next: Callable[..., Column])
             "execution_count": F.col("_total") - F.coalesce(before, F.lit(0)),
             "_edge": before.isNull() | after.isNull(),
         }
-    ).drop("_joined", "_total")
+    ).drop("_joined", "_total", "_starts")
 
 
 def cap_history(
@@ -186,23 +196,23 @@ def session_counters(operations: DataFrame) -> DataFrame:
 
 
 def session_totals(operations: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Counters joined with the engine snapshot, if there is one.
+    """Counters and engine snapshots of all sessions that have either.
 
-    The total is the larger of the snapshot's total and our own count of executions.
+    The total is the larger of the snapshot's total and our own count of executions. Further
+    columns of the snapshot (engine name and address, pool sizes) follow as they are.
     """
     counters = session_counters(operations)
     zero = F.lit(0).cast("long")
-    return counters.join(
-        snapshots.select("session", "engine_id", "opened_at", "total_operations"), "session", "left"
-    ).select(
+    known = ("session", "engine_id", "opened_at", "total_operations")
+    more = [F.col(f"`{c}`") for c in snapshots.columns if c not in known]
+    numbers = ("pending", "running", "finished", "failed")
+    return counters.join(snapshots, "session", "full").select(
         "session",
         "engine_id",
         F.coalesce("opened_at", zero).alias("opened_at"),
-        F.greatest(F.coalesce("total_operations", zero), "executions").alias("total"),
-        "pending",
-        "running",
-        "finished",
-        "failed",
+        F.greatest(F.coalesce("total_operations", zero), F.coalesce("executions", zero)).alias("total"),
+        *[F.coalesce(n, zero).alias(n) for n in numbers],
+        *more,
     )
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeops.operators.numbering import number_rows
+
 from lakeops.functions.text import format_start, iso_instant, job_id_in
 
 APPLICATION = (
@@ -70,12 +73,14 @@ def flatten_applications(docs: DataFrame, column: str = "json") -> DataFrame:
 def recent_applications(
     apps: DataFrame, limit: int = DEFAULT_LIMIT, min_date: str | None = None
 ) -> DataFrame:
-    """The newest applications from a start date on; the limit is kept within 1..5000.
+    """The newest applications from a start date on, at most 5000; a larger limit is refused.
 
     This limit comes before any owner filter.
     """
+    if not 1 <= limit <= MAX_LIMIT:
+        raise ValueError(f"between 1 and {MAX_LIMIT} applications can be asked for, not {limit}")
     rows = apps.where(F.col("start_time") >= min_date) if min_date else apps
-    return rows.orderBy(F.desc("start_time"), "id").limit(max(1, min(limit, MAX_LIMIT)))
+    return rows.orderBy(F.desc("start_time"), "id").limit(limit)
 
 
 def live_applications(sessions: DataFrame, now_ms: int) -> DataFrame:
@@ -191,14 +196,21 @@ def date_range(
     last_days: int | None = None,
     today: str | None = None,
 ) -> DataFrame:
-    """Rows that start within days, both inclusive: the last 1, 7 or 30 days, or custom bounds."""
-    day = F.substring(format_start("start_time"), 1, 10)
+    """Rows that start within days, both inclusive: the last 1, 7 or 30 days, or custom bounds.
+
+    Starts are texts that begin with the day, so they are compared as they are and the bounds reach
+    the scan.
+    """
+    start = F.col("start_time")
     if last_days is not None:
-        base = F.lit(today).cast("date") if today else F.current_date()
-        return apps.where(day >= F.date_sub(base, last_days).cast("string"))
+        base = datetime.date.fromisoformat(today) if today else datetime.datetime.now(datetime.UTC).date()
+        lower, upper = (base - datetime.timedelta(days=last_days)).isoformat(), None
     if lower:
-        apps = apps.where(day >= lower)
-    return apps.where(day <= upper) if upper else apps
+        apps = apps.where(start >= lower)
+    if upper:
+        after = datetime.date.fromisoformat(upper) + datetime.timedelta(days=1)
+        apps = apps.where(start < after.isoformat())
+    return apps
 
 
 def search(apps: DataFrame, needle: str) -> DataFrame:
@@ -273,7 +285,10 @@ def page_of(
     pages = max(1, -(-total // size))
     page = max(1, min(page, pages))
     skipped = (page - 1) * size
-    rows = sort_by(apps, key, direction, position).offset(skipped).limit(size)
+    # The rows are numbered in sorted ranges, so that a far page is not counted off in one task.
+    order = sort_order(apps, key, direction, position)
+    numbered = number_rows(apps, order, "_place")
+    rows = numbered.where(F.col("_place").between(skipped + 1, skipped + size)).orderBy("_place").drop("_place")
     first = skipped + 1 if total else 0
     return Page(rows, page, pages, first, min(page * size, total), total)
 
@@ -290,6 +305,20 @@ def can_view(requests: DataFrame, apps: DataFrame) -> DataFrame:
     )
 
 
+def can_use_job_ui(requests: DataFrame, live: DataFrame, entries: DataFrame) -> DataFrame:
+    """Adds ``allowed`` to ``requests(user, is_admin)``: whether the user may see the job pages.
+
+    Others than administrators need a live engine of their own (``live(user)``) or a query whose
+    log names a job (``entries(user, logs)``).
+    """
+    recorded = entries.where(job_id_in("logs").isNotNull()).select("user")
+    known = live.select("user").unionAll(recorded).distinct().withColumn("_known", F.lit(True))
+    return requests.join(known, "user", "left").select(
+        *requests.columns,
+        (F.col("is_admin") | F.coalesce("_known", F.lit(False))).alias("allowed"),
+    )
+
+
 def can_open_job(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """Adds ``allowed`` to ``requests(user, is_admin, job_id)``.
 

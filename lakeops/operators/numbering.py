@@ -21,21 +21,23 @@ def number_rows(
     spark = df.sparkSession
     scratch_root(spark)
     ranges = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The id that Spark gives the rows of a sorted range holds the range and the place in it.
     placed = (
         df.repartitionByRange(ranges, *order)
-        .withColumn("_range", F.spark_partition_id())
+        .sortWithinPartitions(*order)
+        .withColumn("_id", F.monotonically_increasing_id())
         .checkpoint()
     )
+    in_range, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = placed.withColumn("_range", in_range)
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         placed.groupBy("_range")
         .agg(F.count(F.lit(1)).alias("_size"))
         .select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     )
-    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))
     return (
-        placed.withColumn("_place", inside)
-        .join(F.broadcast(offsets), "_range")
-        .withColumn(name, (F.col("_place") + F.col("_offset")).cast("long"))
-        .drop("_range", "_place", "_offset")
+        placed.join(F.broadcast(offsets), "_range")
+        .withColumn(name, (place + F.col("_offset") + 1).cast("long"))
+        .drop("_range", "_id", "_offset")
     )

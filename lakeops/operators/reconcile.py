@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,6 +72,13 @@ class _Side:
         return F.col(f"{self.alias}.{name}")
 
 
+def _plain_decimal(value: Column) -> Column:
+    """A decimal as text without sign of plus, leading and trailing zeros: exact at any length."""
+    text = F.regexp_replace(F.trim(value.cast("string")), r"^(-?)\+?0*(?=[0-9])", "$1")
+    text = F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1")
+    return F.regexp_replace(F.regexp_replace(text, r"\.$", ""), "^-(?=0$)", "")
+
+
 def _differs(rule: str, left: Column, right: Column, strict: bool) -> Column:
     """True where the rule fails; a null matches only a null."""
     if rule in ("exact", "timestamp"):
@@ -82,7 +90,7 @@ def _differs(rule: str, left: Column, right: Column, strict: bool) -> Column:
     if rule == "int":
         return ~left.cast("long").eqNullSafe(right.cast("long"))
     if rule == "decimal":
-        return ~left.cast("decimal(38,10)").eqNullSafe(right.cast("decimal(38,10)"))
+        return ~_plain_decimal(left).eqNullSafe(_plain_decimal(right))
     if rule == "double":
         a, b = left.cast("double"), right.cast("double")
         if strict:
@@ -103,19 +111,48 @@ def reconcile(
 ) -> DataFrame:
     """One row per mismatch: the keys, ``column``, ``expected``, ``actual`` and ``reason``.
 
-    Rows pair up on null-safe keys in a full outer join. Rows on one side only give a
-    ``missing`` or ``extra`` line; pairs give one ``mismatch`` line per failed rule.
+    Rows that are the same text on both sides cancel out first, so that repeated rows are compared
+    as often as they occur and a key that is frequent on both sides does not reach the join. What
+    is left pairs up on null-safe keys, in the order of the values where a key repeats. Rows on one
+    side only give a ``missing`` or ``extra`` line; pairs give one ``mismatch`` line per failed rule.
     """
     rules = rules or {c: "exact" for c in expected.columns if c not in keys}
     left, right = _Side("e"), _Side("a")
     times = [c for c, rule in rules.items() if rule == "timestamp"]
 
-    def side(df: DataFrame, alias: str) -> DataFrame:
+    def side(df: DataFrame) -> DataFrame:
         texts = {c: timestamp_text(df, c) for c in times}
-        return df.select(*keys, *rules).withColumns({**texts, "_here": F.lit(True)}).alias(alias)
-
-    e, a = side(expected, "e"), side(actual, "a")
-    paired = e.join(a, reduce(Column.__and__, [left[k].eqNullSafe(right[k]) for k in keys]), "full")
+        return df.select(*keys, *rules).withColumns(texts)
+
+    def texts_of(df: DataFrame) -> list[Column]:
+        return [
+            (_plain_decimal(F.col(c)) if rules.get(c) == "decimal" else F.col(c).cast("string")).alias(f"_t{i}")
+            for i, c in enumerate([*keys, *rules])
+        ]
+
+    names = [f"_t{i}" for i in range(len(keys) + len(rules))]
+    given, found_rows = side(expected), side(actual)
+    counted = [
+        df.select(*texts_of(df)).groupBy(*names).agg(F.count(F.lit(1)).alias("_n")) for df in (given, found_rows)
+    ]
+    both = counted[0].withColumn("_sign", F.lit(1)).unionAll(counted[1].withColumn("_sign", F.lit(-1)))
+    spare = both.groupBy(*names).agg(F.sum(F.col("_n") * F.col("_sign")).alias("_spare")).where(F.col("_spare") != 0)
+
+    def left_over(df: DataFrame, sign: int, alias: str) -> DataFrame:
+        """The rows that found no equal one, each as often as that, numbered within their key."""
+        lines = df.select("*", *texts_of(df)).dropDuplicates(names)
+        unmatched = spare.where(F.col("_spare") * sign > 0)
+        unmatched = unmatched.select(*[F.col(n).alias(f"_s{n}") for n in names], (F.col("_spare") * sign).alias("_times"))
+        same = reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"_s{n}")) for n in names])
+        repeated = lines.join(unmatched, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+        in_key = W.partitionBy(*names[: len(keys)]).orderBy(*names[len(keys) :], "_copy")
+        return repeated.select(
+            *keys, *rules, F.row_number().over(in_key).alias("_nth"), F.lit(True).alias("_here")
+        ).alias(alias)
+
+    e, a = left_over(given, 1, "e"), left_over(found_rows, -1, "a")
+    on = [left[k].eqNullSafe(right[k]) for k in keys] + [left["_nth"] == right["_nth"]]
+    paired = e.join(a, reduce(Column.__and__, on), "full")
 
     def finding(column: str, was: Column, now: Column, reason: str) -> Column:
         return F.struct(
@@ -220,7 +257,7 @@ def interop_matrix(
         try:
             write_format(expected, f"{base_dir}/{writer}", writer)
         except Exception as error:  # a writer that fails must not stop the matrix
-            detail = f"writer failed: {type(error).__name__}"
+            detail = f"writer failed: {type(error).__name__}: {str(error)[:200]}"
             verdicts += [(writer, reader, False, detail) for reader in readers]
             continue
         written = read_format(spark, f"{base_dir}/{writer}", writer, expected.schema)
@@ -231,7 +268,7 @@ def interop_matrix(
                 actual = read_format(spark, copy, reader, expected.schema)
                 failures = _pair_failures(expected, actual, shape, later)
             except Exception as error:  # nor must a reader
-                failures = f"reader failed: {type(error).__name__}"
+                failures = f"reader failed: {type(error).__name__}: {str(error)[:200]}"
             verdicts.append((writer, reader, failures == "", failures))
     return spark.createDataFrame(
         verdicts, "writer string, reader string, passed boolean, detail string"

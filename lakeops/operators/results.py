@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Rows kept for a screen and for an export.
+# Rows kept for a screen, and the bound of an export that asks for one.
 INTERACTIVE_ROWS = 1000
 EXPORT_ROWS = 100_000
 
@@ -56,9 +56,11 @@ def export_cells(df: DataFrame) -> DataFrame:
     return df.select(*[cell(field) for field in df.schema.fields])
 
 
-def export(df: DataFrame, path: str, format: str = "csv", max_rows: int = EXPORT_ROWS) -> None:
-    """Write the bounded, typed rows to a file set; CSV files carry a header."""
-    writer = export_cells(bounded(df, max_rows)).write.mode("overwrite")
+def export(df: DataFrame, path: str, format: str = "csv", max_rows: int | None = None) -> None:
+    """Write the typed rows to a file set; CSV files carry a header. ``max_rows`` bounds them, for
+    instance to ``EXPORT_ROWS``; by default all are written."""
+    rows = df if max_rows is None else bounded(df, max_rows)
+    writer = export_cells(rows).write.mode("overwrite")
     if format == "csv":
         writer = writer.option("header", True)
     writer.format(format).save(path)

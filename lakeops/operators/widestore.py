@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeops.functions.cells import decoded_text, display_key, is_binary
+from lakeops.operators.numbering import number_rows
 
 CELLS_SCHEMA = (
     "row_key binary, column string, ts timestamp, seq long, value binary, deleted boolean"
@@ -25,6 +26,8 @@ MAX_GRID_COLUMNS = 60
 MAX_GRID_TEXT = 140
 
 _CELL = ("row_key", "column")
+# Place of a bulk line over all its files.
+POSITION = "_position"
 
 
 def as_key(key: str | bytes) -> bytes:
@@ -158,6 +161,12 @@ def _page_keys(selected: DataFrame, predicates: list | None, limit: int) -> list
     return found
 
 
+def _check_limit(limit: int, most: int) -> None:
+    """A limit that cannot be met is refused, not cut."""
+    if not 0 < limit <= most:
+        raise ValueError(f"between 1 and {most} rows can be asked for, not {limit}")
+
+
 def _rows_of(chosen: DataFrame, keys: list[bytes], predicates: list | None) -> DataFrame:
     """The selected cells of at most 1000 rows, read by their key range."""
     if not keys:
@@ -190,16 +199,15 @@ def scan(
     columns: list[str] | None = None,
     predicates: list[ValueEquals | ColumnValue] | None = None,
 ) -> DataFrame:
-    """Latest cells of the first ``limit`` rows in key order, at most 1000 rows.
+    """Latest cells of the first ``limit`` rows in key order; more than 1000 are refused.
 
     The keys of these rows are found first, which runs right away and brings at most 1000 keys
     to the driver. The result then reads only their key range, whatever the size of the store.
     """
-    if limit <= 0:
-        raise ValueError("scan limit must be positive")
+    _check_limit(limit, MAX_SCAN)
     chosen = cells.where(_chosen_columns(columns))
     selected = chosen.where(_key_range(start, start_inclusive, prefix))
-    keys = _page_keys(selected, predicates, min(limit, MAX_SCAN))
+    keys = _page_keys(selected, predicates, limit)
     return _rows_of(chosen, keys, predicates)
 
 
@@ -225,9 +233,7 @@ def page(
 
     One key more than the page shows is fetched to learn whether there is a next page.
     """
-    if size <= 0:
-        raise ValueError("page size must be positive")
-    size = min(size, MAX_PAGE)
+    _check_limit(size, MAX_PAGE)
     first = cursor is None
     chosen = cells.where(_chosen_columns(columns))
     selected = chosen.where(_key_range(start if first else cursor, first, prefix))
@@ -246,8 +252,9 @@ def search_rows(cells: DataFrame, text: str, limit: int = 50) -> DataFrame:
 
 def autocomplete(cells: DataFrame, prefix: str | bytes = "", limit: int = 20) -> DataFrame:
     """The first row keys with a prefix."""
+    _check_limit(limit, MAX_SCAN)
     selected = cells.where(_key_range("", True, prefix))
-    keys = _page_keys(selected, None, min(limit, MAX_SCAN))
+    keys = _page_keys(selected, None, limit)
     return cells.sparkSession.createDataFrame([(key,) for key in keys], "row_key binary")
 
 
@@ -293,7 +300,7 @@ def put_rows(cells: DataFrame, updates: DataFrame) -> DataFrame:
     ``updates`` holds ``row_key, column, ts, seq, value``. It fails when it has a row key without
     a column, which is a put without cells.
     """
-    checked = F.when(F.col("column").isNull(), F.raise_error(F.lit("no cells to write"))).otherwise(
+    checked = F.when(F.col("column").isNull(), F.raise_error(F.lit("an update needs a column"))).otherwise(
         F.col("column")
     )
     new = updates.select(
@@ -312,7 +319,7 @@ def put_row(
 ) -> DataFrame:
     """Write the given cells of one row at one time."""
     if not values:
-        raise ValueError("no cells to write")
+        raise ValueError("an update needs a column")
     spark = cells.sparkSession
     rows = [
         (as_key(key), column, ts, seq, None if value is None else as_key(value))
@@ -385,12 +392,14 @@ def apply_retention(cells: DataFrame, families: DataFrame, now: str) -> DataFram
 def cells_from_rows(rows: DataFrame, ts: str, seq: Column | None = None) -> DataFrame:
     """Cells of a table whose first column is the row key and the others are ``cf:q`` text.
 
-    Rows with an empty key and empty fields are skipped. ``seq`` orders repeated keys; by default
-    it is the position in the input, so the last one wins.
+    Rows with an empty key and empty fields are skipped. ``seq`` orders repeated keys, the last one
+    wins: a column, or the position in the input of a table that is one file or made in order.
     """
-    key, *columns = rows.columns
+    key, *columns = [c for c in rows.columns if c != POSITION]
+    if seq is None and POSITION in rows.columns:
+        seq = F.col(POSITION)
     if not columns:
-        raise ValueError("the CSV needs a header row with a key and at least one column")
+        raise ValueError("bulk rows need a key and one more column")
     numbered = rows.withColumn("_seq", F.monotonically_increasing_id() if seq is None else seq)
     entries = F.array(
         *[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("text")) for c in columns]
@@ -412,7 +421,7 @@ def cells_from_rows(rows: DataFrame, ts: str, seq: Column | None = None) -> Data
 
 def rows_written(rows: DataFrame) -> DataFrame:
     """How many rows of a bulk table have a key and at least one filled field."""
-    key, *columns = rows.columns
+    key, *columns = [c for c in rows.columns if c != POSITION]
 
     def filled(column: str) -> Column:
         return F.coalesce(F.col(f"`{column}`"), F.lit("")) != ""
@@ -428,13 +437,33 @@ def read_bulk_csv(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     header = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"')
     rows = header.csv(path)
     if len(rows.columns) < 2 or rows.isEmpty():
-        raise ValueError("the CSV needs a header row and at least one data row")
+        raise ValueError("a bulk file needs a header with a key and one more column, and a line of data")
     return rows
 
 
 def bulk_load(spark: SparkSession, path: str, ts: str, multi_line: bool = True) -> DataFrame:
-    """The cells of a CSV file whose header is the key and ``cf:q`` columns."""
-    return cells_from_rows(read_bulk_csv(spark, path, multi_line), ts)
+    """The cells of CSV files whose header is the key and ``cf:q`` columns.
+
+    Files are taken in the order of their paths, lines in the order of the file; of repeated keys
+    the last line wins.
+    """
+    return cells_from_rows(in_file_order(read_bulk_csv(spark, path, multi_line)), ts)
+
+
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """Adds ``POSITION``: consecutive numbers by file path, block of the file and line in it.
+
+    Spark packs blocks of files into tasks by size, so the number that tasks give their lines says
+    nothing about the order of files; within a block it does.
+    """
+    placed = rows.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+    order = [F.col("_file"), F.col("_block"), F.col("_line")]
+    return number_rows(placed, order, POSITION).drop("_file", "_block", "_line")
 
 
 def display_cells(live: DataFrame) -> DataFrame:
@@ -472,10 +501,14 @@ def to_grid(live: DataFrame, max_columns: int = MAX_GRID_COLUMNS) -> DataFrame:
         ).otherwise(text)
     )
     grid = live.select("row_key", "column", shown.alias("_shown")).groupBy("row_key")
-    grid = grid.pivot("column", names).agg(F.first("_shown")).fillna("", names)
+    grid = grid.pivot("column", names).agg(F.first("_shown"))
+
+    def quoted(name: str) -> Column:
+        return F.col("`" + name.replace("`", "``") + "`")
+
     return grid.select(
         display_key(F.col("row_key")).alias("row_key"),
-        *[F.col(f"`{n}`") for n in names],
+        *[F.coalesce(quoted(n), F.lit("")).alias(n) for n in names],
         F.lit(len(names)).alias("columns_shown"),
         F.lit(total).alias("columns_total"),
     )

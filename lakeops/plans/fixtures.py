@@ -606,9 +606,9 @@ VIEW_SQL["v_mutations"] = (
 VIEW_SQL["v_verdicts"] = (
     "SELECT *, CASE WHEN lower(operation) NOT IN ('grant', 'revoke') OR trim(role) = '' "
     "OR trim(subject) = '' OR trim(coalesce(resource, '')) = '' OR trim(privilege) = '' "
-    "OR privilege = 'OWN_TABLE' THEN 'unsupported or incomplete mutation' "
+    "OR privilege = 'OWN_TABLE' THEN 'a field is missing, or operation or privilege is unknown' "
     "WHEN NOT (starts_with(subject, 'user:') OR starts_with(subject, 'role:')) "
-    "THEN 'subject must be user:<name> or role:<name>' ELSE '' END AS reason FROM v_mutations"
+    "THEN 'subject is neither a user nor a role' ELSE '' END AS reason FROM v_mutations"
 )
 
 

@@ -38,8 +38,8 @@ def compacted_runs(t: Tables) -> DataFrame:
 
 @query(f"SELECT {_SQL_ENTRY}, execution_count FROM v_compact")
 def compacted_runs_of_busy_users(t: Tables) -> DataFrame:
-    """The same with every user of more than 30 runs on an engine cut into slices of an hour."""
-    return h.compact_consecutive(v.runs(t), target_rows=30).select(*_ENTRY, "execution_count")
+    """The same with the runs cut into many slices, so that most users lie in several."""
+    return h.compact_consecutive(v.runs(t), slices=64).select(*_ENTRY, "execution_count")
 
 
 def _capped(n: int, key: str) -> str:
@@ -112,8 +112,9 @@ def session_counters(t: Tables) -> DataFrame:
 
 @query(
     f"WITH c AS ({_SESSION_SQL}) SELECT session, engine_id, coalesce(opened_at, 0) AS opened_at, "
-    "greatest(coalesce(total_operations, 0), executions) AS total, pending, running, finished, failed "
-    "FROM c LEFT JOIN v_snapshots USING (session)"
+    "greatest(coalesce(total_operations, 0), coalesce(executions, 0)) AS total, coalesce(pending, 0) AS pending, "
+    "coalesce(running, 0) AS running, coalesce(finished, 0) AS finished, coalesce(failed, 0) AS failed "
+    "FROM c FULL JOIN v_snapshots USING (session)"
 )
 def session_totals(t: Tables) -> DataFrame:
     return h.session_totals(v.operations(t), v.snapshots(t))

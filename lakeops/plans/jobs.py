@@ -58,7 +58,7 @@ def flattened_applications(t: Tables) -> DataFrame:
     "ORDER BY start_time DESC, id LIMIT 5000"
 )
 def recent_applications(t: Tables) -> DataFrame:
-    return j.recent_applications(v.applications(t), 100_000, "1996-01-01")
+    return j.recent_applications(v.applications(t), 5000, "1996-01-01")
 
 
 @query(f"SELECT {_SQL_APP} FROM v_live")

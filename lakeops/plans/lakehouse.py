@@ -137,7 +137,7 @@ def union_count(t: Tables) -> DataFrame:
     "o_orderkey % 3 AS remainder, upper(o_orderpriority) AS upper_text, "
     "concat(o_orderstatus, o_orderpriority) AS joined, "
     "CASE WHEN o_totalprice > 250000 THEN 'yes' ELSE 'no' END AS chosen, "
-    "CAST(o_custkey AS VARCHAR) AS as_text, CAST(o_custkey AS INTEGER) AS as_int, "
+    "CAST(o_custkey AS VARCHAR) AS as_text, CAST(o_custkey AS INTEGER) AS as_int, CAST(o_orderkey || '0000000000' AS BIGINT) AS as_bigint, epoch_us(CAST(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP)) AS as_timestamp, "
     "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS as_decimal, "
     "strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS as_date, "
     "CAST(len([o_orderkey, o_custkey, 3]) AS INTEGER) AS array_size, "
@@ -166,6 +166,8 @@ def scalar_battery(t: Tables) -> DataFrame:
         F.when(F.col("o_totalprice") > 250000, "yes").otherwise("no").alias("chosen"),
         customer.cast("string").alias("as_text"),
         customer.cast("int").alias("as_int"),
+        F.concat("o_orderkey", F.lit("0000000000")).cast("bigint").alias("as_bigint"),
+        F.unix_micros(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").cast("timestamp")).alias("as_timestamp"),
         F.col("o_totalprice").cast("decimal(18,2)").cast("double").alias("as_decimal"),
         day.cast("string").alias("as_date"),
         F.size(F.array(key, customer, F.lit(3))).alias("array_size"),

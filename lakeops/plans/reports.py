@@ -139,16 +139,6 @@ def test_totals(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ files
 
 
-@query()
-def file_inventory(t: Tables) -> DataFrame:
-    return files.file_inventory(t.spark, t.sf_dir, recursive=True)
-
-
-@query()
-def file_previews(t: Tables) -> DataFrame:
-    return files.file_previews(t.spark, t.sf_dir, recursive=True)
-
-
 @query(
     "WITH s AS (SELECT path, size, list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM v_files), "
     "d AS (SELECT path, size, p, unnest(range(len(p) + 1)) AS depth FROM s) "

@@ -140,7 +140,7 @@ LOCKOUT_SQL = (
     "UNION ALL SELECT n.\"user\", n.us, n.seq, n.success, n.n, "
     "CASE WHEN n.us < f.until THEN 'blocked' WHEN n.success THEN 'success' "
     f"WHEN {_STATE} >= 4 THEN 'locked' ELSE 'failed' END, "
-    f"CASE WHEN n.us < f.until THEN f.cnt WHEN n.success THEN 0 ELSE least({_STATE} + 1, 5) END, "
+    f"CASE WHEN n.us < f.until THEN f.cnt WHEN n.success THEN 0 ELSE {_STATE} + 1 END, "
     "CASE WHEN n.us < f.until THEN f.until WHEN n.success THEN -1 "
     f"WHEN {_STATE} >= 4 THEN n.us + {_DAY}000000 ELSE -1 END "
     "FROM f JOIN v_attempts n ON n.\"user\" = f.\"user\" AND n.n = f.n + 1) "
@@ -235,15 +235,42 @@ def validated_mutations(t: Tables) -> DataFrame:
     return p.validate_mutations(v.mutations(t)).drop("ts", "user", "tool", "backend_ok")
 
 
+# The privileges, with a second line that denies what every role with an odd name length holds.
+_AFTER = (
+    "WITH p AS (SELECT role, resource, privilege, condition FROM v_privileges UNION ALL "
+    "SELECT role, resource, privilege, 'DENY' FROM v_privileges WHERE length(role) % 2 = 1), "
+    "e AS (SELECT role, resource, privilege, max(seq) FILTER (WHERE lower(operation) = 'revoke') AS r, "
+    "max(seq) FILTER (WHERE lower(operation) = 'grant') AS g FROM v_verdicts "
+    "WHERE reason = '' AND starts_with(subject, 'role:') GROUP BY role, resource, privilege), "
+    "b AS (SELECT p.* FROM p LEFT JOIN e USING (role, resource, privilege) WHERE e.r IS NULL), "
+    "a AS (SELECT * FROM b UNION ALL SELECT role, resource, privilege, 'ALLOW' FROM e "
+    "WHERE g > coalesce(r, -1) AND NOT EXISTS (SELECT 1 FROM b WHERE b.role = e.role "
+    "AND b.resource = e.resource AND b.privilege = e.privilege AND upper(b.condition) = 'ALLOW')) "
+)
+
+
+def _with_denials(t: Tables) -> DataFrame:
+    lines = v.role_privileges(t)
+    denied = lines.where(F.length("role") % 2 == 1).withColumn("condition", F.lit("DENY"))
+    return lines.unionByName(denied)
+
+
 @query(
-    "WITH m AS (SELECT role, resource, privilege, seq, lower(operation) AS op, 'ALLOW' AS condition "
-    "FROM v_verdicts WHERE reason = '' AND starts_with(subject, 'role:') UNION ALL "
-    "SELECT role, resource, privilege, 0, 'base', upper(condition) FROM v_privileges), "
-    "l AS (SELECT *, row_number() OVER (PARTITION BY role, resource, privilege ORDER BY seq DESC) AS n FROM m) "
-    "SELECT role, resource, privilege, condition FROM l WHERE n = 1 AND op <> 'revoke'"
+    _AFTER + "SELECT role, resource, privilege, condition FROM a"
 )
 def privileges_after_mutations(t: Tables) -> DataFrame:
-    return p.apply_to_privileges(v.role_privileges(t), v.mutations(t))
+    after = p.apply_to_privileges(_with_denials(t), v.mutations(t))
+    return after.select("role", "resource", "privilege", "condition")
+
+
+@query(
+    _AFTER + "SELECT resource, 'role:' || role AS subject, "
+    "string_agg(DISTINCT privilege, ',' ORDER BY privilege) AS actions, "
+    "'ALLOW' AS effect FROM a WHERE upper(condition) = 'ALLOW' GROUP BY role, resource"
+)
+def policies_after_mutations(t: Tables) -> DataFrame:
+    policies = p.list_policies(p.apply_to_privileges(_with_denials(t), v.mutations(t)))
+    return policies.withColumn("actions", F.array_join(F.array_sort("actions"), ","))
 
 
 @query(

@@ -46,7 +46,7 @@ def scan_from_key(t: Tables) -> DataFrame:
 )
 def scan_after_key(t: Tables) -> DataFrame:
     rows = ws.scan(
-        v.cells(t), start="u00000003", start_inclusive=False, prefix="u", limit=5000, columns=["cf"]
+        v.cells(t), start="u00000003", start_inclusive=False, prefix="u", limit=1000, columns=["cf"]
     )
     return _shown(rows)
 

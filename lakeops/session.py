@@ -51,8 +51,9 @@ def scratch_root(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = getattr(spark, "_lakeops_scratch", None)
         if root is None:
-            root = tempfile.mkdtemp(prefix="lakeops-")
-            spark._lakeops_scratch = root
+            # Goes with the session, at the latest when Python ends.
+            spark._lakeops_folder = tempfile.TemporaryDirectory(prefix="lakeops-", ignore_cleanup_errors=True)
+            root = spark._lakeops_scratch = spark._lakeops_folder.name
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root

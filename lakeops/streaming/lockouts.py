@@ -13,7 +13,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lakeops.functions.attempts import FRESH, NEVER, fold
 from lakeops.operators.lockout import LOCKOUT_SECONDS, MAX_ATTEMPTS, user_key
 
-WATERMARK = "10 minutes"
 _FIELDS = (
     "user string, at long, seq long, success boolean, outcome string, count int, until long"
 )
@@ -23,21 +22,17 @@ def stream_lockouts(
     attempts: DataFrame,
     max_attempts: int = MAX_ATTEMPTS,
     lockout_seconds: int = LOCKOUT_SECONDS,
-    watermark: str = WATERMARK,
 ) -> DataFrame:
     """``lockouts`` continuously; ``attempts(username, ts, seq, success)`` is a stream.
 
     The attempts of a user in one micro-batch are taken in time order. An attempt older than the
     last one of its user comes out as ``late`` and changes nothing. A micro-batch holds what the
-    source limits it to, so give the source a file or offset limit. State that no attempt after
-    the watermark can depend on is dropped.
+    source limits it to, so give the source a file or offset limit. There is no watermark, as that
+    would drop old attempts unseen: every attempt comes out once. The state is three numbers a user.
     """
     lockout = lockout_seconds * 1_000_000
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         count, until, last = state.get if state.exists else (*FRESH, NEVER)
         columns = [[b[c].to_numpy() for c in ("at", "seq", "success")] for b in batches]
         at, seq, success = (np.concatenate(parts) for parts in zip(*columns))
@@ -59,17 +54,11 @@ def stream_lockouts(
                 "until": [before[1]] * late + untils,
             }
         )
-        last = max(last, int(at[-1]))
-        state.update((count, until, last))
-        # A running lock matters until it ends, a clear state only to attempts before ``last``.
-        if until != NEVER or count == 0:
-            end = max(until, last) // 1000 + 1
-            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        state.update((count, until, max(last, int(at[-1]))))
 
     ts = F.col("ts").cast("timestamp")
     return (
         attempts.select(user_key(F.col("username")).alias("user"), ts.alias("ts"), "seq", "success")
-        .withWatermark("ts", watermark)
         .withColumn("at", F.unix_micros("ts"))
         .groupBy("user")
         .applyInPandasWithState(
@@ -77,7 +66,7 @@ def stream_lockouts(
             _FIELDS,
             "count int, until long, last long",
             "append",
-            GroupStateTimeout.EventTimeTimeout,
+            GroupStateTimeout.NoTimeout,
         )
         .select(
             "user",

@@ -61,9 +61,9 @@ def test_running_run_is_not_merged(spark):
     assert [(r.id, r.execution_count) for r in got] == [("q0002", 2), ("q0003", 1)]
 
 
-@pytest.mark.parametrize("slice_seconds, target_rows", [(1, 60), (7, 10), (60, 0), (10**6, 60), (1, 10**6)])
-def test_compaction_against_replay(spark, slice_seconds, target_rows):
-    rng = random.Random(slice_seconds)
+@pytest.mark.parametrize("slices", [1, 2, 7, 40])
+def test_compaction_against_replay(spark, slices):
+    rng = random.Random(slices)
     rows, log, at = [], [], {}
     for i in range(400):
         user = "hot" if rng.random() < 0.7 else rng.choice("ab")
@@ -72,7 +72,7 @@ def test_compaction_against_replay(spark, slice_seconds, target_rows):
         rows.append(run(i, text, user=user, at=at[user]))
         log += events(i, text, at[user], at[user] + 10, user=user)
     runs = spark.createDataFrame(rows, RUN)
-    got = h.compact_consecutive(runs, h.OWNER, target_rows, slice_seconds).collect()
+    got = h.compact_consecutive(runs, h.OWNER, slices).collect()
     want = replay(log, 10**9)
     for (user, _), entries in want.items():
         mine = sorted((r for r in got if r.user == user), key=lambda r: -r.started_at)
@@ -82,6 +82,40 @@ def test_compaction_against_replay(spark, slice_seconds, target_rows):
     assert sum(r.execution_count for r in got) == 400
 
 
+@pytest.mark.parametrize("slices", [1, 2, 5, 60])
+def test_unfinished_runs_between_slices(spark, slices):
+    """A group that begins with a running run never joins the one before, in any slice."""
+    rng = random.Random(7)
+    rows = [run(i, rng.choice("xxy"), rng.choice(["FINISHED", "FINISHED", "RUNNING"])) for i in range(120)]
+    want, before = [], None
+    for i, row in enumerate(rows):
+        entry = dict(zip([c.split()[0] for c in RUN.split(", ")], row))
+        if before and before["statement"] == entry["statement"] and entry["state"] != "RUNNING":
+            want[-1] = (entry["id"], want[-1][1] + 1)
+        else:
+            want.append((entry["id"], 1))
+        before = entry
+    got = h.compact_consecutive(spark.createDataFrame(rows, RUN), h.OWNER, slices).orderBy("started_at").collect()
+    assert [(r.id, r.execution_count) for r in got] == want
+
+
+def test_error_class_stands_for_a_missing_message(spark):
+    log = spark.createDataFrame(events(1, "a", 1, 2, "fail"), LOG)
+    named = log.withColumn("error_class", F.when(F.col("kind") == "fail", "TimeoutException"))
+    assert [r.error for r in h.fold_runs(named).collect()] == ["TimeoutException"]
+
+
+def test_sessions_without_operations_have_totals(spark):
+    operations = spark.createDataFrame([("s1", "RUNNING", 2)], "session string, state string, execution_count long")
+    snapshots = spark.createDataFrame(
+        [("s2", "e", 5, 7, "main", 4)],
+        "session string, engine_id string, opened_at long, total_operations long, engine_name string, pool_size int",
+    )
+    got = {r.session: r for r in h.session_totals(operations, snapshots).collect()}
+    assert (got["s1"].total, got["s1"].running, got["s1"].engine_name) == (2, 2, None)
+    assert (got["s2"].total, got["s2"].finished, got["s2"].pool_size) == (7, 0, 4)
+
+
 def test_cap_is_99_after_a_merge(spark):
     rows = [run(i, f"s{i}") for i in range(101)]
     size = lambda rows: h.cap_history(h.compact_consecutive(spark.createDataFrame(rows, RUN))).collect()

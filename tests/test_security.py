@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -59,8 +60,9 @@ def test_exits_agree_with_the_fold(seed):
         assert exits.from_count(count) == fold(times, oks, (count, NEVER), limit, lockout)[3]
     lines = exits.from_locks()
     for until in range(times[0] - 3, times[0] + lockout + 1):
-        expected = fold(times, oks, (limit, until), limit, lockout)[3]
-        assert enter((limit, until), *lines) == expected, until
+        for count in (limit, limit + 2):
+            expected = fold(times, oks, (count, until), limit, lockout)[3]
+            assert enter((count, until), *lines) == expected, until
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -101,6 +103,20 @@ def test_streamed_lockouts_mark_late_attempts(spark, tmp_path):
     assert [(r.outcome, r.remaining) for r in got] == [("late", 4), ("failed", 4), ("failed", 3)]
 
 
+def test_streamed_lockouts_lose_no_attempt(spark, tmp_path):
+    """Batches far behind those before: attempts of known users are late, a new user's are folded."""
+    folder = tmp_path / "in"
+    batches = [[("a", 500, False)], [("b", 10, False), ("a", 20, False)], [("a", 501, False)], [("c", 0, False), ("b", 9, False)]]
+    for n, batch in enumerate(batches):
+        attempts(spark, batch).coalesce(1).write.mode("append").parquet(str(folder))
+        newest = max(folder.glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+        os.utime(newest, (1_700_000_000 + n, 1_700_000_000 + n))
+        newest.rename(folder / f"{n}.parquet")
+    stream = spark.readStream.schema(ATTEMPTS).option("maxFilesPerTrigger", 1).parquet(str(folder / "*.parquet"))
+    got = {(r.user, (r.ts - T0).total_seconds() / 60): r.outcome for r in drain(stream_lockouts(stream), "lockouts").collect()}
+    assert got == {("a", 500): "failed", ("b", 10): "failed", ("a", 20): "late", ("a", 501): "failed", ("c", 0): "failed", ("b", 9): "late"}
+
+
 # ------------------------------------------------------------------ audit
 
 LINES = [
@@ -215,7 +231,8 @@ def test_grant_then_revoke_is_identity_and_membership_changes(spark):
     new = (1, "grant", READER[0], "role:x", "catalog_iceberg", "DROP_TABLE")
     back = (2, "revoke", READER[0], "role:x", "catalog_iceberg", "DROP_TABLE")
     after, _ = p.apply_mutations(privileges, members, change(new, back))
-    assert sorted(map(tuple, after.collect())) == sorted(map(tuple, lines.collect()))
+    shown = after.select("role", "resource", "privilege", F.upper("condition"))
+    assert sorted(map(tuple, shown.collect())) == sorted(map(tuple, lines.collect()))
     granted, _ = p.apply_mutations(privileges, members, change(back, (3, *new[1:])))
     assert granted.count() == lines.count() + 1
     _, joined = p.apply_mutations(
@@ -226,6 +243,27 @@ def test_grant_then_revoke_is_identity_and_membership_changes(spark):
     assert {r.user for r in seen} == {"analyst"} and len(seen) == 5
 
 
+def test_other_lines_stay_and_the_listing_takes_the_result(spark):
+    lines = [("r", "c", "CATALOG", 0, "USE_CATALOG", "allow"), ("r", "c", "CATALOG", 1, "USE_CATALOG", "DENY"), ("r", "c", "CATALOG", 2, "DROP_TABLE", "DENY")]
+    privileges = spark.createDataFrame(lines, "role string, resource string, resource_type string, pos int, privilege string, condition string")
+    changes = [(1, "grant", "r", "role:r", "c", "DROP_TABLE"), (2, "grant", "n", "role:n", "a.b", "SELECT_TABLE"), (3, "grant", "r", "role:r", "c", "USE_CATALOG")]
+    after = p.apply_to_privileges(privileges, spark.createDataFrame(changes, MUTATION))
+    assert {tuple(r) for r in after.select("role", "resource", "resource_type", "pos", "privilege", "condition").collect()} == {
+        *lines, ("r", "c", "CATALOG", 3, "DROP_TABLE", "ALLOW"), ("n", "a.b", "SCHEMA", 0, "SELECT_TABLE", "ALLOW")
+    }
+    assert {(r.subject, tuple(r.actions)) for r in p.list_policies(after).collect()} == {("role:r", ("USE_CATALOG", "DROP_TABLE")), ("role:n", ("SELECT_TABLE",))}
+    members = spark.createDataFrame([("u", "r")], "user string, role string")
+    joined = p.apply_to_memberships(members, spark.createDataFrame([(1, "grant", "r", "user:superuser:x", "c", "DROP_TABLE")], MUTATION))
+    assert {r.user for r in joined.collect()} == {"u", "superuser:x"}
+
+
+def test_role_lists(spark):
+    role = '{"name":"%s","securableObjects":[{"fullName":"c","type":"CATALOG","privileges":[{"name":"USE_CATALOG","condition":"ALLOW"}]}]}'
+    docs = ['{"roles":[%s,{"role":%s}]}' % (role % "a", role % "b"), " [%s]" % (role % "c"), role % "d", '{"role":%s}' % (role % "e"), None]
+    got = p.flatten_roles(spark.createDataFrame([(d,) for d in docs], "json string")).collect()
+    assert sorted((r.role, r.resource, r.pos, r.privilege) for r in got) == [(x, "c", 0, "USE_CATALOG") for x in "abcde"]
+
+
 def test_describe_and_inventory(spark):
     df = spark.createDataFrame([("c",), ("c.s",), ("c.s.t 1",), ("a.b.c.d",)], "resource string")
     got = {r.resource: (r.resource_type, r.segment, r.qualified_name) for r in p.describe_resources(df).collect()}
