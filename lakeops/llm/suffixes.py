@@ -271,7 +271,8 @@ def _sort_range(batches):
         low, high = min(leads), max(leads)
         for i, mask in zip(open_, found.tolist()):
             masks[i] = mask
-            edge[i] = rows["lead"][i] in (low, high)
+            # What is marked has an earlier equal window in this range, which goes on for both.
+            edge[i] = rows["lead"][i] in (low, high) and mask != (1 << rows["windows"][i]) - 1
     keep = [i for i in range(n) if masks[i] or edge[i]]
     out = {k: [v[i] for i in keep] for k, v in rows.items()}
     out["mask"] = [masks[i] for i in keep]
@@ -281,12 +282,14 @@ def _sort_range(batches):
 
 
 def _explode(batches):
-    """Every window of runs as a row: lead, window, doc_id, at, place."""
+    """Every window of runs that is not marked as a row: window, doc_id, at, place."""
     kind = pa.schema([("window", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int64()), ("place", pa.int32())])
     for batch in batches:
         out = {name: [] for name in kind.names}
         for r in batch.to_pylist():
             for k in range(r["windows"]):
+                if r["mask"] >> k & 1:
+                    continue
                 out["window"].append(r["run"][k : k + LENGTH])
                 out["doc_id"].append(r["doc_id"])
                 out["at"].append(r["at"])
