@@ -28,6 +28,8 @@ MAX_SAMPLE = (4000, 2000)
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 EPOCHS = 8
+# A small sample is gone through more often, for so many steps in all.
+MIN_STEPS = 500
 BATCH = 64
 RATE = 0.4
 # The average is multiplied by this: a few words in a hundred decide.
@@ -128,8 +130,9 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
     bias = np.zeros(2, np.float32)
     squares = [np.full(BUCKETS, 1e-6, np.float32), np.full(out.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)]
     filled = np.array([i for i, w in enumerate(bags.words) if len(w)], np.int64)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-MIN_STEPS * BATCH // max(len(filled), 1)))
+    for epoch in range(epochs if len(filled) else 0):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(filled)
         for at in range(0, len(order), BATCH):
             part = order[at : at + BATCH]
