@@ -7,9 +7,10 @@ four registers are candidates; the share of equal registers, corrected for regis
 chance, estimates the similarity, and what may reach the bound is verified on the full sets.
 
 Bands can hold very many near copies. A first pass verifies every class against the ends of its
-bands only (two pairs a class at most), which joins almost all of them. A second pass compares, in
-blocks of bounded size, just the members of a band that are still in different components, so that
-no link between components is lost and no group is spread out into pairs.
+bands only (two pairs a class at most), the next ones against the best estimate among the members
+of its bands in other components. The last pass compares, in blocks of bounded size, whatever members
+of a band are still in different components, so that no link between components is lost and no
+group is spread out into pairs.
 
 A link at the bound of 0.85 shares no band with a probability of 6e-11, and its estimate lies below
 the margin of six standard deviations with one of 1e-9.
@@ -178,9 +179,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
     return both.where(_linked(percent, size)(F.col("text_a"), F.col("text_b"))).select("a", "b")
 
 
-def _compare_blocks(percent: int):
+def _compare_blocks(percent: int, best_only: bool):
+    """Rows (key, band, i, j, rep, root, n, side, registers), sorted by block, to pairs that may link.
+
+    With ``best_only`` each member gives its best pair of the block, else all pairs come out, a pair
+    in the first band that it shares.
+    """
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted rows (key, i, j, rep, root, n, side, registers): the pairs of each block that may link."""
         rest: list[dict] = []
         for batch in batches:
             rows = rest + batch.to_pylist()
@@ -191,33 +197,90 @@ def _compare_blocks(percent: int):
         yield pairs_of(rest)
 
     def pairs_of(rows: list[dict]) -> pa.RecordBatch:
-        found: list[tuple[int, int]] = []
+        found: list[tuple[int, int, float]] = []
         start = 0
         for k in range(1, len(rows) + 1):
             if k < len(rows) and all(rows[k][c] == rows[start][c] for c in ("key", "i", "j")):
                 continue
             found += compare_group(rows[start:k])
             start = k
-        a, b = zip(*found) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        a, b, s = zip(*found) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "near"]
+        )
 
-    def compare_group(rows: list[dict]) -> list[tuple[int, int]]:
-        same = rows[0]["i"] == rows[0]["j"]
+    def compare_group(rows: list[dict]) -> list[tuple[int, int, float]]:
+        same, band = rows[0]["i"] == rows[0]["j"], rows[0]["band"]
         matrix = np.frombuffer(b"".join(r["registers"] for r in rows), dtype="<u2").reshape(-1, BUCKETS)
         rep, root, n, side = (np.array([r[c] for r in rows]) for c in ("rep", "root", "n", "side"))
         out = []
         for k in range(len(rows)):
-            other = (rep > rep[k]) if same else (side > side[k])
+            if best_only:
+                other = (rep != rep[k]) if same else (side != side[k])
+            else:
+                other = (rep > rep[k]) if same else (side > side[k])
             other = np.flatnonzero(other & (root != root[k]))
-            if len(other):
-                equal = (matrix[other] == matrix[k]).sum(axis=1)
-                good = other[may_link(equal, n[other], n[k], percent)]
-                out += [(int(max(rep[k], rep[g])), int(min(rep[k], rep[g]))) for g in good]
+            if not len(other):
+                continue
+            equal = matrix[other] == matrix[k]
+            count = equal.sum(axis=1)
+            good = may_link(count, n[other], n[k], percent)
+            if not best_only:
+                bands = equal.reshape(-1, BANDS, ROWS).all(axis=2)
+                good &= bands.argmax(axis=1) == band
+            if not good.any():
+                continue
+            value = estimate(count, n[other], n[k])
+            if best_only:
+                g = int(np.argmax(np.where(good, value, -1)))
+                out.append((int(rep[k]), int(rep[other[g]]), float(value[g])))
+            else:
+                for g in np.flatnonzero(good):
+                    x, y = int(rep[k]), int(rep[other[g]])
+                    out.append((max(x, y), min(x, y), float(value[g])))
         return out
 
     return compare
 
 
+def _open_pairs(members: DataFrame, reps: DataFrame, roots: DataFrame, percent: int, best_only: bool) -> DataFrame:
+    """Pairs that may link, of members of one band that are in different components."""
+    labelled = members.join(roots, members["rep"] == roots["node"], "left").select(
+        "key", "band", "rep", "members", F.coalesce("root", "rep").alias("root")
+    )
+    labelled = stored(labelled, "labelled")
+    mixed = (
+        labelled.groupBy("key")
+        .agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
+        .where(F.col("r0") != F.col("r1"))
+        .select("key")
+    )
+    found = labelled.join(stored(mixed, "mixed"), "key").join(reps, "rep")
+    # A band of many members is cut into chunks; every two chunks are a block.
+    chunks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
+    found = found.withColumn("chunks", chunks).withColumn(
+        "chunk", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks")).cast("int")
+    )
+    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = (
+        found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select(
+            "key",
+            "band",
+            F.least("chunk", "other").alias("i"),
+            F.greatest("chunk", "other").alias("j"),
+            "rep",
+            "root",
+            "n",
+            F.when(F.col("chunk") <= F.col("other"), 0).otherwise(1).alias("side"),
+            "registers",
+        )
+        .repartition(partitions, "key", "i", "j")
+        .sortWithinPartitions("key", "i", "j")
+    )
+    return blocks.mapInArrow(_compare_blocks(percent, best_only), "a long, b long, near double")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE
 ) -> DataFrame:
@@ -241,6 +304,7 @@ def near_duplicates(
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     bands = reps.select("rep", "registers", band.alias("band")).select(
         "rep",
+        "band",
         F.xxhash64("band", F.expr(f"substring(registers, band * {2 * ROWS} + 1, {2 * ROWS})")).alias("key"),
     )
     groups = stored(
@@ -263,40 +327,19 @@ def near_duplicates(
     links = stored(_verified(stored(near, "near"), texts, percent, size).distinct(), "links")
     roots = components(links)
 
-    # Second pass: bands with members in different components.
-    labelled = members.join(roots, members["rep"] == roots["node"], "left").select(
-        "key", "rep", "members", F.coalesce("root", "rep").alias("root")
-    )
-    labelled = stored(labelled, "labelled")
-    mixed = (
-        labelled.groupBy("key")
-        .agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-        .where(F.col("r0") != F.col("r1"))
-        .select("key")
-    )
-    open_members = labelled.join(stored(mixed, "mixed"), "key").join(reps, "rep")
-    chunks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    open_members = open_members.withColumn("chunks", chunks).withColumn(
-        "chunk", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks")).cast("int")
-    )
-    blocks = (
-        open_members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select(
-            "key",
-            F.least("chunk", "other").alias("i"),
-            F.greatest("chunk", "other").alias("j"),
-            "rep",
-            "root",
-            "n",
-            F.when(F.col("chunk") <= F.col("other"), 0).otherwise(1).alias("side"),
-            "registers",
-        )
-        .repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
-    )
-    more = blocks.mapInArrow(_compare_blocks(percent), "a long, b long").distinct()
-    more_links = _verified(stored(more, "more"), texts, percent, size)
-    roots = components(links.unionAll(more_links))
+    # Bands with members in different components: first, twice, the best pair of every member, which
+    # joins what is left of large groups; then whatever pairs there still are.
+    for best_only in (True, True, False):
+        near = _open_pairs(members, reps, roots, percent, best_only)
+        if best_only:
+            best = near.groupBy("a").agg(F.max(F.struct("near", "b")).alias("best"))
+            near = best.select(F.greatest("a", "best.b").alias("x"), F.least("a", "best.b").alias("y"))
+            near = near.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        near = stored(near.select("a", "b"), "more")
+        more = stored(_verified(near, texts, percent, size).distinct(), "links")
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            roots = components(links)
 
     labels = stored(
         classes.join(roots, classes["rep"] == roots["node"], "left").select(
