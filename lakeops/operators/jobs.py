@@ -73,14 +73,15 @@ def flatten_applications(docs: DataFrame, column: str = "json") -> DataFrame:
 def recent_applications(
     apps: DataFrame, limit: int = DEFAULT_LIMIT, min_date: str | None = None
 ) -> DataFrame:
-    """The newest applications from a start date on, at most 5000; a larger limit is refused.
+    """The newest applications from a start date on: one at least, 5000 at most; a larger limit is
+    refused.
 
     This limit comes before any owner filter.
     """
-    if not 1 <= limit <= MAX_LIMIT:
-        raise ValueError(f"between 1 and {MAX_LIMIT} applications can be asked for, not {limit}")
+    if limit > MAX_LIMIT:
+        raise ValueError(f"at most {MAX_LIMIT} applications can be asked for, not {limit}")
     rows = apps.where(F.col("start_time") >= min_date) if min_date else apps
-    return rows.orderBy(F.desc("start_time"), "id").limit(limit)
+    return rows.orderBy(F.desc("start_time"), "id").limit(max(1, limit))
 
 
 def live_applications(sessions: DataFrame, now_ms: int) -> DataFrame:
