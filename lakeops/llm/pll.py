@@ -102,6 +102,8 @@ class Vocabulary:
 class Network:
     """Embeddings ``e``, weights of the places ``p``, softmax ``u`` and ``b``."""
 
+    tables: list[np.ndarray] | None = None
+
     def __init__(self, size: int, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.e = rng.normal(0, 0.3, (size, DIMENSIONS)).astype(np.float32)
@@ -147,15 +149,30 @@ class Network:
 
     def score(self, ids: np.ndarray, vocabulary: Vocabulary) -> float:
         """Sum of the conditional log-probabilities of all tokens."""
+        tables = self.placed()
         padded = np.concatenate(([0, 0], ids, [0, 0]))
-        total = 0.0
+        total = float(vocabulary.inside[ids].sum())
+        classes = vocabulary.of[ids]
         for start in range(0, len(ids), STEP):
-            part = ids[start : start + STEP]
-            _, _, logp = self.forward(padded, np.arange(start + 2, start + 2 + len(part)))
-            total += float(logp[np.arange(len(part)), vocabulary.of[part]].sum(dtype=np.float64))
-            total += float(vocabulary.inside[part].sum())
+            stop = min(start + STEP, len(ids))
+            # Neighbours of consecutive tokens are slices; each place has its weighted embeddings.
+            h = tables[0][padded[start:stop]]
+            for weighted, side in zip(tables[1:], SIDES[1:]):
+                h += weighted[padded[start + 2 + side : stop + 2 + side]]
+            logits = np.tanh(h, out=h) @ self.u
+            logits += self.b
+            logits -= logits.max(axis=1, keepdims=True)
+            chosen = logits[np.arange(stop - start), classes[start:stop]]
+            norm = np.log(np.exp(logits, out=logits).sum(axis=1))
+            total += float((chosen - norm).sum(dtype=np.float64))
         return total
 
+    def placed(self) -> list[np.ndarray]:
+        """Embeddings weighted by each place, made once for a trained network."""
+        if self.tables is None:
+            self.tables = [np.ascontiguousarray(self.e * p) for p in self.p]
+        return self.tables
+
     def rows(self) -> np.ndarray:
         """All weights as rows of one width."""
         flat = np.concatenate([self.e.ravel(), self.p.ravel(), self.u.ravel(), self.b.ravel()])
