@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from lakeops.llm import bpe, decontaminate, lines, minhash, toxicity
 from lakeops.llm.common import stored, table
 
+# Stages on word shingles link documents from this similarity on, in hundredths; op10 has a bound of its own.
+NEAR_PERCENT = 80
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below one half. The classifier learns from ``labels`` outside the
@@ -30,7 +33,7 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def deduplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the smallest id. Those without words stay."""
-    ids = minhash.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    ids = minhash.near_duplicates(docs, percent=NEAR_PERCENT).groupBy("doc_id").agg(F.max("kept").alias("kept"))
     dropped = stored(ids.where(~F.col("kept")).select("doc_id"), "dropped")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 

@@ -12,7 +12,8 @@ blocks of bounded size, just the members of a band that are still in different c
 no link between components is lost and no group is spread out into pairs.
 
 A link at the bound of 0.85 shares no band with a probability of 6e-11, and its estimate lies below
-the margin of six standard deviations with one of 1e-9.
+the margin of six standard deviations with one of 4e-8; at the pipeline's bound of 0.80 these are 5e-8
+and 3e-8.
 """
 
 from __future__ import annotations

@@ -1,5 +1,7 @@
 """The registered queries beside their SQL, and the pipeline stage by stage."""
 
+import random
+
 import pytest
 from check import compare, connect
 from pyspark.sql import functions as F
@@ -52,3 +54,21 @@ def test_stages_take_effect(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert 0 < len(rows) <= 200 and all(r.n_tokens >= 0 for r in rows)
+
+
+def test_near_dedup_stage_links_from_080(spark):
+    rng = random.Random(5)
+    shingles = lambda words: {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    rows, similar = [], []
+    for k in range(12):  # pairs on both sides of 0.80
+        base = [f"w{k}x{rng.randrange(10**6)}" for _ in range(200)]
+        other = base[:]
+        for at in rng.sample(range(200), 3 + k % 3):
+            other[at] = f"new{k}x{at}"
+        a, b = shingles(base), shingles(other)
+        similar.append(len(a & b) / len(a | b))
+        rows += [(2 * k, " ".join(base), "en", "s", 1), (2 * k + 1, " ".join(other), "en", "s", 1)]
+    assert any(0.80 <= x < 0.85 for x in similar) and any(x < 0.80 for x in similar)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.deduplicate_documents(spark, docs, SF).collect()}
+    assert kept == {2 * k for k in range(12)} | {2 * k + 1 for k, x in enumerate(similar) if x < 0.80}
