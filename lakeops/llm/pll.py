@@ -3,9 +3,10 @@
 Words are counted over the whole corpus; the frequent ones have an id of their own, the others share
 buckets by hash. The words are dealt to classes of about equal mass, and a token's probability is
 
-    p(class | two tokens before, two after) * p(word | class)
+    p(class | two tokens before, two after) * p(word or bucket | class) * p(word | bucket)
 
-with the second factor from the corpus counts and the first from a small window network in numpy:
+with the last two factors from the corpus counts (the last one by a join of each document's words with
+the table of all counts, which stays in Spark) and the first from a small window network in numpy:
 embeddings weighted by place, summed, squashed, and a softmax over the classes.
 
 Training reads all documents. In each round every task starts from the same weights, predicts a
@@ -84,9 +85,14 @@ class Vocabulary:
         self.inside[1:] = np.log(mass[1:] / of_class[self.of[1:]])
         self.unigram = np.zeros(self.size)
         self.unigram[1:] = np.log(mass[1:] / mass.sum())
+        # What a word of a bucket has less than its bucket, apart from the log of its own count.
+        self.pooled = np.zeros(self.size)
+        self.pooled[self.first :] = -np.log(mass[self.first :])
 
     def encode(self, text: str, known: dict[str, int]) -> np.ndarray:
-        words = tokens_of(text)
+        return self.encode_words(tokens_of(text), known)
+
+    def encode_words(self, words: list[str], known: dict[str, int]) -> np.ndarray:
         ids = [known.get(w, -1) for w in words]
         if -1 in ids:
             for i, k in enumerate(ids):
@@ -224,8 +230,8 @@ def _train_task(shared, round_: int):
     return train
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
-    """Vocabulary and network of a corpus (columns ``doc_id`` and ``text``)."""
+def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network, DataFrame]:
+    """Vocabulary, network and counts of all words of a corpus (columns ``doc_id`` and ``text``)."""
     spark = docs.sparkSession
     counts = stored(word_counts(docs), "words")
     ranked = counts.orderBy(F.desc("n"), "word").limit(WORDS)
@@ -247,14 +253,18 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
         rows = sums.agg(*averages).orderBy("row").toPandas()
         if len(rows):
             network = network.from_rows(rows.drop(columns="row").to_numpy(np.float32))
-    return vocabulary, network
+    return vocabulary, network, counts
 
 
 def score_column(text: Column, vocabulary: Vocabulary, network: Network) -> Column:
     """Struct of a text: n_tokens, log_likelihood (the sum over its tokens), unigram (the same sum
-    without contexts). Null and empty texts have no tokens and sums of zero."""
+    without contexts), pooled (words that share buckets, and how often). Both sums lack the logs of the
+    corpus counts of the pooled words. Null and empty texts have no tokens and sums of zero."""
     shared = SparkSession.getActiveSession().sparkContext.broadcast((vocabulary, network))
-    kind = pa.struct([("n_tokens", pa.int64()), ("log_likelihood", pa.float64()), ("unigram", pa.float64())])
+    pair = pa.struct([("word", pa.string()), ("n", pa.int64())])
+    kind = pa.struct(
+        [("n_tokens", pa.int64()), ("log_likelihood", pa.float64()), ("unigram", pa.float64()), ("pooled", pa.list_(pair))]
+    )
 
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary, network = shared.value
@@ -262,22 +272,40 @@ def score_column(text: Column, vocabulary: Vocabulary, network: Network) -> Colu
         for batch in texts:
             out = []
             for text in batch:
-                ids = vocabulary.encode(text.as_py() or "", known)
+                words = tokens_of(text.as_py() or "")
+                ids = vocabulary.encode_words(words, known)
+                pooled = Counter(words[i] for i in np.flatnonzero(ids >= vocabulary.first))
+                less = float(vocabulary.pooled[ids].sum())
                 out.append(
-                    {"n_tokens": len(ids), "log_likelihood": network.score(ids, vocabulary) if len(ids) else 0.0,
-                     "unigram": float(vocabulary.unigram[ids].sum())}
+                    {"n_tokens": len(ids), "log_likelihood": network.score(ids, vocabulary) + less if len(ids) else 0.0,
+                     "unigram": float(vocabulary.unigram[ids].sum()) + less,
+                     "pooled": [{"word": w, "n": n} for w, n in pooled.items()]}
                 )
             yield pa.array(out, kind)
 
     score.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(score, "n_tokens long, log_likelihood double, unigram double")(text)
+    form = "n_tokens long, log_likelihood double, unigram double, pooled array<struct<word: string, n: bigint>>"
+    return F.arrow_udf(score, form)(text)
+
+
+def add_pooled(scored: DataFrame, counts: DataFrame) -> DataFrame:
+    """Scored rows (``row`` numbers them) with the logs of the corpus counts of their pooled words in both
+    sums. A word that the corpus does not have counts as seen once."""
+    words = scored.select("row", F.explode("pooled").alias("p")).select("row", "p.word", F.col("p.n").alias("times"))
+    # Words seen once add nothing.
+    known = counts.where(F.col("n") > 1)
+    more = words.join(known, "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
+    added = {c: (F.col(c) + F.coalesce("more", F.lit(0.0))).alias(c) for c in ("log_likelihood", "unigram")}
+    return scored.drop("pooled").join(more, "row", "left").select("doc_id", "n_tokens", *added.values())
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A line per row: doc_id, n_tokens, log_likelihood, per_token (null without tokens), unigram."""
     rows = id_and_text(docs, id_col, text_col)
-    vocabulary, network = fit(rows)
-    scored = rows.select("doc_id", score_column(F.col("text"), vocabulary, network).alias("s")).select("doc_id", "s.*")
+    vocabulary, network, counts = fit(rows)
+    scored = rows.select("doc_id", score_column(F.col("text"), vocabulary, network).alias("s"))
+    scored = stored(scored.select(F.monotonically_increasing_id().alias("row"), "doc_id", "s.*"), "scored")
+    scored = add_pooled(scored, counts)
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return scored.select("doc_id", "n_tokens", "log_likelihood", mean.alias("per_token"), "unigram")
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -78,6 +79,20 @@ def test_a_swapped_word_costs_likelihood(spark, make):
     assert pll.score_documents(make([])).count() == 0
 
 
+def test_pooled_words_have_their_own_counts(make, monkeypatch):
+    monkeypatch.setattr(pll, "WORDS", 5)
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(200))) for i in range(20)]
+    rows += [(20, rows[0][1]), (20, rows[0][1]), (None, rows[1][1]), (21, "once only"), (22, None)]
+    counts = Counter(w for _, t in rows for w in pll.tokens_of(t or ""))
+    mass = sum(counts.values()) + pll.BUCKETS
+    key = lambda r: (r[0] is None, r[0] or 0)
+    got = sorted(((r.doc_id, r.n_tokens, r.unigram) for r in pll.score_documents(make(rows)).collect()), key=key)
+    for (i, n, unigram), (k, t) in zip(got, sorted(rows, key=key), strict=True):
+        words = pll.tokens_of(t or "")
+        assert (i, n) == (k, len(words)) and np.isclose(unigram, sum(np.log(counts[w] / mass) for w in words))
+
+
 # ------------------------------------------------------------------ byte-level BPE
 
 
