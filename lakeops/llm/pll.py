@@ -3,20 +3,22 @@
 Words are counted over the whole corpus; the frequent ones have an id of their own, the others share
 buckets by hash. The words are dealt to classes of about equal mass, and a token's probability is
 
-    p(class | two tokens before, two after) * p(word or bucket | class) * p(word | bucket)
+    p(class | two tokens before, two after) * p(word or bucket | class, the same tokens) * p(word | bucket)
 
-with the last two factors from the corpus counts (the last one by a join of each document's words with
-the table of all counts, which stays in Spark) and the first from a small window network in numpy:
-embeddings weighted by place, summed, squashed, and a softmax over the classes.
+with the last factor from the corpus counts (by a join of each document's words with the table of all
+counts, which stays in Spark) and the others from a small window network in numpy: embeddings weighted
+by place, summed, squashed, a softmax over the classes, and inside a class a Huffman tree of its words,
+whose forks start from the corpus counts and learn to turn by the same context.
 
-Training reads all documents. In each round every task starts from the same weights, predicts a
-share of its tokens (chosen by a hash of place and round, as masks are), and takes gradient steps;
-the weights are averaged by token count, row by row, in a Spark aggregate. The driver gets the
+Training reads all documents. A hash of place and text deals every token to one round, as masks are. In
+each round every task starts from the same weights, predicts its tokens of that round, and takes
+gradient steps; the weights are averaged by token count, row by row, in a Spark aggregate. The driver gets the
 averages only, whose size is fixed.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections import Counter
@@ -35,10 +37,11 @@ BUCKETS = 512
 CLASSES = 64
 DIMENSIONS = 16
 SIDES = (-2, -1, 1, 2)
+# Every token is predicted in one of the rounds of training.
 ROUNDS = 2
-# One token in so many is predicted in a round of training.
-MASK = 7
 BATCH = 512
+# Tokens whose forks are in memory at a time.
+PIECE = 1 << 12
 RATE = 0.3
 # Tokens that are scored together, and distinct words counted before they are sent on.
 STEP = 1 << 15
@@ -88,6 +91,43 @@ class Vocabulary:
         # What a word of a bucket has less than its bucket, apart from the log of its own count.
         self.pooled = np.zeros(self.size)
         self.pooled[self.first :] = -np.log(mass[self.first :])
+        self.plant(mass)
+
+    def plant(self, mass: np.ndarray) -> None:
+        """A Huffman tree for each class: forks on the way to a word (``paths``), turns taken there
+        (``turns``), and the log odds of the forks by the counts."""
+        forks, odds = [(0, 0)] * self.size, np.zeros(self.size)
+        nodes = 0
+        ways: list[list[tuple[int, int]]] = [[] for _ in range(self.size)]
+        for members in np.split(np.argsort(self.of[1:], kind="stable") + 1, np.cumsum(np.bincount(self.of[1:], minlength=CLASSES))[:-1]):
+            # Negative numbers are words, others forks.
+            heap = [(mass[i], -int(i)) for i in members]
+            heapq.heapify(heap)
+            while len(heap) > 1:
+                (low, a), (high, b) = heapq.heappop(heap), heapq.heappop(heap)
+                forks[nodes], odds[nodes] = (a, b), np.log(low / high)
+                heapq.heappush(heap, (low + high, nodes))
+                nodes += 1
+            open_ = [(heap[0][1], [])] if heap else []
+            while open_:
+                node, way = open_.pop()
+                if node < 0:
+                    ways[-node] = way
+                else:
+                    open_ += [(child, [*way, (node, turn)]) for child, turn in zip(forks[node], (1, -1))]
+        self.odds = odds.astype(np.float32)
+        self.lengths = np.array([len(w) for w in ways])
+        # Paths one after the other; a word's begins at its start.
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.paths = np.array([node for way in ways for node, _ in way], np.int64)
+        self.turns = np.array([turn for way in ways for _, turn in way], np.float32)
+
+    def forks(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The forks on the ways to words: which of ``ids``, which fork, which turn."""
+        lengths = self.lengths[ids]
+        who = np.repeat(np.arange(len(ids)), lengths)
+        at = np.arange(len(who)) + np.repeat(self.starts[ids] - (np.cumsum(lengths) - lengths), lengths)
+        return who, self.paths.take(at), self.turns.take(at)
 
     def encode(self, text: str, known: dict[str, int]) -> np.ndarray:
         return self.encode_words(tokens_of(text), known)
@@ -105,8 +145,24 @@ class Vocabulary:
         return np.array(ids, np.int64)
 
 
+def _by_row(rows: np.ndarray, gradients: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and their steps. A rare row's few gradients count as much as a frequent one's many."""
+    # All rows are below WORDS + BUCKETS + 1; numpy sorts 16 bits by radix.
+    order = np.argsort(rows.astype(np.uint16) if WORDS + BUCKETS < 1 << 16 else rows, kind="stable")
+    ordered = rows.take(order)
+    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    counts = np.diff([*starts, len(rows)])
+    return ordered[starts], np.add.reduceat(gradients.take(order, axis=0), starts) * (n / np.maximum(counts, 8)).astype(np.float32)[:, None]
+
+
+def rounds_of(ids: np.ndarray, rounds: int) -> np.ndarray:
+    """The round in which each token of a text is predicted."""
+    places = np.arange(len(ids), dtype=np.uint64) + np.uint64(zlib.crc32(ids.tobytes()))
+    return (((places * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(rounds)).astype(np.int64)
+
+
 class Network:
-    """Embeddings ``e``, weights of the places ``p``, softmax ``u`` and ``b``."""
+    """Embeddings ``e``, weights of the places ``p``, softmax ``u`` and ``b``, forks inside classes ``v``."""
 
     tables: list[np.ndarray] | None = None
 
@@ -117,61 +173,75 @@ class Network:
         self.p = np.ones((len(SIDES), DIMENSIONS), np.float32) + rng.normal(0, 0.3, (len(SIDES), DIMENSIONS)).astype(np.float32)
         self.u = np.zeros((DIMENSIONS, CLASSES), np.float32)
         self.b = np.zeros(CLASSES, np.float32)
+        # The corpus counts hold until something is learnt. No more forks than words.
+        self.v = np.zeros((size, DIMENSIONS), np.float32)
 
     def copy(self) -> Network:
         other = Network.__new__(Network)
-        other.e, other.p, other.u, other.b = (x.copy() for x in (self.e, self.p, self.u, self.b))
+        other.e, other.p, other.u, other.b, other.v = (x.copy() for x in (self.e, self.p, self.u, self.b, self.v))
         return other
 
     def forward(self, padded: np.ndarray, at: np.ndarray):
         """Contexts, squashed sums and log-probabilities of the classes at places of padded ids."""
         around = padded[at[:, None] + np.array(SIDES)]
-        h = np.tanh(np.einsum("nkd,kd->nd", self.e[around], self.p))
+        h = np.tanh(np.einsum("nkd,kd->nd", self.e.take(around, axis=0), self.p))
         logits = h @ self.u + self.b
         logits -= logits.max(axis=1, keepdims=True)
         logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
         return around, h, logits
 
-    def learn(self, padded: np.ndarray, at: np.ndarray, classes: np.ndarray) -> None:
+    def inside(self, h: np.ndarray, ids: np.ndarray, vocabulary: Vocabulary):
+        """Forks on the ways to words of contexts ``h``: which context, which fork and turn, both their
+        vectors, log odds of the turn."""
+        who, fork, turn = vocabulary.forks(ids)
+        hs, vs = h.take(who, axis=0), self.v.take(fork, axis=0)
+        return who, fork, turn, hs, vs, turn * (np.einsum("nd,nd->n", hs, vs) + vocabulary.odds.take(fork))
+
+    def learn(self, padded: np.ndarray, at: np.ndarray, vocabulary: Vocabulary) -> None:
         """One gradient step."""
         around, h, logp = self.forward(padded, at)
+        ids = padded[at]
         g = np.exp(logp)
-        g[np.arange(len(at)), classes] -= 1
+        g[np.arange(len(at)), vocabulary.of[ids]] -= 1
         g *= RATE / len(at)
-        back = (g @ self.u.T) * (1 - h * h)
+        to_h = g @ self.u.T
+        who, fork, turn, hs, vs, odds = self.inside(h, ids, vocabulary)
+        if len(who):
+            wrong = (-turn / (1 + np.exp(np.clip(odds, -30, 30))) * (RATE / len(at)))[:, None]
+            first = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
+            to_h[who[first]] += np.add.reduceat(wrong * vs, first)
+            forks, step = _by_row(fork, wrong * hs, len(at))
+            self.v[forks] -= step
+        back = to_h * (1 - h * h)
         self.u -= 4 * (h.T @ g)
         self.b -= 4 * g.sum(axis=0)
-        vectors = self.e[around]
+        vectors = self.e.take(around, axis=0)
         to_e = back[:, None, :] * self.p
         self.p -= np.einsum("nd,nkd->kd", back, vectors)
-        places, where = np.unique(around, return_inverse=True)
-        flat, where = to_e.reshape(-1, DIMENSIONS), where.ravel()
-        order = np.argsort(where, kind="stable")
-        starts = np.searchsorted(where[order], np.arange(len(places)))
-        # A rare word's few gradients count as much as a frequent word's many.
-        step = np.add.reduceat(flat[order], starts) * (len(at) / np.maximum(np.diff([*starts, len(order)]), 8))[:, None]
+        places, step = _by_row(around.ravel(), to_e.reshape(-1, DIMENSIONS), len(at))
         self.e[places] -= np.clip(step, -0.5, 0.5)
         self.e[0] = 0
 
-    def score(self, ids: np.ndarray, vocabulary: Vocabulary) -> float:
-        """Sum of the conditional log-probabilities of all tokens."""
+    def score(self, ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+        """Conditional log-probabilities of all tokens that are not 0; the first and last two are 0."""
         tables = self.placed()
-        padded = np.concatenate(([0, 0], ids, [0, 0]))
-        total = float(vocabulary.inside[ids].sum())
-        classes = vocabulary.of[ids]
-        for start in range(0, len(ids), STEP):
-            stop = min(start + STEP, len(ids))
+        out = np.zeros(len(ids))
+        for start in range(2, len(ids) - 2, PIECE):
+            stop = min(start + PIECE, len(ids) - 2)
+            own = ids[start:stop]
             # Neighbours of consecutive tokens are slices; each place has its weighted embeddings.
-            h = tables[0][padded[start:stop]]
+            h = tables[0].take(ids[start - 2 : stop - 2], axis=0)
             for weighted, side in zip(tables[1:], SIDES[1:]):
-                h += weighted[padded[start + 2 + side : stop + 2 + side]]
+                h += weighted.take(ids[start + side : stop + side], axis=0)
             logits = np.tanh(h, out=h) @ self.u
             logits += self.b
             logits -= logits.max(axis=1, keepdims=True)
-            chosen = logits[np.arange(stop - start), classes[start:stop]]
+            chosen = logits[np.arange(stop - start), vocabulary.of[own]]
             norm = np.log(np.exp(logits, out=logits).sum(axis=1))
-            total += float((chosen - norm).sum(dtype=np.float64))
-        return total
+            who, *_, odds = self.inside(h, own, vocabulary)
+            turns = np.bincount(who, np.logaddexp(0, -odds), len(own))
+            out[start:stop] = np.where(own > 0, chosen - norm - turns, 0)
+        return out
 
     def placed(self) -> list[np.ndarray]:
         """Embeddings weighted by each place, made once for a trained network."""
@@ -181,45 +251,45 @@ class Network:
 
     def rows(self) -> np.ndarray:
         """All weights as rows of one width."""
-        flat = np.concatenate([self.e.ravel(), self.p.ravel(), self.u.ravel(), self.b.ravel()])
+        flat = np.concatenate([self.e.ravel(), self.p.ravel(), self.u.ravel(), self.b.ravel(), self.v.ravel()])
         return flat.reshape(-1, DIMENSIONS)
 
     def from_rows(self, rows: np.ndarray) -> Network:
         other, at = self.copy(), 0
-        for x in (other.e, other.p, other.u, other.b):
+        for x in (other.e, other.p, other.u, other.b, other.v):
             x[...] = rows.ravel()[at : at + x.size].reshape(x.shape)
             at += x.size
         return other
 
 
-def _train_task(shared, round_: int):
+def _train_task(shared, round_: int, rounds: int):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, start = shared.value
         network, known, learnt = start.copy(), {}, 0
+        none, never = np.zeros(2, np.int64), np.full(2, -1)
         held: list[np.ndarray] = []
+        dealt: list[np.ndarray] = []
         size = 0
 
         def steps() -> int:
             if not held:
                 return 0
-            padded = np.concatenate([np.zeros(2, np.int64), *held])
-            places = np.arange(len(padded), dtype=np.uint64) + np.uint64(round_ * 1_000_003)
-            mixed = places * np.uint64(0x9E3779B97F4A7C15)
-            at = np.flatnonzero(((mixed >> np.uint64(33)) % np.uint64(MASK) == 0) & (padded > 0))
-            at = at[np.argsort(mixed[at])]
+            padded = np.concatenate([none, *held])
+            at = np.flatnonzero(np.concatenate([never, *dealt]) == round_)
+            at = at[np.argsort(at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
             for i in range(0, len(at), BATCH):
-                part = at[i : i + BATCH]
-                network.learn(padded, part, vocabulary.of[padded[part]])
+                network.learn(padded, at[i : i + BATCH], vocabulary)
             return len(at)
 
         for batch in batches:
             for text in batch.column(0):
                 ids = vocabulary.encode(text.as_py() or "", known)
-                held += [ids, np.zeros(2, np.int64)]
+                held += [ids, none]
+                dealt += [rounds_of(ids, rounds), never]
                 size += len(ids) + 2
                 if size > 8 * STEP:
                     learnt += steps()
-                    held, size = [], 0
+                    held, dealt, size = [], [], 0
         learnt += steps()
         if learnt:
             rows = network.rows().astype(np.float64) * learnt
@@ -248,7 +318,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network, Dat
     schema = "row int, n long, " + ", ".join(f"x{d} double" for d in range(DIMENSIONS))
     for round_ in range(rounds if top else 0):
         shared = spark.sparkContext.broadcast((vocabulary, network))
-        sums = docs.select("text").mapInArrow(_train_task(shared, round_), schema).groupBy("row")
+        sums = docs.select("text").mapInArrow(_train_task(shared, round_, rounds), schema).groupBy("row")
         averages = [(F.sum(f"x{d}") / F.sum("n")).alias(f"x{d}") for d in range(DIMENSIONS)]
         rows = sums.agg(*averages).orderBy("row").toPandas()
         if len(rows):
@@ -269,18 +339,37 @@ def score_column(text: Column, vocabulary: Vocabulary, network: Network) -> Colu
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary, network = shared.value
         known: dict[str, int] = {}
+        none = np.zeros(2, np.int64)
         for batch in texts:
-            out = []
+            out: list[dict] = []
+            held: list[np.ndarray] = []
+            size = 0
+
+            def flush(held=held, out=out) -> None:
+                if not held:
+                    return
+                # Two zeros behind each text; none is empty then.
+                logp = network.score(np.concatenate([none, *held]), vocabulary)
+                starts = np.cumsum([2, *map(len, held[:-1])])
+                for row, total in zip(out[len(out) - len(held) :], np.add.reduceat(logp, starts)):
+                    row["log_likelihood"] += float(total)
+                held.clear()
+
             for text in batch:
                 words = tokens_of(text.as_py() or "")
                 ids = vocabulary.encode_words(words, known)
                 pooled = Counter(words[i] for i in np.flatnonzero(ids >= vocabulary.first))
                 less = float(vocabulary.pooled[ids].sum())
                 out.append(
-                    {"n_tokens": len(ids), "log_likelihood": network.score(ids, vocabulary) + less if len(ids) else 0.0,
-                     "unigram": float(vocabulary.unigram[ids].sum()) + less,
+                    {"n_tokens": len(ids), "log_likelihood": less, "unigram": float(vocabulary.unigram[ids].sum()) + less,
                      "pooled": [{"word": w, "n": n} for w, n in pooled.items()]}
                 )
+                held.append(np.concatenate([ids, none]))
+                size += len(ids)
+                if size > STEP:
+                    flush()
+                    size = 0
+            flush()
             yield pa.array(out, kind)
 
     score.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}

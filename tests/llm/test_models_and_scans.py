@@ -5,8 +5,10 @@ import random
 import re
 import struct
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +95,43 @@ def test_pooled_words_have_their_own_counts(make, monkeypatch):
         assert (i, n) == (k, len(words)) and np.isclose(unigram, sum(np.log(counts[w] / mass) for w in words))
 
 
+def test_every_token_is_predicted_in_one_round(monkeypatch):
+    vocabulary = pll.Vocabulary([(f"w{i}", 1000 // (i + 1)) for i in range(300)], [0] * pll.BUCKETS)
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(n)) for n in (0, 1, 900, 40)]
+    seen = Counter()
+    monkeypatch.setattr(pll.Network, "learn", lambda self, padded, at, *_: seen.update(padded[at].tolist()))
+    shared = SimpleNamespace(value=(vocabulary, pll.Network(vocabulary.size)))
+    for round_ in range(pll.ROUNDS):
+        list(pll._train_task(shared, round_, pll.ROUNDS)(iter([pa.RecordBatch.from_pydict({"text": texts})])))
+    assert seen == Counter(int(i) for t in texts for i in vocabulary.encode(t, {}))
+
+
+def test_words_of_a_class_depend_on_the_context():
+    # Pairs of words of one frequency: behind "left" comes always the one, behind "right" the other.
+    words = [(w, 100) for w in ("left", "right", *(f"{c}{k}" for k in range(150) for c in "ab"))]
+    vocabulary = pll.Vocabulary(words, [0] * pll.BUCKETS)
+    a, b = next((f"a{k}", f"b{k}") for k in range(150) if vocabulary.of[vocabulary.ids[f"a{k}"]] == vocabulary.of[vocabulary.ids[f"b{k}"]])
+    ids = vocabulary.encode(f"left {a} . right {b} . " * 2000, {})
+    network, padded = pll.Network(vocabulary.size), np.concatenate(([0, 0], ids, [0, 0]))
+    places = np.random.default_rng(0).permutation(np.arange(2, len(padded) - 2))
+    for i in range(0, len(places), pll.BATCH):
+        network.learn(padded, places[i : i + pll.BATCH], vocabulary)
+    logp = lambda text: network.score(np.concatenate(([0, 0], vocabulary.encode(text, {}), [0, 0])), vocabulary)[3]
+    of_class = lambda text: network.forward(np.concatenate(([0, 0], vocabulary.encode(text, {}), [0, 0])), np.array([3]))[2][0]
+    inside = lambda text, w: logp(text) - of_class(text)[vocabulary.of[vocabulary.ids[w]]]
+    assert inside(f"left {a} .", a) - inside(f"left {b} .", b) > inside(f"right {a} .", a) - inside(f"right {b} .", b) + 0.1
+    # All words of a class together have its probability, in any context.
+    one = [w for w in vocabulary.ids if vocabulary.of[vocabulary.ids[w]] == vocabulary.of[vocabulary.ids[a]]]
+    others = vocabulary.first + np.flatnonzero(vocabulary.of[vocabulary.first :] == vocabulary.of[vocabulary.ids[a]])
+    around = vocabulary.encode("left x .", {})
+    total = sum(
+        np.exp(network.score(np.array([0, 0, around[0], i, around[2], 0, 0]), vocabulary)[3])
+        for i in [*(vocabulary.ids[w] for w in one), *others]
+    )
+    assert np.isclose(total, np.exp(of_class(f"left {a} .")[vocabulary.of[vocabulary.ids[a]]]), atol=1e-4)
+
+
 # ------------------------------------------------------------------ byte-level BPE
 
 
