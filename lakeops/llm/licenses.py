@@ -80,10 +80,50 @@ TEXT_HINT = r"(?i)licen[cs]e|copyright|permission|redistribution|rights.reserved
 # A sentence ends at a line break, or at a full stop, exclamation or question mark before white space.
 END = r"([.!?])[ \t\r\f]+"
 
+# The SQL check is made of the lists above; what follows adds to them standard notices it cannot cut.
+# Rules that go before the others.
+MORE_RULES = [
+    (("agpl-3.0", "gpl-later"), "AGPL-3.0-or-later"),
+    (("lgpl-3.0", "gpl-later"), "LGPL-3.0-or-later"),
+    (("lgpl-2.1", "gpl-later"), "LGPL-2.1-or-later"),
+]
+COMMENT = r"[ \t]*(?:(?:/\*+|//+|#+|\*+|--+|;+|dnl)[ \t]+)?"
+NAME_WORDS = "GNU|General|Lesser|Affero|Public|Licen[cs]e|Free|Software|Foundation|Mozilla|Eclipse|Apache|MIT|BSD|Creative|Commons|Version"
+# What is rewritten, in this order, before a text is cut.
+FORMS = [
+    (r"(?i)(spdx-license-identifier\s*:[^\n]*[^\n.])(?=\n)", "$1."),
+    # A single line break inside a sentence: lower case, a word of a licence's name or all capitals go on.
+    (rf"([^.!?:;\s])[ \t\r\f]*\n{COMMENT}(?=[a-z(]|\d+(?:\.\d+)+\b|(?:{NAME_WORDS})\b(?! [Ll]icen[cs]e[ \t\r]*\n))", "$1 "),
+    (r"([A-Z]{2},?\"?)[ \t\r\f]*\n" + COMMENT + r"(?=\"?[A-Z]{2,}[ ,\"])", "$1 "),
+    (r"(?i)\bv(?:er)?\.\s*(?=\d)", "version "),
+    (r"(?i)\b(licen[cs]e[\s,(-]*)v(?=\d)", "$1version "),
+    (r"(?i)\b((?:mozilla|eclipse)\s+public\s+licen[cs]e[\s,(-]*(?:version\s+)?2)(?!\d|\.\d)", "$1.0"),
+    # The later versions of a notice are a sentence of their own.
+    (r"(?i),?\s+or,?\s+\(?at\s+your\s+option\)?,?\s+any\s+later\s+version\b", "\nor at your option any later version\n"),
+]
+SPDX_ID = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
+SPDX = rf"(?i)spdx-license-identifier\s*:\s*(\(*{SPDX_ID}\)*(?:\s+(?:AND|OR|WITH)\s+\(*{SPDX_ID}\)*)*)"
+
+
+def _spdx_names(expression: Column) -> Column:
+    """Licences of an SPDX expression, under the names of the rules; others as they are written."""
+    known = {name.lower(): name for _, name in RULES + MORE_RULES}
+    for name in [n for n in known.values() if "GPL" in n and "later" not in n]:
+        known |= {f"{name}-only".lower(): name, f"{name}+".lower(): f"{name}-or-later", f"{name}-or-later".lower(): f"{name}-or-later"}
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    parts = F.split(F.regexp_replace(expression, r"(?i)\s+WITH\s+[^\s()]+|[()]", ""), r"(?i)\s+(?:AND|OR)\s+", -1)
+    return F.transform(parts, lambda x: F.coalesce(F.element_at(names, F.lower(F.trim(x))), F.trim(x)))
+
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known licence sentences of a text, in their order."""
-    sentences = F.split(F.regexp_replace(text, END, "$1\n"), "\n", -1)
+    """Identifiers of the known licence sentences of a text, in their order; that of an SPDX line is
+    ``spdx:`` and its expression."""
+    # Line breaks and comment signs may stand between the words of a hint.
+    some = text.rlike(TEXT_HINT.replace(".", r"[\W_]+"))
+    formed = text
+    for pattern, form in FORMS:
+        formed = F.regexp_replace(formed, pattern, form)
+    sentences = F.split(F.regexp_replace(formed, END, "$1\n"), "\n", -1)
     normal = F.transform(sentences, lambda s: F.btrim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
 
     def known(sentence: Column) -> Column:
@@ -92,17 +132,25 @@ def sentence_ids(text: Column) -> Column:
             chain = chain.when(sentence.rlike(pattern), F.lit(name))
         return chain.otherwise("")
 
-    found = F.filter(F.transform(normal, known), lambda s: s != "")
-    return F.when(text.rlike(TEXT_HINT), found).otherwise(F.array().cast("array<string>"))
+    def carried(name: Column, i: Column) -> Column:
+        expression = F.regexp_extract(F.get(sentences, i), SPDX, 1)
+        spdx = F.when(expression != "", F.concat(F.lit("spdx:"), expression)).otherwise(name)
+        return F.when(name == "spdx", spdx).otherwise(name)
+
+    found = F.filter(F.transform(F.transform(normal, known), carried), lambda s: s != "")
+    return F.when(some, found).otherwise(F.array().cast("array<string>"))
 
 
 def matched(ids: Column) -> Column:
     """Struct of a row of identifiers: the licences by rule order, and what no rule uses."""
-    rules = F.array(*[F.struct(F.lit(f",{','.join(seq)},").alias("seq"), F.lit(name).alias("name")) for seq, name in RULES])
+    rules = F.array(*[F.struct(F.lit(f",{','.join(seq)},").alias("seq"), F.lit(name).alias("name")) for seq, name in MORE_RULES + RULES])
     # ",," between identifiers lets neighbours be matched without sharing a comma.
+    # SPDX lines say their licences themselves, before all rules.
+    spdx = F.filter(ids, lambda s: F.startswith(s, F.lit("spdx:")))
+    others = F.transform(ids, lambda s: F.when(F.startswith(s, F.lit("spdx:")), F.lit("|")).otherwise(s))
     begin = F.struct(
-        F.concat(F.lit(","), F.array_join(ids, ",,"), F.lit(",")).alias("rest"),
-        F.array().cast("array<string>").alias("names"),
+        F.concat(F.lit(","), F.array_join(others, ",,"), F.lit(",")).alias("rest"),
+        F.array_distinct(F.flatten(F.transform(spdx, lambda s: _spdx_names(F.substring(s, F.lit(6), F.length(s)))))).alias("names"),
     )
 
     def apply(state: Column, rule: Column) -> Column:

@@ -269,3 +269,33 @@ def test_licences_by_sentences_and_rules(make):
         5: [(["Proprietary"], 0)], 6: [(["GPL-3.0-or-later"], 0)], 7: [([], 0)] * 2, None: [(["MIT"], 0)],
     }
     assert licenses.scan_licenses(make([])).count() == 0
+
+
+def test_standard_licence_headers(make):
+    gpl = (
+        "This program is free software: you can redistribute it and/or modify\n"
+        "it under the terms of the GNU General Public License as published by\n"
+        "the Free Software Foundation, either version 3 of the License, or\n"
+        "(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful."
+    )
+    mpl = (
+        "This Source Code Form is subject to the terms of the Mozilla Public\n"
+        "License, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one there."
+    )
+    want = {
+        1: ("SPDX-License-Identifier: MIT", ["MIT"], 0),
+        2: ("// SPDX-License-Identifier: (GPL-2.0-or-later OR mit)\nimport x", ["GPL-2.0-or-later", "MIT"], 0),
+        3: ("/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */", ["GPL-2.0"], 0),
+        4: ("<!-- SPDX-License-Identifier: Zlib -->", ["Zlib"], 0),
+        5: (mpl, ["MPL-2.0"], 0),
+        6: ("Eclipse Public License v2.0", ["EPL-2.0"], 0),
+        7: ("Made available under the Eclipse Public License, v2.", ["EPL-2.0"], 0),
+        8: (gpl, ["GPL-3.0-or-later"], 0),
+        9: ("/*\n * " + gpl.replace("\n", "\n * ") + "\n */", ["GPL-3.0-or-later"], 0),
+        10: (gpl.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"), ["LGPL-2.1-or-later"], 0),
+        11: ("Copyright (c) 2024 Someone\nAll rights reserved.", ["Proprietary"], 0),
+        12: ("Licensed under the Apache License, v. 2.0.", ["Apache-2.0"], 0),
+        13: ("It was released into the public\ndomain.", ["Public-Domain"], 0),
+    }
+    got = licenses.scan_licenses(make([(i, t) for i, (t, _, _) in want.items()]), result_col="kept").collect()
+    assert {r.doc_id: (r.kept.licenses, r.kept.n_unmatched) for r in got} == {i: (x, n) for i, (_, x, n) in want.items()}
