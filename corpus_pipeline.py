@@ -24,8 +24,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that occur earlier. All documents stay, some without text."""
-    found = lines.deduplicate_lines(docs, result_col="_lines")
+    """Documents without the lines that occur earlier, short ones included if they are equal. All
+    documents stay, some without text."""
+    found = lines.deduplicate_lines(docs, result_col="_lines", equal_chars=1)
     text = F.col("_lines")["text"]
     changed = {"text": text, "n_chars": F.length(text).cast("long")}
     return found.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])

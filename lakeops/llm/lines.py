@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lakeops.llm.common import named, stored, table
 
-# Shorter lines are never dropped and drop nothing.
+# Shorter lines are not compared by edits; exact repeats have a bound of their own (``equal_chars``).
 MIN_CHARS = 20
 PARTS = 16
 EDITS = 1
@@ -124,16 +124,21 @@ def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def deduplicate_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, result_col: str = "text"
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, result_col: str = "text",
+    equal_chars: int | None = None,
+) -> DataFrame:
     """``docs`` with a struct ``result_col``: text without repeated lines, n_lines, n_dropped.
 
+    Lines of ``min_chars`` go if an earlier one is within the edit bound, those of ``equal_chars`` if an
+    earlier one is equal (1: every line that is not empty; by default ``min_chars``, as in the SQL check).
+
     Lines end at a line feed. Rows stay, also when all their lines go; a null text stays null.
     Rows without an id are left as they are. Rows that repeat an id count as one document, whose
     lines have the numbers they have in each row. A column named ``result_col`` is replaced.
     """
     rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
-    lines = _lines(rows, min_chars)
+    least = min_chars if equal_chars is None else min(equal_chars, min_chars)
+    lines = _lines(rows, least)
     firsts = lines.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no")).alias("place"))
     near = stored(near_lines(rows, min_chars), "near")
     kept = firsts.join(near, "digest", "left_anti").select("place.*")
@@ -154,7 +159,7 @@ def deduplicate_lines(
     def stays(line, i):
         word = F.element_at(F.col("_line_dense"), (F.floor(i / 32) + 1).cast("int"))
         bit = F.call_function("shiftright", word, (i % 32).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-        return (F.length(F.btrim(line, F.lit(WHITE))) < min_chars) | bit
+        return (F.length(F.btrim(line, F.lit(WHITE))) < least) | bit
 
     remaining = F.when(named(id_col).isNull(), F.col("_line_split")).otherwise(F.filter("_line_split", stays))
     joined = joined.withColumn("_line_left", remaining)

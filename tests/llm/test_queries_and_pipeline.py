@@ -72,3 +72,11 @@ def test_near_dedup_stage_links_from_080(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.deduplicate_documents(spark, docs, SF).collect()}
     assert kept == {2 * k for k in range(12)} | {2 * k + 1 for k, x in enumerate(similar) if x < 0.80}
+
+
+def test_line_stage_drops_short_repeats(spark):
+    rows = [(1, "ok\n\nRead more\n ok"), (2, "Read more\nnew\n\nRead mare"), (3, None), (None, "ok\nok"), (4, "ok")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema)
+    got = {r.doc_id: r.text for r in corpus_pipeline.deduplicate_lines(spark, docs, SF).collect()}
+    assert got == {1: "ok\n\nRead more", 2: "new\n\nRead mare", 3: None, None: "ok\nok", 4: ""}
