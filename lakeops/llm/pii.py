@@ -4,7 +4,7 @@ Only DataFrame functions run here. The base finds emails, IP addresses, payment
 numbers by regular expressions. They are the seeds of a bootstrap: the word before a mention is a
 lexical pattern, the mention an instance, and both form a graph. In each round a pattern is scored
 by the share of its distinct instances that are known to be of one kind, and an instance that only
-a trusted pattern knows becomes known. Patterns trusted in the end mark the unseen identifiers in
+a trusted pattern knows becomes known, until a round learns nothing. Patterns trusted in the end mark the unseen identifiers in
 their places. Patterns and instances are aggregates, combined before the shuffle; no group is
 gathered.
 """
@@ -34,7 +34,6 @@ MENTION = r"(?<!\S)(?=\S{6})(?:(?=\S*@\S)|(?=(?:[^\s0-9]*[0-9]){3}))\S+"
 # A pattern is trusted from this share of known instances, and this many of them, on.
 CONFIDENCE = 0.8
 SUPPORT = 5
-ROUNDS = 3
 CONTEXT = 60
 MAX_WORD = 40
 
@@ -125,13 +124,12 @@ def mentions(text: Column, base: Column) -> Column:
     )
 
 
-def trusted_patterns(edges: DataFrame, confidence: float, support: int, rounds: int) -> DataFrame:
+def trusted_patterns(edges: DataFrame, confidence: float, support: int) -> DataFrame:
     """Patterns (``word``, ``kind``) that the rounds end with. ``edges``: word, instance, kind (null
-    if unknown), each once."""
+    if unknown), each once. Known instances only grow, so the rounds end; the last one scores with all of them."""
     known = stored(edges.where(F.col("kind").isNotNull()).groupBy("instance").agg(F.min("kind").alias("kind")), "known")
     graph = stored(edges.select("word", "instance").distinct(), "graph")
-    trusted = None
-    for _ in range(rounds):
+    while True:
         scored = graph.join(known, "instance", "left").groupBy("word", "kind").agg(F.count(F.lit(1)).alias("n"))
         scored = stored(scored, "scored")
         totals = scored.groupBy("word").agg(F.sum("n").alias("total"))
@@ -145,14 +143,13 @@ def trusted_patterns(edges: DataFrame, confidence: float, support: int, rounds:
         learnt = graph.join(trusted, "word").groupBy("instance").agg(F.min("kind").alias("kind"))
         learnt = learnt.join(known, "instance", "left_anti")
         if learnt.isEmpty():
-            break
+            return trusted
         known = stored(known.unionByName(learnt), "known")
-    return trusted
 
 
 def find_personal_data(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS,
+    confidence: float = CONFIDENCE, support: int = SUPPORT,
 ) -> DataFrame:
     """A line per row of ``docs``: doc_id, base and found, arrays of (kind, start, end) by kind and
     start; kinds are places in ``KINDS``, ends are exclusive, places count code points.
@@ -185,7 +182,7 @@ def find_personal_data(
     )
     every = seen.select("doc_id", "row", F.explode(F.concat("seeds", "other")).alias("m")).select("doc_id", "row", "m.*")
     edges = every.where(F.col("word") != "").select("word", "instance", "kind").distinct()
-    trusted = trusted_patterns(stored(edges, "edges"), confidence, support, rounds)
+    trusted = trusted_patterns(stored(edges, "edges"), confidence, support)
     added = (
         seen.select("doc_id", "row", F.explode("other").alias("m"))
         .select("doc_id", "row", "m.word", "m.start", "m.end")

@@ -238,6 +238,12 @@ def test_contexts_find_unseen_identifiers(make):
     assert pii.find_personal_data(make([])).count() == 0
 
 
+def test_chains_of_contexts_are_followed_to_their_end(spark):
+    edges = [("w0", "i0", 0), *((f"w{k}", f"i{k + j}", None) for k in range(6) for j in (0, 1) if k + j)]
+    trusted = pii.trusted_patterns(spark.createDataFrame(edges, "word string, instance string, kind int"), 0.5, 1)
+    assert {(r.word, r.kind) for r in trusted.collect()} == {(f"w{k}", 0) for k in range(6)}
+
+
 # ------------------------------------------------------------------ licences
 
 
