@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from lakeops.llm import bpe, decontaminate, exact_index, licenses, lines, minhash, pii, pll, suffixes, toxicity
+from lakeops.llm import (
+    bpe,
+    decontaminate,
+    exact_index,
+    licenses,
+    lines,
+    minhash,
+    pii,
+    pll,
+    suffixes,
+    toxicity,
+    whitening,
+)
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = "regexp_extract_all(" + LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -76,6 +88,7 @@ QUERIES = {
     "op8_license_scan": (licenses.op8_license_scan, licenses.op8_sql()),
     "op9_repeated_passages": (suffixes.op9_repeated_passages, None),
     "op10_near_dedup": (minhash.op10_near_dedup, None),
+    "op11_embedding_whitening": (whitening.op11_embedding_whitening, None),
 }
 
 
