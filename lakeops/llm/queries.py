@@ -13,6 +13,7 @@ from lakeops.llm import (
     pll,
     suffixes,
     toxicity,
+    trie_bpe,
     whitening,
 )
 
@@ -89,6 +90,7 @@ QUERIES = {
     "op9_repeated_passages": (suffixes.op9_repeated_passages, None),
     "op10_near_dedup": (minhash.op10_near_dedup, None),
     "op11_embedding_whitening": (whitening.op11_embedding_whitening, None),
+    "op12_trie_bpe": (trie_bpe.op12_trie_bpe, None),
 }
 
 
