@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lakeops.llm import (
     bpe,
+    burst_trie,
     decontaminate,
     exact_index,
     licenses,
@@ -91,6 +92,7 @@ QUERIES = {
     "op10_near_dedup": (minhash.op10_near_dedup, None),
     "op11_embedding_whitening": (whitening.op11_embedding_whitening, None),
     "op12_trie_bpe": (trie_bpe.op12_trie_bpe, None),
+    "op13_conversation_trie": (burst_trie.op13_conversation_trie, burst_trie.OP13_SQL),
 }
 
 
