@@ -96,6 +96,26 @@ def test_interop_matrix_failed_writer_counts_for_all_its_readers(spark, tmp_path
     }
 
 
+def test_interop_matrix_finds_a_lossy_writer(spark, tmp_path):
+    """A format that loses microseconds fails where it writes first or takes over, and nowhere else."""
+
+    def write(df, path, fmt):
+        lossy = df.withColumn("event_timestamp", F.date_trunc("second", "event_timestamp")) if fmt == "json" else df
+        rec.write_format(lossy, path, fmt)
+
+    found = rec.interop_matrix(spark, lake.interop_values(spark, "canonical"), str(tmp_path), write=write).collect()
+    assert {(v.writer, v.reader): v.passed for v in found} == {
+        (w, r): "json" not in (w, r) for w in rec.FORMATS for r in rec.FORMATS if w != r
+    }
+    assert {v.mismatches for v in found if not v.passed} == {3} and {v.rows for v in found} == {6}
+    assert {v.detail for v in found if not v.passed} == {"boundary_timestamp_count,rows"}
+
+
+def test_interop_matrix_without_rows(spark, tmp_path):
+    found = rec.interop_matrix(spark, lake.interop_values(spark).limit(0), str(tmp_path), ("parquet", "csv")).collect()
+    assert [(v.rows, v.mismatches) for v in found] == [(0, 0)] * 2
+
+
 def _boundary(spark, **changes):
     rows = lake.interop_values(spark, "canonical").withColumn("writer", F.lit("w"))
     for name, value in changes.items():

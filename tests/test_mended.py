@@ -1,6 +1,7 @@
 """Cases of single operators: repeats, exact decimals, refused limits, file order, dotted names."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +28,44 @@ def test_reconcile_repeated_and_null_keys(spark):
     assert diff(spark, [], rows[:1]) == [(1, "extra")]
 
 
+def test_reconcile_reads_only_unequal_buckets(spark):
+    left = spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") * 7).cast("string").alias("v"))
+    right = left.withColumn("v", F.when(F.col("k") == 777, "x").otherwise(F.col("v"))).where("k <> 5")
+    found = rec.reconcile(left, right, ["k"])
+    assert sorted((r.k, r.reason, r.actual) for r in found.collect()) == [(5, "missing", None), (777, "mismatch", "x")]
+    assert "LeftSemi" in found._jdf.queryExecution().toString()
+    same = rec.reconcile(left, left.orderBy(F.desc("k")), ["k"])
+    assert same.count() == 0
+
+
+def test_reconcile_places_of_nulls_and_nested_values(spark):
+    fields = "k int, a int, b int, c array<int>"
+    left = spark.createDataFrame([(1, None, 2, [None, 1]), (2, 1, 1, None)], fields)
+    right = spark.createDataFrame([(1, 2, None, [1, None]), (2, 1, 1, None)], fields)
+    assert sorted(r["column"] for r in rec.reconcile(left, right, ["k"]).collect()) == ["a", "b", "c"]
+
+
+def test_reconcile_types_that_differ(spark):
+    left = spark.createDataFrame([(1, 5, "7"), (2, 6, "8")], "k int, a int, b string")
+    right = spark.createDataFrame([(1, 5.0, 7), (2, 6.5, 9)], "k long, a double, b int")
+    assert sorted((r.k, r["column"]) for r in rec.reconcile(left, right, ["k"]).collect()) == [(2, "a"), (2, "b")]
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_reconcile_copies_like_one_by_one(spark, buckets):
+    rng = random.Random(buckets)
+    source = [(rng.choice([None, 1, 2, 3, 4]), rng.choice([None, "a", "b"])) for _ in range(30)]
+    copies = {"same": source[::-1], "none": [], "less": source[3:], "more": [*source, (9, "z"), (1, "a")]}
+    fields = "k int, v string"
+    given = spark.createDataFrame(source, fields)
+    rows = spark.createDataFrame([(name, *row) for name, part in copies.items() for row in part], f"_copy string, {fields}")
+    got = rec.reconcile_copies(given, rows, list(copies), ["k"], buckets=buckets).collect()
+    for name, part in copies.items():
+        alone = rec.reconcile(given, spark.createDataFrame(part, fields), ["k"]).collect()
+        key = lambda r: (r.k or -1, r["column"], r.expected or "", r.actual or "", r.reason)
+        assert sorted(key(r) for r in got if r["_copy"] == name) == sorted(map(key, alone)), name
+
+
 def test_reconcile_decimals_exactly(spark):
     assert diff(spark, [(1, "0.12345678901")], [(1, "0.12345678902")], rule="decimal") == [(1, "mismatch")]
     long = "12345678901234567890123456789012345678"
