@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lakeops.functions.cells import decoded_text, display_key, is_binary
 from lakeops.operators.numbering import number_rows
+from lakeops.sources.quoted import read_quoted
 
 CELLS_SCHEMA = (
     "row_key binary, column string, ts timestamp, seq long, value binary, deleted boolean"
@@ -431,8 +432,8 @@ def rows_written(rows: DataFrame) -> DataFrame:
 
 
 def read_bulk_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """A bulk file as text columns. Quoted line breaks need ``multi_line``; without them
-    ``multi_line=False`` lets one large file be read by many tasks."""
+    """A bulk file as text columns by Spark's own reader. Quoted line breaks need ``multi_line``, which
+    reads a file in one task; ``bulk_load`` has another way for large files."""
     # The header alone names the columns; all of them stay text.
     header = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"')
     rows = header.csv(path)
@@ -445,9 +446,16 @@ def bulk_load(spark: SparkSession, path: str, ts: str, multi_line: bool = True)
     """The cells of CSV files whose header is the key and ``cf:q`` columns.
 
     Files are taken in the order of their paths, lines in the order of the file; of repeated keys
-    the last line wins.
+    the last line wins. Large files are read by many tasks. Without quoted line breaks, ``multi_line=False``
+    saves a pass over the text.
     """
-    return cells_from_rows(in_file_order(read_bulk_csv(spark, path, multi_line)), ts)
+    if not multi_line:
+        return cells_from_rows(in_file_order(read_bulk_csv(spark, path, multi_line)), ts)
+    rows = read_quoted(spark, path)
+    if len(rows.columns) < 5 or rows.isEmpty():
+        raise ValueError("a bulk file needs a header with a key and one more column, and a line of data")
+    order = [F.col("_file"), F.col("_block"), F.col("_line")]
+    return cells_from_rows(number_rows(rows, order, POSITION).drop("_file", "_block", "_line"), ts)
 
 
 def in_file_order(rows: DataFrame) -> DataFrame:
