@@ -442,20 +442,26 @@ def read_bulk_csv(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     return rows
 
 
-def bulk_load(spark: SparkSession, path: str, ts: str, multi_line: bool = True) -> DataFrame:
+# Files beyond this size are read by many tasks each.
+LARGE_FILE = 128 * 1024**2
+
+
+def bulk_load(
+    spark: SparkSession, path: str, ts: str, multi_line: bool = True, large_file: int = LARGE_FILE
+) -> DataFrame:
     """The cells of CSV files whose header is the key and ``cf:q`` columns.
 
     Files are taken in the order of their paths, lines in the order of the file; of repeated keys
-    the last line wins. Large files are read by many tasks. Without quoted line breaks, ``multi_line=False``
-    saves a pass over the text.
+    the last line wins. Spark reads a file with quoted line breaks in one task; if there is one of more than
+    ``large_file`` bytes, all are cut into records by many tasks instead, with the same result.
     """
-    if not multi_line:
-        return cells_from_rows(in_file_order(read_bulk_csv(spark, path, multi_line)), ts)
-    rows = read_quoted(spark, path)
-    if len(rows.columns) < 5 or rows.isEmpty():
-        raise ValueError("a bulk file needs a header with a key and one more column, and a line of data")
-    order = [F.col("_file"), F.col("_block"), F.col("_line")]
-    return cells_from_rows(number_rows(rows, order, POSITION).drop("_file", "_block", "_line"), ts)
+    rows = read_bulk_csv(spark, path, multi_line)
+    if multi_line:
+        # Listed, not read.
+        sizes = spark.read.format("binaryFile").load(path).agg(F.max("length"))
+        if sizes.first()[0] > large_file:
+            return cells_from_rows(read_quoted(spark, path, rows.columns, POSITION), ts)
+    return cells_from_rows(in_file_order(rows), ts)
 
 
 def in_file_order(rows: DataFrame) -> DataFrame:

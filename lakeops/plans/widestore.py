@@ -214,6 +214,20 @@ def bulk_loaded_cells(t: Tables) -> DataFrame:
     return ws.display_cells(live).select("row_key", "column", "value")
 
 
+@query(
+    "SELECT 'c' || c_custkey AS row_key, count(*) AS cells, CAST(sum(length(c_name)) AS BIGINT) AS name_chars FROM ("
+    "SELECT c_custkey, c_name FROM customer UNION ALL SELECT c_custkey, '' FROM customer WHERE c_nationkey <> 7) GROUP BY 1"
+)
+def bulk_loaded_large_file(t: Tables) -> DataFrame:
+    # One file, which is cut into records by blocks whatever its size.
+    path = scratch_path(t.spark, "bulk")
+    _bulk_rows(t).coalesce(1).write.options(header=True, quote='"', escape='"').csv(path)
+    cells = ws.bulk_load(t.spark, path, "2025-01-01", large_file=0)
+    name = F.when(F.col("column") == "cf:name", F.length(F.substring_index(F.col("value").cast("string"), ", ", 1))).otherwise(0)
+    found = cells.groupBy(F.col("row_key").cast("string").alias("row_key"))
+    return found.agg(F.count(F.lit(1)).alias("cells"), F.sum(name).alias("name_chars"))
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS rows_written FROM customer")
 def bulk_rows_written(t: Tables) -> DataFrame:
     return ws.rows_written(_bulk_rows(t))

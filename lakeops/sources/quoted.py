@@ -9,9 +9,8 @@ every block cuts its own records, and only records that reach over a border are
 
 from __future__ import annotations
 
-import csv
-import io
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,14 +54,14 @@ def ends_open(line: str, inside: bool) -> bool:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block and way of beginning: the state after it, and whether a record begins in it."""
-    names = ["file", "block", "after_out", "after_in", "begins_in"]
+    """Per block and way of beginning: the state after it, and whether a record begins in it; its lines."""
+    names = ["file", "block", "after_out", "after_in", "begins_in", "lines"]
     block, state = None, None
 
     def line_of() -> dict:
-        return dict(zip(names, [*block, state[0], state[1], state[2]]))
+        return dict(zip(names, [*block, *state]))
 
-    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_()]
+    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64()]
     schema = pa.schema(list(zip(names, kinds)))
     for batch in batches:
         out = []
@@ -70,9 +69,11 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if block != (file, start):
                 if block:
                     out.append(line_of())
-                # Outside, inside, and whether a record begins in a block that begins inside.
-                block, state = (file, start), [False, True, False]
+                # After beginning outside and inside, whether a record begins in a block that
+                # begins inside, and the number of lines.
+                block, state = (file, start), [False, True, False, 0]
             state[2] = state[2] or not state[1]
+            state[3] += 1
             if '"' in value:
                 same = state[0] == state[1]
                 state[0] = ends_open(value, state[0])
@@ -122,70 +123,63 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def quoted_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of CSV files as they stand: ``file``, ``block`` and ``line`` give their order, ``text``
-    is a record without its line end. Records end at line feeds outside quotes."""
+    """The records of CSV files as they stand: ``file``, ``block`` and ``line`` tell where a record begins,
+    ``position`` grows with the order of files, by path, and of records in them, ``text`` is a record
+    without its line feed. Records end at line feeds outside quotes; empty lines are none.
+    """
     raw = spark.read.option("lineSep", "\n").text(path)
     lines = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    blocks = lines.mapInArrow(_summaries, "file string, block long, after_out boolean, after_in boolean, begins_in boolean")
+    schema = "file string, block long, after_out boolean, after_in boolean, begins_in boolean, lines long"
     # A block sets the state, leaves it or turns it round. The state before a block is the one last
     # set, turned round by the blocks in between.
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    turns = F.when(~F.col("after_in") & F.col("after_out"), 1).otherwise(0)
-    so_far = F.coalesce(F.sum("turn").over(before), F.lit(0))
     is_set = F.col("after_in") == F.col("after_out")
     starts = (
-        blocks.withColumn("turn", turns)
-        .withColumn("turned", so_far)
+        lines.mapInArrow(_summaries, schema)
+        .withColumn("turn", F.when(~F.col("after_in") & F.col("after_out"), 1).otherwise(0))
+        .withColumn("turned", F.coalesce(F.sum("turn").over(before), F.lit(0)))
         .withColumn("known", F.when(is_set, F.struct(F.col("after_in").cast("int").alias("v"), F.col("turned").alias("t"))))
         .withColumn("known", F.last("known", ignorenulls=True).over(before))
         .withColumn("odd", F.coalesce(F.col("known.v") + F.col("turned") - F.col("known.t"), F.col("turned")) % 2)
         .withColumn("inside", F.col("odd") == 1)
         .withColumn("own", F.when(~F.col("inside") | F.col("begins_in"), F.col("block")))
-        .withColumn("begun", F.last("own", ignorenulls=True).over(before))
-        .select("file", "block", "inside", F.coalesce("begun", F.lit(0)).alias("begun"))
+        .withColumn("begun", F.coalesce(F.last("own", ignorenulls=True).over(before), F.lit(0)))
+        .withColumn("torn", F.col("inside") | F.when(F.col("inside"), F.col("after_in")).otherwise(F.col("after_out")))
+        .select("file", "block", "inside", "begun", "torn", "lines")
     )
-    found = starts.limit(MAX_BLOCKS + 1).collect()
+    found = sorted(starts.limit(MAX_BLOCKS + 1).collect())
     if len(found) > MAX_BLOCKS:
         raise ValueError(f"more than {MAX_BLOCKS} blocks; raise spark.sql.files.maxPartitionBytes")
+    offsets = [0, *accumulate(block.lines for block in found)]
+    blocks = [(*block[:5], offset) for block, offset in zip(found, offsets)]
+    blocks = F.broadcast(spark.createDataFrame(blocks, "file string, block long, inside boolean, begun long, torn boolean, offset long"))
 
-    def cut(part: DataFrame) -> DataFrame:
-        placed = part.join(F.broadcast(spark.createDataFrame(found, starts.schema)), ["file", "block"])
-        placed = placed.select("file", "block", "value", "inside", "begun")
+    def cut(of: DataFrame) -> DataFrame:
+        placed = lines.join(of, ["file", "block"]).select("file", "block", "value", "inside", "begun")
         return placed.mapInArrow(_cut, "file string, block long, line long, part long, piece boolean, text string")
 
-    whole = cut(lines).where("NOT piece").select("file", "block", "line", "text")
-    # Pieces are only in blocks that begin or end inside a field; an open end of the last block is one.
-    return _with_pieces(whole, cut(lines))
-
-
-def _with_pieces(whole: DataFrame, records: DataFrame) -> DataFrame:
-    """Adds the records that reach over borders, one per block at most: their pieces in order."""
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"])
-    joined = records.where("piece").groupBy("file", "block").agg(F.max("line").alias("line"), F.array_join(pieces, "\n").alias("text"))
-    return whole.unionByName(joined)
-
-
-def _names(header: str) -> list[str]:
-    """The column names of a header as Spark gives them: empty and repeated ones get their number."""
-    given = next(csv.reader(io.StringIO(header.removesuffix("\r"), newline="")))
-    folded = [name.lower() for name in given]
-    return [f"_c{i}" if not name else f"{name}{i}" if folded.count(name.lower()) > 1 else name for i, name in enumerate(given)]
+    records = cut(blocks).where("NOT piece").select("file", "block", "line", "text")
+    if any(block.torn for block in found):
+        # At most one record reaches over the end of a block. Its pieces are in blocks that begin or
+        # end inside a field.
+        pieces = F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"])
+        joined = cut(blocks.where("torn")).where("piece").groupBy("file", "block")
+        records = records.unionByName(joined.agg(F.max("line").alias("line"), F.array_join(pieces, "\n").alias("text")))
+    offset = blocks.select("file", "block", "offset")
+    return records.join(F.broadcast(offset), ["file", "block"]).select(
+        "file", "block", "line", (F.col("offset") + F.col("line")).alias("position"), "text"
+    )
 
 
-def read_quoted(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files with a header as text columns, like Spark's multi-line reader but in many tasks.
+def read_quoted(spark: SparkSession, path: str, names: list[str], position: str = "_position") -> DataFrame:
+    """CSV files with a header as text columns ``names``, like Spark's multi-line reader but in many tasks.
 
-    ``_file``, ``_block`` and ``_line`` come last and give the order of the records. The header of the
-    first file names the columns, and every file has one. Without any record there is an error.
+    ``position`` is a last column that grows with the order of the records. Every file has a header,
+    which is its first line that is not empty.
     """
     records = quoted_records(spark, path)
-    is_header = (F.col("block") == 0) & (F.col("line") == 0)
-    first = records.where(is_header).orderBy("file").first()
-    if first is None:
-        raise ValueError("no header in " + path)
-    names = _names(first.text.removeprefix("\ufeff"))
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
     text = F.regexp_replace("text", "\r$", "")
-    rows = records.where(~is_header).select("file", "block", "line", F.from_csv(text, schema, OPTIONS).alias("r"))
+    rows = records.where((F.col("block") > 0) | (F.col("line") > 0)).select("position", F.from_csv(text, schema, OPTIONS).alias("r"))
     columns = [F.col(f"r.c{i}").alias(name) for i, name in enumerate(names)]
-    return rows.select(*columns, F.col("file").alias("_file"), F.col("block").alias("_block"), F.col("line").alias("_line"))
+    return rows.select(*columns, F.col("position").alias(position))
