@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from lakeops.llm.common import id_and_text, stored, table
 from lakeops.llm.components import components
+from lakeops.operators.numbering import number_rows
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -219,6 +220,35 @@ def _compare_blocks(percent: int):
     return compare
 
 
+def _one_node_per_set(
+    linkable: DataFrame, classes: DataFrame, texts: DataFrame, size: int
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Adds ``rep``, the node that stands for a set, to ``classes``; the texts by node; and links between
+    the sets of one id, if there are any.
+
+    A set's node is its least id. Where that id has texts with different sets, each of its
+    sets gets a number above all ids instead, and is linked with the id.
+    """
+    print_of = F.xxhash64("set_id")
+    repeated = linkable.groupBy("doc_id").agg(F.min(print_of).alias("p"), F.max(print_of).alias("q"))
+    repeated = stored(repeated.where("p <> q").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return classes.withColumn("rep", F.col("least")), texts, None
+    largest = linkable.agg(F.max("doc_id")).first()[0]
+    shared = classes.join(repeated, F.col("least") == F.col("doc_id")).select("set_id", "least")
+    numbers = number_rows(shared, [F.col("least"), F.col("set_id")], "number").select(
+        F.col("set_id").alias("own"), (F.col("number") + F.lit(largest)).alias("node")
+    )
+    classes = classes.join(numbers, F.col("set_id") == F.col("own"), "left")
+    classes = stored(classes.select("set_id", "least", F.coalesce("node", "least").alias("rep")), "nodes")
+    of_repeated = linkable.join(repeated, "doc_id").select("doc_id", "set_id").distinct()
+    links = of_repeated.join(classes, "set_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    sketched = texts.join(repeated, "doc_id").withColumn("set_id", sketch_column(F.col("text"), size)["set_id"])
+    own = sketched.join(classes.where("rep <> least"), "set_id").where(F.col("doc_id") == F.col("least"))
+    texts = texts.unionAll(own.select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"]))
+    return classes, texts, links.where("a <> b")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE
 ) -> DataFrame:
@@ -226,15 +256,18 @@ def near_duplicates(
 
     ``component_id`` is the smallest id reachable over links, the own id included; ``kept`` marks
     the row whose id it is. Rows without words are linked with nothing. Rows that repeat an id
-    count as one document; rows without an id are kept, have no component and link nothing.
+    count as one document, so the sets of all its texts are in one component; rows without an id are
+    kept, have no component and link nothing.
     """
     rows = id_and_text(docs, id_col, text_col)
     sketched = rows.select("doc_id", sketch_column(F.col("text"), size).alias("s")).select("doc_id", "s.*")
     sketches = stored(sketched, "sketches")
     linkable = sketches.where(F.col("doc_id").isNotNull() & F.col("set_id").isNotNull())
-    classes = stored(linkable.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = stored(linkable.groupBy("set_id").agg(F.min("doc_id").alias("least")), "classes")
+    texts = rows.where(F.col("doc_id").isNotNull())
+    classes, texts, same_id = _one_node_per_set(linkable, classes, texts, size)
     reps = stored(
-        linkable.join(classes, (F.col("doc_id") == F.col("rep")) & (linkable["set_id"] == classes["set_id"]), "inner")
+        linkable.join(classes, (F.col("doc_id") == F.col("least")) & (linkable["set_id"] == classes["set_id"]), "inner")
         .select("rep", F.col("n_shingles").alias("n"), "registers")
         .dropDuplicates(["rep"]),
         "reps",
@@ -256,12 +289,12 @@ def near_duplicates(
     ends = ends.groupBy("rep").agg(F.min("end").alias("x"), F.max("end").alias("y"))
     pairs = ends.select("rep", F.explode(F.array_distinct(F.array("x", "y"))).alias("end"))
     pairs = pairs.select(F.greatest("rep", "end").alias("a"), F.least("rep", "end").alias("b")).distinct()
-    texts = rows.where(F.col("doc_id").isNotNull())
     sketch_a = reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a"))
     sketch_b = reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b"))
     near = pairs.join(sketch_a, "a").join(sketch_b, "b")
     near = near.where(_candidate(percent)(F.col("r_a"), F.col("r_b"), F.col("n_a"), F.col("n_b"))).select("a", "b")
-    links = stored(_verified(stored(near, "near"), texts, percent, size).distinct(), "links")
+    links = _verified(stored(near, "near"), texts, percent, size).distinct()
+    links = stored(links if same_id is None else links.unionAll(same_id), "links")
     roots = components(links)
 
     # Second pass: bands with members in different components.

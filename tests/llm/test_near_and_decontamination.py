@@ -131,3 +131,23 @@ def test_spans_and_documents_go(spark, make):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4] and kept.columns == make(rows).columns
     with pytest.raises(ValueError):
         decontaminate.decontaminate(make(rows), bench, "words")
+
+
+def test_near_duplicates_of_ids_that_repeat(make):
+    """All texts of an id belong to one document: a near copy of any of them is linked with it."""
+    rng = random.Random(11)
+
+    def text():
+        return " ".join(f"w{rng.randrange(10_000)}" for _ in range(200))
+
+    def near(t):
+        return t + " more"
+
+    one, two, three, four = text(), text(), text(), text()
+    rows = [
+        (1, one), (1, two), (1, two), (3, near(two)), (4, near(one)),  # the least id of both sets
+        (7, three), (8, four), (9, near(three)), (9, four),  # an id that is in the sets of others
+        (20, text()), (21, text()), (21, None), (22, ""),
+    ]
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(make(rows)).collect()}
+    assert got == {(1, 1), (3, 1), (4, 1), (7, 7), (8, 7), (9, 7), (20, 20), (21, 21), (22, 22)}
