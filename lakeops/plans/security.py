@@ -101,17 +101,20 @@ def policy_audit(t: Tables) -> DataFrame:
     return events.drop("tool", "line")
 
 
-def _dated(t: Tables) -> DataFrame:
+def dated(t: Tables) -> DataFrame:
     events = a.make_audit_events(v.requests(t))
     return events.withColumn("day", F.to_date(F.substring("timestamp", 1, 10)))
 
 
-@query(
+RECENT_DAYS_SQL = (
     "SELECT \"timestamp\", \"user\", path FROM v_requests "
     "WHERE CAST(ts AS DATE) >= (SELECT max(CAST(ts AS DATE)) FROM v_requests) - 6"
 )
+
+
+@query(RECENT_DAYS_SQL)
 def recent_audit_days(t: Tables) -> DataFrame:
-    return a.roll_audit(_dated(t), days=7).select("timestamp", "user", "path")
+    return a.roll_audit(dated(t), days=7).select("timestamp", "user", "path")
 
 
 
@@ -125,7 +128,7 @@ def recent_audit_days(t: Tables) -> DataFrame:
     "WHERE CAST(ts AS DATE) IN (SELECT d FROM c WHERE total <= 500000 OR n = 1)"
 )
 def size_capped_audit(t: Tables) -> DataFrame:
-    kept = a.roll_audit(_dated(t), days=90, max_bytes=500_000, line="line")
+    kept = a.roll_audit(dated(t), days=90, max_bytes=500_000, line="line")
     return kept.select("timestamp", "user", "path")
 
 

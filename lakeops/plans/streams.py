@@ -13,7 +13,9 @@ from lakeops.plans import security
 from lakeops.plans.fixtures import Tables
 from lakeops.plans.history import _capped
 from lakeops.plans.registry import query
+from lakeops.session import scratch_path
 from lakeops.streaming.audit import typed_audit
+from lakeops.streaming.retention import read_retained, retain_audit_stream
 from lakeops.streaming.lockouts import stream_lockouts
 from lakeops.streaming.runs import latest_history, stream_runs
 from lakeops.streaming.table import drain
@@ -61,3 +63,12 @@ def streamed_runs(t: Tables) -> DataFrame:
     entries = latest_history(drain(versions, "runs"))
     columns = ["user", "engine", "id", "statement", "started_at", "completed_at", "state", "error"]
     return entries.select(*columns, F.col("execution_count"))
+
+
+@query(security.RECENT_DAYS_SQL)
+def streamed_retention(t: Tables) -> DataFrame:
+    folder = scratch_path(t.spark, "retained")
+    events = security.dated(_streamed(t))
+    running = retain_audit_stream(events, f"{folder}/days", f"{folder}/checkpoint", days=7, available_now=True)
+    running.awaitTermination()
+    return read_retained(t.spark, f"{folder}/days").select("timestamp", "user", "path")
