@@ -259,6 +259,69 @@ def sort_by(
     return apps.orderBy(*sort_order(apps, key, direction, position))
 
 
+# Rows that one task sorts for a page, and the ranges into which the keys of more rows are cut.
+PAGE_SORT_ROWS = 100_000
+PAGE_RANGES = 256
+
+
+@dataclass(frozen=True)
+class _Before:
+    """Which rows may be on a page, and how many come before all of these."""
+
+    where: Column
+    rows: int
+
+
+def _rows_around(
+    apps: DataFrame, skipped: int, size: int, total: int, key: str, direction: str
+) -> tuple[DataFrame | None, _Before]:
+    """The rows among which those from rank ``skipped`` on are found, without sorting all.
+
+    A sample of the keys cuts them into ranges, the rows of each range are counted (a line per range), and
+    only the ranges that hold the ranks asked for are read again. No rows are given if these are still more
+    than one task should sort, as when many rows share a key.
+    """
+    everything = _Before(F.lit(True), 0)
+    if total <= PAGE_SORT_ROWS:
+        return apps, everything
+    text = dict(apps.dtypes)[key] == "string"
+    value = F.coalesce(F.col(key), F.lit("")) if text else F.col(key)
+    share = min(1.0, 32 * PAGE_RANGES / total)
+    sampled = apps.select(value.alias("v")).where("v IS NOT NULL").sample(share, 7)
+    sampled = sampled.orderBy(F.collate("v", "UNICODE") if text else F.col("v")).limit(64 * PAGE_RANGES)
+    values = [row.v for row in sampled.collect()]
+    cuts = values[:: max(1, len(values) // PAGE_RANGES)]
+
+    def at_least(cut) -> Column:
+        if text:
+            return F.collate(value, "UNICODE") >= F.collate(F.lit(cut), "UNICODE")
+        return value >= F.lit(cut)
+
+    # Range 0 holds the nulls, range 1 what lies below all cuts, range k + 1 what reaches k cuts.
+    reached = sum((at_least(cut).cast("int") for cut in cuts), F.lit(1))
+    ranges = dict(apps.groupBy(F.coalesce(reached, F.lit(0)).alias("range")).count().collect())
+    last = skipped + size
+    passed, found, before = 0, [], 0
+    for number in sorted(ranges, reverse=direction == "desc"):
+        if passed + ranges[number] > skipped and passed < last:
+            before = passed if not found else before
+            found.append(number)
+        passed += ranges[number]
+    if not found:
+        return apps.limit(0), everything
+    low, high = min(found), max(found)
+    where = F.lit(True) if low == 0 else value.isNotNull()
+    if low > 1:
+        where = where & at_least(cuts[low - 2])
+    if high <= len(cuts):
+        below = ~at_least(cuts[high - 1]) if high else F.lit(False)
+        where = where & F.coalesce(below, F.lit(low == 0))
+        if low == 0 and high == 0:
+            where = value.isNull()
+    held = _Before(where, before)
+    return (apps.where(where) if sum(ranges[n] for n in found) <= PAGE_SORT_ROWS else None), held
+
+
 @dataclass(frozen=True)
 class Page:
     """One page of a sorted list and where it stands."""
@@ -286,10 +349,14 @@ def page_of(
     pages = max(1, -(-total // size))
     page = max(1, min(page, pages))
     skipped = (page - 1) * size
-    # The rows are numbered in sorted ranges, so that a far page is not counted off in one task.
+    near, before = _rows_around(apps, skipped, size, total, key, direction)
     order = sort_order(apps, key, direction, position)
-    numbered = number_rows(apps, order, "_place")
-    rows = numbered.where(F.col("_place").between(skipped + 1, skipped + size)).orderBy("_place").drop("_place")
+    if near is None:
+        rows = number_rows(apps.where(before.where), order, "_place")
+        low = skipped - before.rows
+        rows = rows.where(F.col("_place").between(low + 1, low + size)).orderBy("_place").drop("_place")
+    else:
+        rows = near.orderBy(*order).offset(skipped - before.rows).limit(size)
     first = skipped + 1 if total else 0
     return Page(rows, page, pages, first, min(page * size, total), total)
 

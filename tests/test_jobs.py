@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +138,23 @@ def test_pages(spark):
     assert (empty.page, empty.pages, empty.first, empty.last, empty.total) == (1, 1, 0, 0, 0)
     seen = [r.id for n in (1, 2, 3) for r in j.page_of(rows, n).rows.collect()]
     assert seen == sorted(seen) and len(set(seen)) == 53
+
+
+@pytest.mark.parametrize("key, direction", [("n", "asc"), ("n", "desc"), ("name", "asc"), ("name", "desc"), ("x", "desc")])
+def test_far_pages_read_only_their_ranges(spark, monkeypatch, key, direction):
+    """Pages of a table that is cut into ranges are those of the sorted table: nulls, ties and NaN included."""
+    rng = random.Random(key + direction)
+    names = [None, "", "a", "B", "b", "é", "Zz", *[f"job {i}" for i in range(60)]]
+    numbers = [None, *range(40)]
+    doubles = [None, float("nan"), -0.5, *[i / 7 for i in range(90)]]
+    rows = [(f"id{i:04}", rng.choice(numbers), rng.choice(names), rng.choice(doubles)) for i in range(400)]
+    rows += [(f"tie{i:04}", 7, "job 7", 1.0) for i in range(150)]
+    df = spark.createDataFrame(rows, "id string, n int, name string, x double").repartition(4)
+    expected = [r.id for r in j.sort_by(df, key, direction).collect()]
+    monkeypatch.setattr(j, "PAGE_SORT_ROWS", 100)
+    monkeypatch.setattr(j, "PAGE_RANGES", 16)
+    for page in (1, 2, 9, 14, 22, 99):
+        found = j.page_of(df, page, 25, key, direction)
+        at = (found.page - 1) * 25
+        assert [r.id for r in found.rows.collect()] == expected[at : at + 25], page
+        assert (found.pages, found.total) == (22, 550)
