@@ -260,8 +260,8 @@ def sort_by(
 
 
 # Rows that one task sorts for a page, and the ranges into which the keys of more rows are cut.
-PAGE_SORT_ROWS = 100_000
-PAGE_RANGES = 256
+PAGE_SORT_ROWS = 250_000
+PAGE_RANGES = 32
 
 
 @dataclass(frozen=True)
@@ -278,19 +278,31 @@ def _rows_around(
     """The rows among which those from rank ``skipped`` on are found, without sorting all.
 
     A sample of the keys cuts them into ranges, the rows of each range are counted (a line per range), and
-    only the ranges that hold the ranks asked for are read again. No rows are given if these are still more
-    than one task should sort, as when many rows share a key.
+    only the ranges that hold the ranks asked for are read again, cut anew as long as that makes
+    them smaller. No rows are given if there are still more than one task should sort, as when many
+    rows share a key.
     """
-    everything = _Before(F.lit(True), 0)
-    if total <= PAGE_SORT_ROWS:
-        return apps, everything
+    held = _Before(F.lit(True), 0)
+    while total > PAGE_SORT_ROWS:
+        where, before, left = _range_around(apps.where(held.where), skipped - held.rows, size, total, key, direction)
+        shrunk = left < total
+        held, total = _Before(held.where & where, held.rows + before), left
+        if not shrunk:
+            return None, held
+    return apps.where(held.where), held
+
+
+def _range_around(
+    apps: DataFrame, skipped: int, size: int, total: int, key: str, direction: str
+) -> tuple[Column, int, int]:
+    """One cut: which rows may be on the page, how many come before them, and how many they are."""
     text = dict(apps.dtypes)[key] == "string"
     value = F.coalesce(F.col(key), F.lit("")) if text else F.col(key)
     share = min(1.0, 32 * PAGE_RANGES / total)
     sampled = apps.select(value.alias("v")).where("v IS NOT NULL").sample(share, 7)
     sampled = sampled.orderBy(F.collate("v", "UNICODE") if text else F.col("v")).limit(64 * PAGE_RANGES)
     values = [row.v for row in sampled.collect()]
-    cuts = values[:: max(1, len(values) // PAGE_RANGES)]
+    cuts = values[len(values) // PAGE_RANGES :: max(1, len(values) // PAGE_RANGES)]
 
     def at_least(cut) -> Column:
         if text:
@@ -298,7 +310,14 @@ def _rows_around(
         return value >= F.lit(cut)
 
     # Range 0 holds the nulls, range 1 what lies below all cuts, range k + 1 what reaches k cuts.
-    reached = sum((at_least(cut).cast("int") for cut in cuts), F.lit(1))
+    def reached_from(low: int, high: int) -> Column:
+        """The range, given that it is one from ``low`` to ``high``: halved by a comparison each."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high + 1) // 2
+        return F.when(at_least(cuts[middle - 2]), reached_from(middle, high)).otherwise(reached_from(low, middle - 1))
+
+    reached = F.when(value.isNotNull(), reached_from(1, len(cuts) + 1))
     ranges = dict(apps.groupBy(F.coalesce(reached, F.lit(0)).alias("range")).count().collect())
     last = skipped + size
     passed, found, before = 0, [], 0
@@ -308,7 +327,7 @@ def _rows_around(
             found.append(number)
         passed += ranges[number]
     if not found:
-        return apps.limit(0), everything
+        return F.lit(False), 0, 0
     low, high = min(found), max(found)
     where = F.lit(True) if low == 0 else value.isNotNull()
     if low > 1:
@@ -318,8 +337,7 @@ def _rows_around(
         where = where & F.coalesce(below, F.lit(low == 0))
         if low == 0 and high == 0:
             where = value.isNull()
-    held = _Before(where, before)
-    return (apps.where(where) if sum(ranges[n] for n in found) <= PAGE_SORT_ROWS else None), held
+    return where, before, sum(ranges[n] for n in found)
 
 
 @dataclass(frozen=True)

@@ -140,7 +140,7 @@ def test_pages(spark):
     assert seen == sorted(seen) and len(set(seen)) == 53
 
 
-@pytest.mark.parametrize("key, direction", [("n", "asc"), ("n", "desc"), ("name", "asc"), ("name", "desc"), ("x", "desc")])
+@pytest.mark.parametrize("key, direction", [("n", "desc"), ("name", "asc"), ("x", "desc")])
 def test_far_pages_read_only_their_ranges(spark, monkeypatch, key, direction):
     """Pages of a table that is cut into ranges are those of the sorted table: nulls, ties and NaN included."""
     rng = random.Random(key + direction)
@@ -153,7 +153,7 @@ def test_far_pages_read_only_their_ranges(spark, monkeypatch, key, direction):
     expected = [r.id for r in j.sort_by(df, key, direction).collect()]
     monkeypatch.setattr(j, "PAGE_SORT_ROWS", 100)
     monkeypatch.setattr(j, "PAGE_RANGES", 16)
-    for page in (1, 2, 9, 14, 22, 99):
+    for page in (1, 9, 22, 99):
         found = j.page_of(df, page, 25, key, direction)
         at = (found.page - 1) * 25
         assert [r.id for r in found.rows.collect()] == expected[at : at + 25], page
