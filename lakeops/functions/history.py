@@ -1,4 +1,4 @@
-"""One user's query history as events change it."""
+"""Statements of a query history as they are compared."""
 
 from __future__ import annotations
 
@@ -7,42 +7,3 @@ import re
 
 def normalise(statement: str | None) -> str:
     return re.sub(r"\s+", " ", (statement or "").strip())
-
-
-def apply_event(entries: list[dict], event: dict, limit: int) -> None:
-    """Change the newest-first list in place.
-
-    A start goes to the front and cuts the list. An end is written to its entry, wherever that is;
-    then the two newest entries become one if their statements match and the newest has ended. An
-    end whose entry is gone changes nothing.
-    """
-    if event["kind"] == "start":
-        entry = {
-            "id": event["id"],
-            "statement": event["statement"],
-            "state": "RUNNING",
-            "started_at": event["event_time"],
-            "completed_at": 0,
-            "error": "",
-            "execution_count": 1,
-            "logs": [],
-        }
-        entries.insert(0, entry)
-        del entries[limit:]
-        return
-    entry = next((e for e in entries if e["id"] == event["id"]), None)
-    if entry is None:
-        return
-    failed = event["kind"] == "fail"
-    entry["state"] = "ERROR" if failed else "FINISHED"
-    entry["completed_at"] = event["event_time"]
-    entry["error"] = (event["error"] or "") if failed else ""
-    entry["logs"] = [] if failed else list(event["logs"] if event["logs"] is not None else [])
-    if len(entries) < 2:
-        return
-    newest, before = entries[:2]
-    if newest["state"] != "RUNNING" and normalise(newest["statement"]) == normalise(
-        before["statement"]
-    ):
-        newest["execution_count"] += before["execution_count"]
-        del entries[1]

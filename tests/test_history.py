@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lakeops.functions.history import apply_event
+from lakeops.functions.history import normalise
 from lakeops.operators import history as h
 from lakeops.streaming.runs import latest_history, stream_runs
 from lakeops.streaming.table import drain
@@ -23,6 +23,45 @@ def events(i, statement, start, end, kind="finish", user="alice", error=None, lo
     return [first] if end is None else [first, last]
 
 
+def apply_event(entries: list[dict], event: dict, limit: int) -> None:
+    """Change the newest-first list in place.
+
+    A start goes to the front and cuts the list. An end is written to its entry, wherever that is;
+    then the two newest entries become one if their statements match and the newest has ended. An
+    end whose entry is gone changes nothing.
+    """
+    if event["kind"] == "start":
+        entry = {
+            "id": event["id"],
+            "statement": event["statement"],
+            "state": "RUNNING",
+            "started_at": event["event_time"],
+            "completed_at": 0,
+            "error": "",
+            "execution_count": 1,
+            "logs": [],
+        }
+        entries.insert(0, entry)
+        del entries[limit:]
+        return
+    entry = next((e for e in entries if e["id"] == event["id"]), None)
+    if entry is None:
+        return
+    failed = event["kind"] == "fail"
+    entry["state"] = "ERROR" if failed else "FINISHED"
+    entry["completed_at"] = event["event_time"]
+    entry["error"] = (event["error"] or "") if failed else ""
+    entry["logs"] = [] if failed else list(event["logs"] if event["logs"] is not None else [])
+    if len(entries) < 2:
+        return
+    newest, before = entries[:2]
+    if newest["state"] != "RUNNING" and normalise(newest["statement"]) == normalise(
+        before["statement"]
+    ):
+        newest["execution_count"] += before["execution_count"]
+        del entries[1]
+
+
 def replay(log, limit=100):
     lists = {}
     for event in sorted(log, key=lambda e: (e[4], e[5])):
@@ -174,5 +213,23 @@ def test_stream_marks_late_events(spark, tmp_path):
         spark.createDataFrame(batch, LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
     stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
     versions = drain(stream_runs(stream), "runs").cache()
-    assert versions.where("state = 'LATE'").count() == 2
+    assert versions.where("change = 'late' and state = 'LATE'").count() == 2
     assert [r.id for r in latest_history(versions).collect()] == ["q0002"]
+
+
+def test_stream_emits_changed_entries_only(spark, tmp_path):
+    """A long history is not written again for one event; equal neighbours and the oldest entry are taken away."""
+    batches = [
+        [e for i in range(40) for e in events(i, f"s{i}", 10 * i, 10 * i + 5)],
+        events(40, "s39", 1000, 1005) + events(41, "other", 1010, 1015),
+    ]
+    for n, batch in enumerate(batches):
+        folder = tmp_path / "log" / f"part={n}"
+        spark.createDataFrame(batch, LOG).coalesce(1).write.parquet(str(folder))
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log" / "part=*"))
+    changes = drain(stream_runs(stream, n=40), "runs").cache()
+    assert changes.where("version = 1").count() == 40
+    second = {r.number: (r.change, r.execution_count) for r in changes.where("version = 2").collect()}
+    # The start of 40 pushes out 0, its end takes in 39; then 41 finds room.
+    assert second == {0: ("removed", None), 39: ("removed", None), 40: ("set", 2), 41: ("set", 1)}
+    assert {r.id for r in latest_history(changes).collect()} == {f"q{i:04d}" for i in range(1, 42)} - {"q0039"}

@@ -13,7 +13,7 @@ from lakeops.operators import policy as p
 from lakeops.sources.audit import read_audit
 from lakeops.streaming.audit import stream_audit, topic_records, write_audit_stream
 from lakeops.streaming.lockouts import stream_lockouts
-from lakeops.streaming.table import drain
+from lakeops.streaming.table import drain, state_store
 
 T0 = datetime(2024, 1, 1)
 ATTEMPTS = "username string, ts timestamp, seq long, success boolean"
@@ -117,6 +117,45 @@ def test_streamed_lockouts_lose_no_attempt(spark, tmp_path):
     assert got == {("a", 500): "failed", ("b", 10): "failed", ("a", 20): "late", ("a", 501): "failed", ("c", 0): "failed", ("b", 9): "late"}
 
 
+def test_streamed_lockouts_forget_users(spark, tmp_path):
+    """A lock that ended a lockout ago leaves the state, and so does a user without failures; open failures stay."""
+    folder = tmp_path / "in"
+    batches = [
+        [("a", m, False) for m in range(5)] + [("b", 3, True), ("c", 4, False)],
+        [("d", 300, True)],
+        [("e", 301, True)],  # the watermark, 290 by now, has passed a's lock and b's success
+        [("a", 100, False), ("a", 250, False), ("b", 291, False), ("c", 291, False)],
+    ]
+    for n, batch in enumerate(batches):
+        attempts(spark, batch).coalesce(1).write.mode("append").parquet(str(folder))
+        newest = max(folder.glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+        os.utime(newest, (1_700_000_000 + n, 1_700_000_000 + n))
+        newest.rename(folder / f"{n}.parquet")
+    stream = spark.readStream.schema(ATTEMPTS).option("maxFilesPerTrigger", 1).parquet(str(folder / "*.parquet"))
+    with state_store(spark):
+        query = (
+            stream_lockouts(stream, delay="10 minutes")
+            .writeStream.format("parquet")
+            .option("checkpointLocation", str(tmp_path / "checkpoint"))
+            .trigger(availableNow=True)
+            .start(str(tmp_path / "out"))
+        )
+        query.awaitTermination()
+    kept = {}
+    for progress in query.recentProgress:
+        for operator in progress.stateOperators:
+            kept[progress.batchId] = operator.numRowsTotal
+    assert kept[0] == 3  # a, b, c
+    assert kept[1] == 4 and kept[2] == 3  # c's open failure, d and e
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    got = {(r.user, round((r.ts - T0).total_seconds() / 60)): (r.outcome, r["count"]) for r in rows if r.ts > T0 + timedelta(minutes=50)}
+    assert got == {
+        ("d", 300): ("success", 0), ("e", 301): ("success", 0),
+        ("a", 100): ("late", 0), ("a", 250): ("late", 0),  # before the watermark
+        ("b", 291): ("failed", 1), ("c", 291): ("failed", 2),
+    }
+
+
 # ------------------------------------------------------------------ audit
 
 LINES = [
