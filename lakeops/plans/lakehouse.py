@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from lakeops.operators import analytics
 from lakeops.plans import fixtures as v
 from lakeops.plans.fixtures import Tables, millis
 from lakeops.plans.registry import query
+from lakeops.session import scratch_path
 from lakeops.sources import lakehouse
 
 _CITIES = ", ".join(f"'{city}'" for city in lakehouse.CITIES)
@@ -69,6 +73,53 @@ def table_row_counts(t: Tables) -> DataFrame:
     return lakehouse.table_row_counts({name: t[name] for name in _COUNTED})
 
 
+_BOUNDARY = ", ".join(f"(DATE '{row[2]}', CAST('{row[5]}' AS DECIMAL(20,6)))" for row in lakehouse.BOUNDARY_ROWS)
+
+
+@query(
+    "WITH c AS (SELECT row_number() OVER () AS id FROM customer), o AS (SELECT row_number() OVER () AS id FROM orders), "
+    "i AS (SELECT row_number() OVER () AS id FROM lineitem), w AS ("
+    "SELECT 'customers' AS \"table\", CAST(NULL AS DATE) AS d, CAST(id AS DECIMAL(20,6)) AS v FROM c UNION ALL "
+    "SELECT 'orders', CAST('2024-01-01' AS DATE) + CAST(id % 365 AS INTEGER), CAST(10 + id * 7 % 990 AS DECIMAL(20,6)) FROM o "
+    "UNION ALL SELECT 'order_items', NULL, CAST((id % 5 + 1) * (5 + id * 3 % 195) AS DECIMAL(20,6)) FROM i "
+    "UNION ALL SELECT 'temporal_values', DATE '1900-01-01', NULL "
+    f"UNION ALL SELECT 'interop_anomaly_values', d, v FROM (VALUES {_BOUNDARY}) b(d, v)) "
+    'SELECT "table", count(*) AS "rows", CAST(min(d) AS VARCHAR) AS first_day, CAST(max(d) AS VARCHAR) AS last_day, '
+    'CAST(CAST(sum(v) AS DECIMAL(30,6)) AS VARCHAR) AS total FROM w GROUP BY 1'
+)
+def written_lakehouse(t: Tables) -> DataFrame:
+    """The five tables, written twice at the size of the given ones and read back."""
+    schema = f"lakehouse_{uuid4().hex}"
+    sizes = tuple(t[name].count() for name in ("customer", "orders", "lineitem"))
+    value = {
+        "customers": F.col("customer_id"),
+        "orders": F.col("amount"),
+        "order_items": F.col("qty") * F.col("price"),
+        "temporal_values": F.lit(None),
+        "interop_anomaly_values": F.col("decimal_value"),
+    }
+    day = {"orders": "order_date", "temporal_values": "event_date", "interop_anomaly_values": "event_date"}
+    path = scratch_path(t.spark, "lakehouse")
+    try:
+        lakehouse.write_lakehouse(t.spark, schema, (1, 1, 1))
+        lakehouse.write_lakehouse(t.spark, schema, sizes)
+        parts = [
+            t.spark.table(f"{schema}.{name}").agg(
+                F.lit(name).alias("table"),
+                F.count(F.lit(1)).alias("rows"),
+                F.min(F.col(day[name]) if name in day else F.lit(None)).cast("string").alias("first_day"),
+                F.max(F.col(day[name]) if name in day else F.lit(None)).cast("string").alias("last_day"),
+                F.sum(value[name].cast("decimal(20,6)")).cast("decimal(30,6)").cast("string").alias("total"),
+            )
+            for name in lakehouse.TABLES
+        ]
+        reduce(DataFrame.unionByName, parts).write.parquet(path)
+    finally:
+        lakehouse.write_lakehouse(t.spark, schema, mode="clean")
+        t.spark.sql(f"DROP SCHEMA IF EXISTS {schema}")
+    return t.spark.read.parquet(path)
+
+
 @query(
     "SELECT (SELECT count(*) FROM events) AS expected, (SELECT count(*) FROM v_cells) AS actual"
 )

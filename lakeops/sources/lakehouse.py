@@ -12,6 +12,9 @@ CITIES = ("Moscow", "SPb", "Kazan", "Novosibirsk", "Yekaterinburg")
 # The tables, children first.
 TABLES = ("order_items", "orders", "customers", "temporal_values", "interop_anomaly_values")
 
+# Ending of the names under which tables are written before they replace the old ones.
+STAGED = "__staged"
+
 # The typed boundary rows. The last field of row 5 differs between the variants.
 BOUNDARY_SCHEMA = (
     "id int, string_col string, event_date date, event_timestamp timestamp, "
@@ -108,15 +111,20 @@ def write_lakehouse(
     sizes: tuple[int, int, int] = (100, 1000, 5000),
     mode: str = "generate",
 ) -> None:
-    """Drop the five tables (children first) and, unless ``mode='clean'``, write them anew."""
+    """Write the five tables anew, or drop them (children first) with ``mode='clean'``.
+
+    All tables are written under staged names first. Only when every one is there do they take the
+    place of the old ones, so a write that fails leaves the old tables as they were, and a table is
+    missing no longer than its rename takes. Staged tables of an earlier failure are removed.
+    """
     if mode not in ("generate", "clean"):
         raise ValueError(f"unknown mode {mode!r}")
-    if mode == "generate":
-        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
-    for table in TABLES:
-        spark.sql(f"DROP TABLE IF EXISTS {schema}.{table}")
     if mode == "clean":
+        for table in TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS {schema}.{table}")
+            spark.sql(f"DROP TABLE IF EXISTS {schema}.{table}{STAGED}")
         return
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
     n_customers, n_orders, n_items = sizes
     frames = {
         "customers": customers(spark, n_customers),
@@ -125,8 +133,17 @@ def write_lakehouse(
         "temporal_values": temporal_values(spark),
         "interop_anomaly_values": interop_values(spark),
     }
-    for table, frame in frames.items():
-        frame.write.format("parquet").saveAsTable(f"{schema}.{table}")
+    try:
+        for table, frame in frames.items():
+            spark.sql(f"DROP TABLE IF EXISTS {schema}.{table}{STAGED}")
+            frame.write.format("parquet").saveAsTable(f"{schema}.{table}{STAGED}")
+    except Exception:
+        for table in frames:
+            spark.sql(f"DROP TABLE IF EXISTS {schema}.{table}{STAGED}")
+        raise
+    for table in TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {schema}.{table}")
+        spark.sql(f"ALTER TABLE {schema}.{table}{STAGED} RENAME TO {schema}.{table}")
 
 
 def table_row_counts(tables: dict[str, DataFrame]) -> DataFrame:

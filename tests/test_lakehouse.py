@@ -71,6 +71,20 @@ def test_write_lakehouse_is_repeatable_and_cleans(spark):
     assert spark.sql("SHOW TABLES IN shop").count() == 0
 
 
+def test_failed_write_leaves_the_old_lakehouse(spark, monkeypatch):
+    lake.write_lakehouse(spark, "kept", (10, 20, 40))
+    broken = lambda *sizes: spark.range(1).select(F.raise_error(F.lit("lost")).alias("item_id"))
+    with monkeypatch.context() as patched:
+        patched.setattr(lake, "order_items", broken)
+        with pytest.raises(Exception, match="lost"):
+            lake.write_lakehouse(spark, "kept", (1, 2, 4))
+    assert {r.tableName for r in spark.sql("SHOW TABLES IN kept").collect()} == set(lake.TABLES)
+    assert [spark.table(f"kept.{t}").count() for t in ("customers", "orders", "order_items")] == [10, 20, 40]
+    lake.write_lakehouse(spark, "kept", (1, 2, 4))
+    assert [spark.table(f"kept.{t}").count() for t in ("customers", "orders", "order_items")] == [1, 2, 4]
+    lake.write_lakehouse(spark, "kept", mode="clean")
+
+
 def test_row_count_gate(spark):
     assert tuple(lake.assert_row_count(spark.range(6), 6).first()) == (6, 6)
     with pytest.raises(Exception, match="expected 7 rows, got 6"):
