@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.llm.common import named, table
+from lakeops.llm.common import named, stored, table
 
 # Labelled documents that are not toxic and that are, of which at most so many are trained on.
 MAX_SAMPLE = (4000, 2000)
+# Code points of all texts trained on, at most; each class has its part by its number of documents.
+MAX_CHARS = 32_000_000
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 EPOCHS = 8
@@ -173,13 +175,26 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def _within(sizes: list[tuple[int, int, int]], max_sample: tuple[int, int], max_chars: int) -> list[int]:
+    """Keys of ``(key, mark, length)`` that fit into the part of their class, in the order given. A text that is too
+    long for what is left is passed over whole; the next ones may fit."""
+    left = [max_chars * n // max(sum(max_sample), 1) for n in max_sample]
+    chosen = []
+    for key, mark, length in sizes:
+        if length <= left[mark]:
+            left[mark] -= length
+            chosen.append(key)
+    return chosen
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_sample: tuple[int, int] = MAX_SAMPLE,
+    max_sample: tuple[int, int] = MAX_SAMPLE, max_chars: int = MAX_CHARS,
 ) -> Model:
     """Trains on the labelled documents outside the held-out fold, at most ``max_sample`` of each
     class (not toxic, toxic), chosen by a hash of the id. Rows without id, text or label are not learnt from; a
-    document with several labels counts as toxic if one of them says so.
+    document with several labels counts as toxic if one of them says so; of rows that repeat an id the one with
+    the least text is learnt from. Whole texts of at most ``max_chars`` code points in all come to the driver.
     """
     marks = labels.select(named(id_col).cast("long").alias("key"), named(label_col).cast("int").alias("mark")).dropna()
     marks = marks.where(~held_out(F.col("key"))).groupBy("key").agg(F.max("mark").alias("mark"))
@@ -187,8 +202,13 @@ def fit(
     chosen = [marks.where(F.col("mark") == m).orderBy(*order).limit(max_sample[m]) for m in (0, 1)]
     sample = docs.select(named(id_col).cast("long").alias("key"), named(text_col).alias("text")).dropna()
     # The ids are as many as max_sample at most, whatever the tables.
-    rows = sample.join(F.broadcast(chosen[0].unionAll(chosen[1])), "key").collect()
-    rows.sort(key=lambda r: (r["key"], r["text"]))
+    sample = sample.join(F.broadcast(chosen[0].unionAll(chosen[1])), "key").groupBy("key")
+    sample = stored(sample.agg(F.min("text").alias("text"), F.max("mark").alias("mark")), "sample")
+    sizes = sample.select("key", "mark", F.length("text"), F.xxhash64("key")).collect()
+    sizes.sort(key=lambda r: (r[3], r[0]))
+    keys = _within([tuple(r[:3]) for r in sizes], max_sample, max_chars)
+    rows = sample.where(F.col("key").isin(keys)).collect()
+    rows.sort(key=lambda r: r["key"])
     return train([r["text"] for r in rows], [r["mark"] for r in rows])
 
 

@@ -1,5 +1,7 @@
 """Models by held-out results, tokens by the library's own, personal data and licences by small cases."""
 
+import zlib
+import math
 import hashlib
 import random
 import re
@@ -44,6 +46,49 @@ def test_toxicity_of_unseen_spellings():
     assert score("") == model.score(" .,", {}) and np.array_equal(toxicity.train(clean + bad, [0] * 150 + [1] * 150).weights, model.weights)
 
 
+def test_toxicity_learns_from_a_bounded_sample(spark, make, monkeypatch):
+    """One row of an id, however often it repeats, and whole texts up to a number of code points."""
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, marks: seen.append(list(zip(texts, marks))))
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    ids = [i for i in range(60) if fold(i)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    docs = make([(i, f"{i:02} " * 10) for i in range(60)] + [(ids[0], f"zz {n}") for n in range(3000)])
+    toxicity.fit(docs, labels)
+    assert sorted(seen.pop()) == sorted((f"{i:02} " * 10, i % 2) for i in ids)
+    toxicity.fit(docs.unionAll(make([(ids[1], "!" * 500)])), labels, max_sample=(20, 10), max_chars=450)
+    marks = [mark for text, mark in seen.pop() if len(text) == 30]
+    assert marks.count(0) == 10 and marks.count(1) == 5
+    three = make([(ids[0], "a" * 40), (ids[1], "b" * 41), (ids[2], None)])
+    toxicity.fit(three, labels.where(F.col("doc_id").isin(ids[:3])), max_sample=(3, 3), max_chars=80)
+    assert [text for text, _ in seen.pop()] == ["a" * 40]
+
+
+def test_toxicity_scores_by_hand(spark, make):
+    """The score of whole texts from the weights, n-gram by n-gram."""
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.normal(0, 1, toxicity.BUCKETS).astype(np.float32), -0.3, -1.5)
+    texts = ["", None, " .,", "One two two", "naïve ÉTÉ x", "w " * 5000 + "end", "a_b 12 12 12"]
+
+    def by_hand(text):
+        words = re.findall(r"\w+", (text or "").lower())
+        if not words:
+            return 1 / (1 + math.exp(1.5))
+        total = weight = 0.0
+        for word in set(words):
+            marked = f"<{word}>"
+            grams = [marked] + [marked[i : i + k] for k in (3, 4, 5) for i in range(len(marked) - k + 1)]
+            values = [float(model.weights[zlib.crc32(g.encode()) % toxicity.BUCKETS]) for g in grams]
+            total += words.count(word) ** 0.5 * sum(values) / len(values)
+            weight += words.count(word) ** 0.5
+        return 1 / (1 + math.exp(0.3 - toxicity.SCALE * total / (toxicity.NEUTRAL + weight)))
+
+    scored = make(list(enumerate(texts))).select("doc_id", toxicity.score_column(F.col("text"), model).alias("s"))
+    assert {r.doc_id: pytest.approx(by_hand(texts[r.doc_id]), rel=1e-4) for r in scored.collect()} == dict(
+        tuple(r) for r in scored.collect()
+    )
+
+
 def test_toxicity_without_labels_or_texts(spark, make):
     labels = spark.createDataFrame([(1, None), (2, 1), (None, 1)], "doc_id long, toxic int")
     docs = make([(1, "a"), (2, None), (None, "b"), (2, "c " * 50_000)])
