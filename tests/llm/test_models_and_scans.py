@@ -1,11 +1,11 @@
 """Models by held-out results, tokens by the library's own, personal data and licences by small cases."""
 
-import zlib
-import math
 import hashlib
+import math
 import random
 import re
 import struct
+import zlib
 from collections import Counter
 from types import SimpleNamespace
 
