@@ -9,6 +9,7 @@ from lakeops.operators import reports as r
 from lakeops.plans import fixtures as v
 from lakeops.plans.fixtures import SQL_RANK, Tables
 from lakeops.plans.registry import query
+from lakeops.session import scratch_path
 from lakeops.sources import files
 
 
@@ -160,3 +161,43 @@ def path_breadcrumbs(t: Tables) -> DataFrame:
 )
 def directory_rollup(t: Tables) -> DataFrame:
     return files.directory_rollup(v.site_files(t))
+
+
+def _customer_files(t: Tables) -> str:
+    """A folder with a directory for every hundred customers, and in it a file with a line for each."""
+    path = scratch_path(t.spark, "customers")
+    block = F.floor(F.col("c_custkey") / 100).cast("long").alias("block")
+    rows = t["customer"].select(block, "c_custkey", F.concat_ws("|", "c_custkey", "c_name", "c_mktsegment").alias("line"))
+    # A directory is written by one task, so it has one file.
+    rows = rows.repartition("block").sortWithinPartitions("block", "c_custkey")
+    rows.select("block", "line").write.partitionBy("block").text(path)
+    return path
+
+
+_CUSTOMER_LINES = (
+    "WITH l AS (SELECT CAST(floor(c_custkey / 100.0) AS BIGINT) AS block, c_custkey, "
+    "c_custkey || '|' || c_name || '|' || c_mktsegment AS line FROM customer)"
+)
+
+
+@query(
+    f"{_CUSTOMER_LINES}, f AS (SELECT 'block=' || block AS folder, CAST(sum(strlen(line) + 1) AS BIGINT) AS size FROM l GROUP BY block) "
+    "SELECT folder, true AS directory, CAST(0 AS BIGINT) AS size, CAST(1 AS BIGINT) AS entries FROM f UNION ALL "
+    "SELECT folder, false, size, 1 FROM f"
+)
+def written_entries(t: Tables) -> DataFrame:
+    """The tree of files written from customers: every directory, and the files of each with their bytes."""
+    path = _customer_files(t)
+    listed = files.file_inventory(t.spark, path, recursive=True)
+    folder = F.when(F.col("directory"), F.col("name")).otherwise(F.element_at(F.split("path", "/"), -2)).alias("folder")
+    return listed.groupBy(folder, "directory").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("entries"))
+
+
+@query(
+    f"{_CUSTOMER_LINES} SELECT 'block=' || block AS folder, CAST(sum(strlen(line) + 1) AS BIGINT) AS size, "
+    "left(string_agg(line, chr(10) ORDER BY c_custkey) || chr(10), 1000) AS preview FROM l GROUP BY block"
+)
+def written_heads(t: Tables) -> DataFrame:
+    """The first 1000 bytes of every file written from customers."""
+    heads = files.file_previews(t.spark, _customer_files(t), max_bytes=1000, recursive=True)
+    return heads.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "size", "preview")

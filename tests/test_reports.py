@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lakeops.operators import reports as r
@@ -89,15 +90,59 @@ def test_test_reports(spark, tmp_path):
     assert sorted(map(tuple, parsed.collect())) == sorted(rows.values())
 
 
+def _tree(top):
+    (top / "sub" / "deep").mkdir(parents=True)
+    (top / "empty").mkdir()
+    (top / "a b.txt").write_bytes(b"x" * 70_000)
+    (top / "a%20b#?.txt").write_bytes(b"other")
+    (top / "_hidden").write_bytes(b"h")
+    (top / "sub" / "c.bin").write_bytes(b"ok\xff")
+    (top / "sub" / "deep" / "cut.txt").write_bytes("é".encode() * 3)
+    (top / "sub" / "c.bin").chmod(0o640)
+    (top / "sub").chmod(0o750)
+
+
 def test_files(spark, tmp_path):
-    (tmp_path / "sub").mkdir()
-    (tmp_path / "a b.txt").write_bytes(b"x" * 70_000)
-    (tmp_path / "sub" / "c.bin").write_bytes(b"ok\xff")
-    listed = {x.name: x for x in files.file_inventory(spark, str(tmp_path), recursive=True).collect()}
-    assert {n: x.size for n, x in listed.items()} == {"a b.txt": 70_000, "c.bin": 3}
-    assert listed["c.bin"].owner is None and listed["c.bin"].directory is False
+    _tree(tmp_path)
+    (tmp_path / "loop").symlink_to(tmp_path)
+    top = {x.name: x for x in files.file_inventory(spark, str(tmp_path)).collect()}
+    assert {n: (x.directory, x.size) for n, x in top.items() if n != "loop"} == {
+        "sub": (True, 0), "empty": (True, 0), "a b.txt": (False, 70_000), "a%20b#?.txt": (False, 5),
+    }
+    assert top["loop"].directory is False
+    listed = {x.path.removeprefix(f"{tmp_path}/"): x for x in files.file_inventory(spark, f"{tmp_path}/", recursive=True).collect()}
+    assert set(listed) == {"sub", "empty", "a b.txt", "a%20b#?.txt", "loop", "sub/c.bin", "sub/deep", "sub/deep/cut.txt"}
+    found, s = listed["sub/c.bin"], (tmp_path / "sub" / "c.bin").stat()
+    assert (found.owner, found.group, found.permission) == (
+        (tmp_path / "sub" / "c.bin").owner(), (tmp_path / "sub" / "c.bin").group(), "640")
+    assert listed["sub"].permission == "750"
+    micros = files.file_inventory(spark, str(tmp_path / "sub" / "c.bin")).selectExpr("name", "unix_micros(modification_time) AS m").collect()
+    assert [tuple(x) for x in micros] == [("c.bin", s.st_mtime_ns // 1000)]
+    assert "_hidden" in {x.name for x in files.file_inventory(spark, f"file:{tmp_path}", hidden=True).collect()}
+    assert files.file_inventory(spark, str(tmp_path / "empty"), recursive=True).count() == 0
+    with pytest.raises(Exception, match="No such file"):
+        files.file_inventory(spark, str(tmp_path / "absent")).collect()
+
+
+def test_previews(spark, tmp_path):
+    _tree(tmp_path)
     heads = {x.name: x.preview for x in files.file_previews(spark, str(tmp_path), recursive=True).collect()}
-    assert len(heads["a b.txt"]) == 65_536 and heads["c.bin"] == "ok\ufffd"
+    assert len(heads["a b.txt"]) == 65_536 and heads["c.bin"] == "ok\ufffd" and heads["a%20b#?.txt"] == "other"
+    cut = {x.name: x.preview for x in files.file_previews(spark, f"file://{tmp_path}", max_bytes=3, recursive=True).collect()}
+    assert cut["cut.txt"] == "é\ufffd"
+
+
+def test_stores_that_only_spark_reads(spark, tmp_path):
+    _tree(tmp_path)
+    listed = files._by_file_source(spark, str(tmp_path), True)
+    found = {(x.path.removeprefix(f"file:{tmp_path}/"), x.name, x.directory, x.size) for x in listed.collect()}
+    assert {x for x in found if "#" not in x[0]} == {
+        ("sub", "sub", True, 0), ("sub/deep", "deep", True, 0), ("sub/c.bin", "c.bin", False, 3),
+        ("sub/deep/cut.txt", "cut.txt", False, 6), ("a b.txt", "a b.txt", False, 70_000),
+    }
+    assert {(x.name, x.directory) for x in files._by_file_source(spark, str(tmp_path), False).collect()} >= {("sub", True), ("a b.txt", False)}
+    with pytest.raises(ValueError):
+        files.file_inventory(spark, "viewfs://x/y", hidden=True)
 
 
 def test_breadcrumbs_and_rollup(spark):
