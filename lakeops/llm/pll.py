@@ -46,6 +46,8 @@ RATE = 0.3
 # Tokens that are scored together, and distinct words counted before they are sent on.
 STEP = 1 << 15
 MAX_COUNTED = 300_000
+# Ids as they are stored: all are below WORDS + BUCKETS + 1.
+PACKED = np.dtype("<u2")
 
 
 def tokens_of(text: str) -> list[str]:
@@ -145,6 +147,14 @@ class Vocabulary:
         return np.array(ids, np.int64)
 
 
+def ids_of(column: pa.Array, vocabulary: Vocabulary, known: dict[str, int]) -> Iterator[np.ndarray]:
+    """The ids of every text of a column, or of every row of ids that were packed before."""
+    packed = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    for value in column:
+        value = value.as_py()
+        yield np.frombuffer(value or b"", PACKED).astype(np.int64) if packed else vocabulary.encode(value or "", known)
+
+
 def _by_row(rows: np.ndarray, gradients: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and their steps. A rare row's few gradients count as much as a frequent one's many."""
     # All rows are below WORDS + BUCKETS + 1; numpy sorts 16 bits by radix.
@@ -282,8 +292,7 @@ def _train_task(shared, round_: int, rounds: int):
             return len(at)
 
         for batch in batches:
-            for text in batch.column(0):
-                ids = vocabulary.encode(text.as_py() or "", known)
+            for ids in ids_of(batch.column(0), vocabulary, known):
                 held += [ids, none]
                 dealt += [rounds_of(ids, rounds), never]
                 size += len(ids) + 2
@@ -300,101 +309,130 @@ def _train_task(shared, round_: int, rounds: int):
     return train
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network, DataFrame]:
-    """Vocabulary, network and counts of all words of a corpus (columns ``doc_id`` and ``text``)."""
-    spark = docs.sparkSession
-    counts = stored(word_counts(docs), "words")
+def build_vocabulary(counts: DataFrame) -> Vocabulary:
+    """The vocabulary of a table of word counts."""
     ranked = counts.orderBy(F.desc("n"), "word").limit(WORDS)
     top = [(r["word"], r["n"]) for r in ranked.collect()]
     # At most WORDS rows.
-    frequent = spark.createDataFrame([(w,) for w, _ in top], "word string")
+    frequent = counts.sparkSession.createDataFrame([(w,) for w, _ in top], "word string")
     bucket = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(BUCKETS)).cast("int")
     rest = counts.join(F.broadcast(frequent), "word", "left_anti")
     others = np.zeros(BUCKETS)
     for r in rest.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect():
         others[r["bucket"]] = r["n"]
-    vocabulary = Vocabulary(top, others.tolist())
+    return Vocabulary(top, others.tolist())
+
+
+def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Network:
+    """The network trained on all rows of ``texts``, whose one column has texts or packed ids."""
     network = Network(vocabulary.size)
     schema = "row int, n long, " + ", ".join(f"x{d} double" for d in range(DIMENSIONS))
-    for round_ in range(rounds if top else 0):
-        shared = spark.sparkContext.broadcast((vocabulary, network))
-        sums = docs.select("text").mapInArrow(_train_task(shared, round_, rounds), schema).groupBy("row")
+    for round_ in range(rounds if vocabulary.ids else 0):
+        shared = texts.sparkSession.sparkContext.broadcast((vocabulary, network))
+        sums = texts.mapInArrow(_train_task(shared, round_, rounds), schema).groupBy("row")
         averages = [(F.sum(f"x{d}") / F.sum("n")).alias(f"x{d}") for d in range(DIMENSIONS)]
         rows = sums.agg(*averages).orderBy("row").toPandas()
         if len(rows):
             network = network.from_rows(rows.drop(columns="row").to_numpy(np.float32))
-    return vocabulary, network, counts
+    return network
 
 
-def score_column(text: Column, vocabulary: Vocabulary, network: Network) -> Column:
-    """Struct of a text: n_tokens, log_likelihood (the sum over its tokens), unigram (the same sum
-    without contexts), pooled (words that share buckets, and how often). Both sums lack the logs of the
-    corpus counts of the pooled words. Null and empty texts have no tokens and sums of zero."""
-    shared = SparkSession.getActiveSession().sparkContext.broadcast((vocabulary, network))
-    pair = pa.struct([("word", pa.string()), ("n", pa.int64())])
-    kind = pa.struct(
-        [("n_tokens", pa.int64()), ("log_likelihood", pa.float64()), ("unigram", pa.float64()), ("pooled", pa.list_(pair))]
-    )
+def encode_column(text: Column, vocabulary: Vocabulary) -> Column:
+    """Struct of a text: ids (packed, two bytes each), n_tokens, less (what its pooled words have less than
+    their buckets, but for the logs of their own counts), unigram (the log-probability without contexts,
+    with ``less``), pooled (words that share buckets, and how often). Null and empty texts have no tokens."""
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(vocabulary)
 
-    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary, network = shared.value
+    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocabulary = shared.value
         known: dict[str, int] = {}
-        none = np.zeros(2, np.int64)
         for batch in texts:
-            out: list[dict] = []
-            held: list[np.ndarray] = []
-            size = 0
-
-            def flush(held=held, out=out) -> None:
-                if not held:
-                    return
-                # Two zeros behind each text; none is empty then.
-                logp = network.score(np.concatenate([none, *held]), vocabulary)
-                starts = np.cumsum([2, *map(len, held[:-1])])
-                for row, total in zip(out[len(out) - len(held) :], np.add.reduceat(logp, starts)):
-                    row["log_likelihood"] += float(total)
-                held.clear()
-
+            # The words of a text become an Arrow array at once; a batch may have a million of them.
+            ids_out, lengths, sums, words_out, times_out, ends = [], [], [], [], [], [0]
             for text in batch:
                 words = tokens_of(text.as_py() or "")
                 ids = vocabulary.encode_words(words, known)
                 pooled = Counter(words[i] for i in np.flatnonzero(ids >= vocabulary.first))
                 less = float(vocabulary.pooled[ids].sum())
-                out.append(
-                    {"n_tokens": len(ids), "log_likelihood": less, "unigram": float(vocabulary.unigram[ids].sum()) + less,
-                     "pooled": [{"word": w, "n": n} for w, n in pooled.items()]}
-                )
+                ids_out.append(ids.astype(PACKED).tobytes())
+                lengths.append(len(ids))
+                sums.append((less, float(vocabulary.unigram[ids].sum()) + less))
+                words_out.append(pa.array(list(pooled), pa.string()))
+                times_out.append(pa.array(list(pooled.values()), pa.int64()))
+                ends.append(ends[-1] + len(pooled))
+            pairs = pa.StructArray.from_arrays(
+                [pa.concat_arrays([pa.array([], pa.string()), *words_out]), pa.concat_arrays([pa.array([], pa.int64()), *times_out])],
+                ["word", "n"],
+            )
+            yield pa.StructArray.from_arrays(
+                [pa.array(ids_out, pa.binary()), pa.array(lengths, pa.int64()), pa.array([x for x, _ in sums], pa.float64()),
+                 pa.array([x for _, x in sums], pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
+                ["ids", "n_tokens", "less", "unigram", "pooled"],
+            )
+
+    encode.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    form = "ids binary, n_tokens long, less double, unigram double, pooled array<struct<word: string, n: bigint>>"
+    return F.arrow_udf(encode, form)(text)
+
+
+def score_column(ids: Column, vocabulary: Vocabulary, network: Network) -> Column:
+    """The sum of the conditional log-probabilities of packed ids; zero without ids."""
+    shared = SparkSession.getActiveSession().sparkContext.broadcast((vocabulary, network))
+
+    def score(packed: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocabulary, network = shared.value
+        none = np.zeros(2, np.int64)
+        for batch in packed:
+            sums: list[np.ndarray] = []
+            held: list[np.ndarray] = []
+            size = 0
+
+            def flush(held=held, sums=sums) -> None:
+                if held:
+                    # Two zeros behind each text; none is empty then.
+                    logp = network.score(np.concatenate([none, *held]), vocabulary)
+                    sums.append(np.add.reduceat(logp, np.cumsum([2, *map(len, held[:-1])])))
+                    held.clear()
+
+            for ids in ids_of(batch, vocabulary, {}):
                 held.append(np.concatenate([ids, none]))
                 size += len(ids)
                 if size > STEP:
                     flush()
                     size = 0
             flush()
-            yield pa.array(out, kind)
+            yield pa.array(np.concatenate([np.zeros(0), *sums]), pa.float64())
 
-    score.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    form = "n_tokens long, log_likelihood double, unigram double, pooled array<struct<word: string, n: bigint>>"
-    return F.arrow_udf(score, form)(text)
+    score.__annotations__ = {"packed": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(score, "double")(ids)
 
 
-def add_pooled(scored: DataFrame, counts: DataFrame) -> DataFrame:
-    """Scored rows (``row`` numbers them) with the logs of the corpus counts of their pooled words in both
-    sums. A word that the corpus does not have counts as seen once."""
-    words = scored.select("row", F.explode("pooled").alias("p")).select("row", "p.word", F.col("p.n").alias("times"))
+def own_counts(encoded: DataFrame, counts: DataFrame) -> DataFrame:
+    """The logs of the corpus counts of the pooled words of every row, summed up. A word that the corpus
+    does not have counts as seen once."""
+    words = encoded.select("row", F.explode("pooled").alias("p")).select("row", "p.word", F.col("p.n").alias("times"))
     # Words seen once add nothing.
     known = counts.where(F.col("n") > 1)
-    more = words.join(known, "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
-    added = {c: (F.col(c) + F.coalesce("more", F.lit(0.0))).alias(c) for c in ("log_likelihood", "unigram")}
-    return scored.drop("pooled").join(more, "row", "left").select("doc_id", "n_tokens", *added.values())
+    return words.join(known, "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A line per row: doc_id, n_tokens, log_likelihood, per_token (null without tokens), unigram."""
+    """A line per row: doc_id, n_tokens, log_likelihood, per_token (null without tokens), unigram.
+
+    Texts are read twice, to count words and to encode; what follows starts from the stored ids.
+    """
     rows = id_and_text(docs, id_col, text_col)
-    vocabulary, network, counts = fit(rows)
-    scored = rows.select("doc_id", score_column(F.col("text"), vocabulary, network).alias("s"))
-    scored = stored(scored.select(F.monotonically_increasing_id().alias("row"), "doc_id", "s.*"), "scored")
-    scored = add_pooled(scored, counts)
+    counts = stored(word_counts(rows), "words")
+    vocabulary = build_vocabulary(counts)
+    encoded = rows.select("doc_id", encode_column(F.col("text"), vocabulary).alias("s"))
+    encoded = stored(encoded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "s.*"), "encoded")
+    network = train(encoded.select("ids"), vocabulary)
+    found = encoded.select(
+        "row", "doc_id", "n_tokens", "unigram", (score_column(F.col("ids"), vocabulary, network) + F.col("less")).alias("log_likelihood")
+    )
+    more = F.coalesce("more", F.lit(0.0))
+    added = [(F.col(c) + more).alias(c) for c in ("log_likelihood", "unigram")]
+    scored = found.join(own_counts(encoded, counts), "row", "left").select("doc_id", "n_tokens", *added)
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return scored.select("doc_id", "n_tokens", "log_likelihood", mean.alias("per_token"), "unigram")
 

@@ -140,6 +140,41 @@ def test_pooled_words_have_their_own_counts(make, monkeypatch):
         assert (i, n) == (k, len(words)) and np.isclose(unigram, sum(np.log(counts[w] / mass) for w in words))
 
 
+def test_likelihood_token_by_token(make, monkeypatch):
+    monkeypatch.setattr(pll, "WORDS", 40)
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(300)))) for i in range(25)]
+    rows += [(25, "w1"), (26, ""), (27, None), (27, "w1 never")]
+    made = {}
+    train, build = pll.train, pll.build_vocabulary
+    monkeypatch.setattr(pll, "build_vocabulary", lambda counts: made.setdefault("v", build(counts)))
+    monkeypatch.setattr(pll, "train", lambda *x: made.setdefault("n", train(*x)))
+    got = sorted((r.doc_id, r.n_tokens, r.log_likelihood) for r in pll.score_documents(make(rows)).collect())
+    v, net = made["v"], made["n"]
+    counts = Counter(w for _, t in rows for w in pll.tokens_of(t or ""))
+
+    def log_p(words, i):
+        ids = [v.ids.get(w) or v.first + zlib.crc32(w.encode()) % pll.BUCKETS for w in words]
+        around = [ids[i + s] if 0 <= i + s < len(ids) else 0 for s in pll.SIDES]
+        h = np.tanh(sum(net.e[a].astype(float) * net.p[k] for k, a in enumerate(around)))
+        logits = h @ net.u + net.b
+        out = logits[v.of[ids[i]]] - np.log(np.exp(logits).sum())
+        start = v.starts[ids[i]]
+        for fork, turn in zip(v.paths[start : start + v.lengths[ids[i]]], v.turns[start : start + v.lengths[ids[i]]]):
+            out -= np.log1p(np.exp(-turn * (h @ net.v[fork] + v.odds[fork])))
+        if ids[i] >= v.first:  # the word's share of its bucket, which has one more than its words
+            bucket = sum(n for w, n in counts.items() if w not in v.ids and zlib.crc32(w.encode()) % pll.BUCKETS == ids[i] - v.first)
+            out += np.log(counts[words[i]] / (bucket + 1))
+        return out
+
+    want = []
+    for i, text in rows:
+        words = pll.tokens_of(text or "")
+        want.append((i, len(words), sum(log_p(words, k) for k in range(len(words)))))
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+    assert np.allclose([x[2] for x in got], [x[2] for x in sorted(want)], rtol=1e-4, atol=1e-3)
+
+
 def test_every_token_is_predicted_in_one_round(monkeypatch):
     vocabulary = pll.Vocabulary([(f"w{i}", 1000 // (i + 1)) for i in range(300)], [0] * pll.BUCKETS)
     rng = random.Random(6)
