@@ -161,7 +161,7 @@ def _by_row(rows: np.ndarray, gradients: np.ndarray, n: int) -> tuple[np.ndarray
     order = np.argsort(rows.astype(np.uint16) if WORDS + BUCKETS < 1 << 16 else rows, kind="stable")
     ordered = rows.take(order)
     starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    counts = np.diff([*starts, len(rows)])
+    counts = np.diff(np.append(starts, len(rows)))
     return ordered[starts], np.add.reduceat(gradients.take(order, axis=0), starts) * (n / np.maximum(counts, 8)).astype(np.float32)[:, None]
 
 
