@@ -352,3 +352,19 @@ def test_visible_tables_against_brute_force(spark, seed):
         spark.createDataFrame(members, "user string, role string"),
     ).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_session_inventory_of_many_schemas(spark):
+    names = [f"many_{k}" for k in range(40)] + ["2024"]
+    try:
+        for name in names:
+            spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{name}`")
+        for name in names[::10]:
+            spark.sql(f"CREATE TABLE `{name}`.held (a INT) USING parquet")
+        listed = p.session_inventory(spark)
+        got = {(x.schema.strip("`"), x.table) for x in listed.collect()}
+        assert {x for x in got if x[0] in names} == {(name, "held") for name in names[::10]}
+        assert "Union" not in listed._jdf.queryExecution().toString()
+    finally:
+        for name in names:
+            spark.sql(f"DROP SCHEMA IF EXISTS `{name}` CASCADE")
