@@ -130,6 +130,17 @@ def test_interop_matrix_without_rows(spark, tmp_path):
     assert [(v.rows, v.mismatches) for v in found] == [(0, 0)] * 2
 
 
+@pytest.mark.parametrize("fmt", rec.FORMATS)
+def test_written_formats_are_compressed_in_bounded_files(spark, tmp_path, monkeypatch, fmt):
+    monkeypatch.setattr(rec, "FILE_ROWS", 400)
+    rows = spark.range(1000, numPartitions=1).withColumn("text", F.lit("the same words again, " * 10 + "end"))
+    rec.write_format(rows, str(tmp_path / fmt), fmt)
+    files = [f for f in (tmp_path / fmt).iterdir() if f.name.startswith("part-")]
+    assert len(files) == 3 and all(rec.COMPRESSION[fmt][:2] in f.name.partition(".")[2] for f in files)
+    assert sum(f.stat().st_size for f in files) < 40_000
+    assert rec.read_format(spark, str(tmp_path / fmt), fmt, rows.schema).exceptAll(rows).isEmpty()
+
+
 def _boundary(spark, **changes):
     rows = lake.interop_values(spark, "canonical").withColumn("writer", F.lit("w"))
     for name, value in changes.items():
