@@ -13,8 +13,8 @@ anchor are carried as one short run of text.
 3. The runs of shared anchors are range-partitioned by their leading bytes (and the id, so that a
    very frequent passage is spread over many ranges; Spark samples the splitters). Every range
    sorts its suffixes by multikey quicksort; of equal ones, those of later documents are marked.
-4. A lead that lies in several ranges is compared across them: its windows are grouped once more,
-   combined before the shuffle.
+4. A lead that lies in several ranges is compared across them: each range sends its windows that are
+   still unmarked to buckets of hashes, a line per task and bucket, which sort them once more.
 5. The marks go back to the blocks, and the covered bytes are cut out.
 """
 
@@ -25,6 +25,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,9 @@ BLOCK_BYTES = 8 << 20
 BUCKET_ANCHORS = 1 << 20
 # Windows of a text that are looked at together.
 SEGMENT = 1 << 19
+# Windows that a task sends on in one piece, and windows of a bucket, at about.
+PACK = 1 << 18
+BUCKET_WINDOWS = 1 << 16
 _PLACE = np.uint64((1 << 20) - 1)
 _BYTES = np.random.default_rng(97).integers(0, 2**64, 256, dtype=np.uint64)
 
@@ -228,24 +233,36 @@ def multikey_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def window_keys(runs: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every window of the runs as seven big-endian words, with its run and its place in it."""
     lengths = windows + LENGTH - 1
-    data = np.frombuffer(b"".join(runs), np.uint8)
+    data = np.frombuffer(b"".join(runs) + bytes(8), np.uint8)
     starts = np.cumsum(lengths) - lengths
     run = np.repeat(np.arange(len(runs)), windows)
     place = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = starts[run] + place
-    keys = np.zeros((len(run), 56), np.uint8)
-    for k in range(LENGTH):
-        keys[:, k] = data[at + k]
-    return keys.view(">u8").astype(np.uint64), run, place
+    # The eight bytes from every place on, as one word.
+    words = np.zeros(len(data) - 7, np.uint64)
+    for k in range(8):
+        words = words << np.uint64(8) | data[k : len(data) - 7 + k]
+    whole, rest = divmod(LENGTH, 8)
+    keys = np.empty((len(run), whole + 1), np.uint64)
+    for k in range(whole):
+        keys[:, k] = words[at + 8 * k]
+    keys[:, whole] = words[at + 8 * whole] >> np.uint64(64 - 8 * rest)
+    return keys, run, place
+
+
+def of_later_ids(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The places of the keys that a smaller id has too."""
+    order, group = multikey_order(keys)
+    ids = ids[order]
+    least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, ids)
+    return order[ids > least[group]]
 
 
 def mark_repeats(runs: list[bytes], windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each run a mask of its windows that a smaller id has too."""
     keys, run, place = window_keys(runs, windows)
-    order, group = multikey_order(keys)
-    least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, ids[run[order]])
-    late = order[ids[run[order]] > least[group]]
+    late = of_later_ids(keys, ids[run])
     masks = np.zeros(len(runs), np.int64)
     np.bitwise_or.at(masks, run[late], np.int64(1) << place[late])
     return masks
@@ -253,48 +270,73 @@ def mark_repeats(runs: list[bytes], windows: np.ndarray, ids: np.ndarray) -> np.
 
 def _sort_range(batches):
     """One range of sorted leads: marks of all its runs; the runs of its first and last lead go on too."""
-    parts = list(batches)
-    rows = pa.Table.from_batches(parts, RUN_SCHEMA).to_pydict() if parts else None
-    if not rows or not rows["lead"]:
+    rows = pa.Table.from_batches(list(batches), RUN_SCHEMA).combine_chunks()
+    if not rows.num_rows:
         return
-    n = len(rows["lead"])
-    open_ = [i for i in range(n) if rows["run"][i] is not None]
-    masks = list(rows["mask"])
-    edge = [False] * n
-    if open_:
-        found = mark_repeats(
-            [rows["run"][i] for i in open_],
-            np.array([rows["windows"][i] for i in open_], np.int64),
-            np.array([rows["doc_id"][i] for i in open_], np.int64),
-        )
-        leads = [rows["lead"][i] for i in open_]
-        low, high = min(leads), max(leads)
-        for i, mask in zip(open_, found.tolist()):
-            masks[i] = mask
-            # What is marked has an earlier equal window in this range, which goes on for both.
-            edge[i] = rows["lead"][i] in (low, high) and mask != (1 << rows["windows"][i]) - 1
-    keep = [i for i in range(n) if masks[i] or edge[i]]
-    out = {k: [v[i] for i in keep] for k, v in rows.items()}
-    out["mask"] = [masks[i] for i in keep]
-    out["run"] = [rows["run"][i] if edge[i] else None for i in keep]
-    table_ = pa.Table.from_pydict(out, RUN_SCHEMA)
-    yield from table_.to_batches(max_chunksize=50_000)
-
-
-def _explode(batches):
-    """Every window of runs that is not marked as a row: window, doc_id, at, place."""
-    kind = pa.schema([("window", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int64()), ("place", pa.int32())])
-    for batch in batches:
-        out = {name: [] for name in kind.names}
-        for r in batch.to_pylist():
-            for k in range(r["windows"]):
-                if r["mask"] >> k & 1:
-                    continue
-                out["window"].append(r["run"][k : k + LENGTH])
-                out["doc_id"].append(r["doc_id"])
-                out["at"].append(r["at"])
-                out["place"].append(k)
-        yield pa.RecordBatch.from_pydict(out, kind)
+    masks, windows = rows["mask"].to_numpy().copy(), rows["windows"].to_numpy().astype(np.int64)
+    is_open = rows["run"].is_valid().to_numpy()
+    edge = np.zeros(len(masks), bool)
+    if is_open.any():
+        opened = rows.filter(pa.array(is_open))
+        masks[is_open] = mark_repeats(opened["run"].to_pylist(), windows[is_open], opened["doc_id"].to_numpy())
+        ends = pc.min_max(opened["lead"])
+        outer = pc.or_(pc.equal(rows["lead"], ends["min"]), pc.equal(rows["lead"], ends["max"])).to_numpy()
+        # What is marked has an earlier equal window in this range, which goes on for both.
+        edge = is_open & outer & (masks != (np.int64(1) << windows) - 1)
+    run = pc.if_else(pa.array(edge), rows["run"].combine_chunks(), pa.scalar(None, pa.binary()))
+    places = {name: i for i, name in enumerate(RUN_SCHEMA.names)}
+    rows = rows.set_column(places["mask"], "mask", pa.array(masks, pa.int64())).set_column(places["run"], "run", run)
+    yield from rows.filter(pa.array((masks != 0) | edge)).cast(RUN_SCHEMA).to_batches(max_chunksize=50_000)
+
+
+PACKED = "bucket int, windows binary, origins binary"
+
+
+def _pack(buckets: int):
+    """Windows that are not marked, packed by buckets of their hashes: their bytes, and where each is
+    from (doc_id, at, place). A line holds up to ``PACK`` windows of a bucket from one task."""
+    kind = pa.schema([("bucket", pa.int32()), ("windows", pa.binary()), ("origins", pa.binary())])
+
+    def lines(held: dict[int, tuple[list, list]]) -> pa.RecordBatch:
+        columns = [
+            pa.array(list(held), pa.int32()),
+            pa.array([b"".join(windows) for windows, _ in held.values()], pa.binary()),
+            pa.array([np.array(origins, np.int64).tobytes() for _, origins in held.values()], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, schema=kind)
+
+    def pack(batches):
+        held: dict[int, tuple[list, list]] = {}
+        size = 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                for k in range(r["windows"]):
+                    if r["mask"] >> k & 1:
+                        continue
+                    window = r["run"][k : k + LENGTH]
+                    windows, origins = held.setdefault(xxhash.xxh3_64_intdigest(window) % buckets, ([], []))
+                    windows.append(window)
+                    origins.append((r["doc_id"], r["at"], k))
+                    size += 1
+                if size >= PACK:
+                    yield lines(held)
+                    held, size = {}, 0
+        if held:
+            yield lines(held)
+
+    return pack
+
+
+def _across(rows: pa.Table) -> pa.Table:
+    """Marks of the windows of a bucket that a smaller id has too, a line per run."""
+    windows = rows["windows"].to_pylist()
+    origins = np.frombuffer(b"".join(rows["origins"].to_pylist()), np.int64).reshape(-1, 3)
+    keys, _, _ = window_keys([w[i : i + LENGTH] for w in windows for i in range(0, len(w), LENGTH)], np.ones(len(origins), np.int64))
+    late = origins[of_later_ids(keys, origins[:, 0])]
+    runs, of = np.unique(late[:, :2], axis=0, return_inverse=True)
+    masks = np.zeros(len(runs), np.int64)
+    np.bitwise_or.at(masks, of.ravel(), np.int64(1) << late[:, 2])
+    return pa.table({"doc_id": runs[:, 0], "at": runs[:, 1], "mask": masks})
 
 
 def covered(size: int, starts, masks) -> np.ndarray:
@@ -402,15 +444,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     edges = ranges.where(F.col("run").isNotNull())
     spread = edges.groupBy("lead").agg(F.min("range").alias("r0"), F.max("range").alias("r1"))
-    spread = spread.where(F.col("r0") != F.col("r1")).select("lead")
-    windows = stored(
-        edges.join(spread, "lead", "left_semi").mapInArrow(_explode, "window binary, doc_id long, at long, place int"),
-        "windows",
+    spread = stored(spread.where(F.col("r0") != F.col("r1")).select("lead"), "spread")
+    # At most two leads a range.
+    spread_runs = edges.join(F.broadcast(spread), "lead", "left_semi")
+    n_windows = spread_runs.agg(F.sum("windows")).first()[0] or 0
+    across = (
+        spread_runs.mapInArrow(_pack(max(1, -(-n_windows // BUCKET_WINDOWS))), PACKED)
+        .groupBy("bucket")
+        .applyInArrow(_across, "doc_id long, at long, mask long")
     )
-    least = stored(windows.groupBy("window").agg(F.min("doc_id").alias("least")), "least")
-    across = windows.join(least, "window").where(F.col("doc_id") > F.col("least"))
     marks = ranges.where(F.col("mask") != 0).select("doc_id", "at", "mask")
-    marks = marks.unionAll(across.select("doc_id", "at", F.expr("shiftleft(1L, place)").alias("mask")))
+    marks = marks.unionAll(across)
     marks = marks.withColumn("block", block_of("doc_id")).unionByName(later, allowMissingColumns=True)
     return texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_finish(with_text), RESULT)
 

@@ -5,6 +5,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from lakeops.llm import exact_index, lines, suffixes
@@ -148,3 +150,29 @@ def test_passages_longer_than_a_segment(monkeypatch, make):
     rows = [(1, text), (2, "zz" + text[100:700] + "y"), (3, text[650:] + text[:90])]
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(make(rows)).collect())
     assert got == brute_passages(rows)
+
+
+def test_window_keys_order_like_the_bytes():
+    rng = random.Random(6)
+    runs = [bytes(rng.randrange(256) for _ in range(49 + n)) for n in (1, 5, 31)]
+    keys, run, place = suffixes.window_keys(runs, np.array([1, 5, 31]))
+    windows = [runs[r][p : p + 50] for r, p in zip(run, place)]
+    assert [w[k : k + 8].ljust(8, b"\0")[: min(8, 50 - k)] for w in windows for k in range(0, 50, 8)] == [
+        int(v).to_bytes(8, "big")[-min(8, 50 - k) :] for row in keys for k, v in zip(range(0, 50, 8), row)
+    ]
+
+
+def test_windows_across_ranges_go_in_few_lines():
+    """Runs of one lead in many ranges: a line per bucket, not one per window, and marks as by hand."""
+    rng = random.Random(8)
+    texts = [bytes(rng.choice(b"ab") for _ in range(80)) for _ in range(20)]
+    runs = [{"lead": b"x", "doc_id": i, "at": 7, "mask": 1 if i == 3 else 0, "windows": 31, "run": texts[i % 20]} for i in range(200)]
+    batches = pa.RecordBatch.from_pylist(runs, suffixes.RUN_SCHEMA)
+    packed = pa.Table.from_batches(suffixes._pack(4)(iter([batches])))
+    assert packed.num_rows <= 4 and sum(map(len, packed["windows"].to_pylist())) == 50 * (200 * 31 - 1)
+    found = [r for k in range(4) for r in suffixes._across(packed.filter(pc.equal(packed["bucket"], k))).to_pylist()]
+    masks = {}
+    for r in found:
+        masks[r["doc_id"], r["at"]] = masks.get((r["doc_id"], r["at"]), 0) | r["mask"]
+    # The first window of document 3 is not among the rows: document 23 is the first to have it.
+    assert masks == {(i, 7): (1 << 31) - (2 if i == 23 else 1) for i in range(20, 200)}
