@@ -214,7 +214,10 @@ class Whitening:
         return (x - whole).astype(np.float64) - rest
 
     def project(self, x: np.ndarray) -> np.ndarray:
-        return self.centred(x) @ (self.vectors / np.sqrt(self.values))
+        # A component at a time, summed by row, so that equal rows get equal results wherever they stand;
+        # a matrix product may round the last rows of a batch in another way.
+        centred, weights = self.centred(x), self.vectors / np.sqrt(self.values)
+        return np.stack([(centred * w).sum(axis=1) for w in weights.T], axis=1) if len(weights.T) else centred[:, :0]
 
     def deviations(self, x: np.ndarray) -> list[int | None]:
         """Sum over the entries of ``(n * x - sum) ** 2``, exact; None where that is no long."""
