@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,9 @@ _ENTRY = (
     "error string, execution_count long, logs array<string>"
 )
 _COLUMNS = [field.split()[0] for field in _ENTRY.split(", ")]
-# Entries by number that are one line of the state: less to write than a list, fewer calls than an entry.
-PAGE = 16
+# Entries by number that are one line of the state. A call of the state costs more than a page, and the
+# entries of a history of the usual length lie in two pages at most.
+PAGE = 128
 _FIELDS = f"user string, engine string, version long, number long, change string, {_ENTRY}"
 
 
@@ -109,11 +111,14 @@ class Runs(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         version, last, following, numbers, ids = self.order.get() or (0, -1, 0, [], [])
         version += 1
-        events = pd.concat(list(rows)).sort_values(["event_time", "seq"], kind="stable")
+        frames = list(rows)
+        events = frames[0] if len(frames) == 1 else pd.concat(frames)
+        order = np.lexsort((events["seq"].to_numpy(), events["event_time"].to_numpy())).tolist()
         history = Entries(list(zip(numbers, ids)), following, self.limit, self._read)
         lines = []
         columns = ("kind", "id", "statement", "event_time", "error", "logs")
-        for kind, id_, statement, at, error, logs in zip(*(events[c].tolist() for c in columns)):
+        given = list(zip(*(events[c].tolist() for c in columns)))
+        for kind, id_, statement, at, error, logs in map(given.__getitem__, order):
             if at < last:
                 lines.append((*key, version, None, "late", id_, statement, "LATE", at, 0, "", 0, []))
                 continue
@@ -134,9 +139,10 @@ class Runs(StatefulProcessor):
         numbers, ids = zip(*history.live) if history.live else ((), ())
         self.order.update((version, last, history.following, list(numbers), list(ids)))
         if lines:
-            frame = pd.DataFrame(lines, columns=[*OWNER, "version", "number", "change", *_COLUMNS])
-            whole = ["number", "started_at", "completed_at", "execution_count"]
-            yield frame.astype(dict.fromkeys(whole, "Int64"))
+            names = [*OWNER, "version", "number", "change", *_COLUMNS]
+            whole = ("version", "number", "started_at", "completed_at", "execution_count")
+            kinds = [pd.Int64Dtype() if name in whole else object for name in names]
+            yield pd.DataFrame({name: pd.Series(list(c), dtype=k) for name, c, k in zip(names, zip(*lines), kinds)})
 
     def close(self) -> None:
         pass

@@ -1,11 +1,12 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lakeops.functions.history import normalise
 from lakeops.operators import history as h
-from lakeops.streaming.runs import latest_history, stream_runs
+from lakeops.streaming.runs import Runs, latest_history, stream_runs
 from lakeops.streaming.table import drain
 
 RUN = "user string, engine string, id string, statement string, started_at long, completed_at long, state string, error string, execution_count long, logs array<string>"
@@ -233,3 +234,46 @@ def test_stream_emits_changed_entries_only(spark, tmp_path):
     # The start of 40 pushes out 0, its end takes in 39; then 41 finds room.
     assert second == {0: ("removed", None), 39: ("removed", None), 40: ("set", 2), 41: ("set", 1)}
     assert {r.id for r in latest_history(changes).collect()} == {f"q{i:04d}" for i in range(1, 42)} - {"q0039"}
+
+
+class _Held:
+    """State of one owner in memory; counts what is written."""
+
+    def __init__(self):
+        self.value, self.pages, self.calls = None, {}, 0
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def getValue(self, key):
+        return self.pages.get(key)
+
+    def updateValue(self, key, value):
+        self.pages[key], self.calls = value, self.calls + 1
+
+    def removeKey(self, key):
+        self.pages.pop(key, None)
+        self.calls += 1
+
+
+def test_stream_writes_few_pages_an_owner():
+    """A batch that fills a history writes its entries with two calls of the state at most."""
+    events = [
+        ("u", "e", f"q{i}", f"SELECT {i}", 10 * i + k, k, kind, None, [])
+        for i in range(100)
+        for k, kind in enumerate(("start", "finish"))
+    ]
+    columns = ["user", "engine", "id", "statement", "event_time", "seq", "kind", "error", "logs"]
+    frame = pd.DataFrame(events[::-1], columns=columns)
+    runs, held = Runs(100), _Held()
+    runs.order = runs.stored = held
+    (first,) = runs.handleInputRows(("u", "e"), iter([frame.iloc[:150], frame.iloc[150:]]), None)
+    assert held.calls <= 2 and held.value[:3] == (1, 991, 100)
+    assert first["id"].tolist() == [f"q{i}" for i in range(100)] and set(first["change"]) == {"set"}
+    later = frame.assign(event_time=frame["event_time"] + 2000, id=frame["id"] + "x", statement=frame["statement"] + " x")
+    (second,) = runs.handleInputRows(("u", "e"), iter([later]), None)
+    assert held.calls <= 6 and second["change"].value_counts().to_dict() == {"removed": 100, "set": 100}
+    assert sum(len(page[0]) for page in held.pages.values()) == 100
