@@ -8,8 +8,10 @@ chance, estimates the similarity, and what may reach the bound is verified on th
 
 Bands can hold very many near copies. A first pass verifies every class against the ends of its
 bands only (two pairs a class at most), which joins almost all of them. A second pass compares, in
-blocks of bounded size, just the members of a band that are still in different components, so that
-no link between components is lost and no group is spread out into pairs.
+blocks of bounded size, just the members of a band that are still in different components. Texts come
+with the members, so that a block verifies its candidates itself and gives out links that join
+components, fewer than it has members: no link between components is lost and no group is spread out
+into rows of pairs.
 
 A link at the bound of 0.85 shares no band with a probability of 6e-11, and its estimate lies below
 the margin of six standard deviations with one of 4e-8; at the pipeline's bound of 0.80 these are 5e-8
@@ -39,8 +41,9 @@ MANTISSA = 10
 PERCENT = 85
 # Standard deviations below the bound down to which estimates are verified.
 MARGIN = 6
-# Members of a band that are compared with each other in one piece.
+# Members of a band that are compared with each other in one piece, and bytes of their texts.
 BLOCK = 1000
+BLOCK_BYTES = 32 << 20
 # Words whose hashes a task remembers.
 MAX_WORDS = 500_000
 
@@ -112,8 +115,11 @@ def may_link(equal, n, m, percent: int = PERCENT):
     """Whether sizes and estimate allow a link."""
     bound = percent / 100
     least = bound - MARGIN * (bound * (1 - bound) / BUCKETS) ** 0.5
-    sizes = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-    return sizes & (estimate(equal, n, m) >= least)
+    n, m = np.broadcast_to(n, np.shape(equal)), np.broadcast_to(m, np.shape(equal))
+    # The correction only lowers an estimate.
+    links = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (equal >= BUCKETS * least - 1e-6)
+    links[links] = estimate(equal[links], n[links], m[links]) >= least
+    return links
 
 
 def sketch_column(text, size: int = SHINGLE):
@@ -180,41 +186,69 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
     return both.where(_linked(percent, size)(F.col("text_a"), F.col("text_b"))).select("a", "b")
 
 
-def _compare_blocks(percent: int):
+def _compare_blocks(percent: int, size: int = SHINGLE):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted rows (key, i, j, rep, root, n, side, registers): the pairs of each block that may link."""
+        """Sorted rows (key, band, i, j, rep, root, n, side, registers, text): links that join the roots of each block."""
+        hashes = WordHashes()
         rest: list[dict] = []
         for batch in batches:
             rows = rest + batch.to_pylist()
             last = (rows[-1]["key"], rows[-1]["i"], rows[-1]["j"])
             done = [r for r in rows if (r["key"], r["i"], r["j"]) != last]
             rest = rows[len(done) :]
-            yield pairs_of(done)
-        yield pairs_of(rest)
+            yield links_of(done, hashes)
+        yield links_of(rest, hashes)
 
-    def pairs_of(rows: list[dict]) -> pa.RecordBatch:
+    def links_of(rows: list[dict], hashes: WordHashes) -> pa.RecordBatch:
         found: list[tuple[int, int]] = []
         start = 0
         for k in range(1, len(rows) + 1):
             if k < len(rows) and all(rows[k][c] == rows[start][c] for c in ("key", "i", "j")):
                 continue
-            found += compare_group(rows[start:k])
+            found += compare_group(rows[start:k], hashes)
             start = k
         a, b = zip(*found) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    def compare_group(rows: list[dict]) -> list[tuple[int, int]]:
+    def compare_group(rows: list[dict], hashes: WordHashes) -> list[tuple[int, int]]:
         same = rows[0]["i"] == rows[0]["j"]
         matrix = np.frombuffer(b"".join(r["registers"] for r in rows), dtype="<u2").reshape(-1, BUCKETS)
-        rep, root, n, side = (np.array([r[c] for r in rows]) for c in ("rep", "root", "n", "side"))
-        out = []
+        rep, root, n, side, band = (np.array([r[c] for r in rows]) for c in ("rep", "root", "n", "side", "band"))
+        candidates: dict[int, np.ndarray] = {}
         for k in range(len(rows)):
             other = (rep > rep[k]) if same else (side > side[k])
             other = np.flatnonzero(other & (root != root[k]))
             if len(other):
-                equal = (matrix[other] == matrix[k]).sum(axis=1)
-                good = other[may_link(equal, n[other], n[k], percent)]
-                out += [(int(max(rep[k], rep[g])), int(min(rep[k], rep[g]))) for g in good]
+                equal = matrix[other] == matrix[k]
+                good = may_link(equal.sum(axis=1), n[other], n[k], percent)
+                # A pair that shares several bands is verified in the first of them.
+                first = equal[good].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+                other = other[good][first == band[k]]
+                if len(other):
+                    candidates[k] = other
+        return verified(rows, candidates, rep, root, hashes) if candidates else []
+
+    def verified(rows: list[dict], candidates: dict[int, np.ndarray], rep, root, hashes: WordHashes) -> list[tuple[int, int]]:
+        """Of the candidates of each row, links by the full sets that join different roots."""
+        needed = np.unique(np.concatenate([*candidates.values(), list(candidates)]))
+        sets = [shingles((rows[k]["text"] or "").encode(), hashes, size) for k in needed]
+        lengths = np.zeros(len(rows), np.int64)
+        lengths[needed] = [len(x) for x in sets]
+        known, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+        of = dict(zip(needed.tolist(), np.split(numbers, np.cumsum(lengths[needed])[:-1])))
+        marked, label, out = np.zeros(len(known), bool), root.copy(), []
+        for k, other in candidates.items():
+            other = other[label[other] != label[k]]
+            marked[of[k]] = True
+            for at in range(0, len(other), 100):
+                some = other[at : at + 100]
+                starts = np.cumsum(lengths[some]) - lengths[some]
+                common = np.add.reduceat(marked[np.concatenate([of[g] for g in some.tolist()])], starts, dtype=np.int64)
+                for g in some[100 * common >= percent * (lengths[k] + lengths[some] - common)]:
+                    if label[g] != label[k]:
+                        label[label == label[g]] = label[k]
+                        out.append((int(max(rep[k], rep[g])), int(min(rep[k], rep[g]))))
+            marked[of[k]] = False
         return out
 
     return compare
@@ -275,6 +309,7 @@ def near_duplicates(
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     bands = reps.select("rep", "registers", band.alias("band")).select(
         "rep",
+        "band",
         F.xxhash64("band", F.expr(f"substring(registers, band * {2 * ROWS} + 1, {2 * ROWS})")).alias("key"),
     )
     groups = stored(
@@ -299,7 +334,7 @@ def near_duplicates(
 
     # Second pass: bands with members in different components.
     labelled = members.join(roots, members["rep"] == roots["node"], "left").select(
-        "key", "rep", "members", F.coalesce("root", "rep").alias("root")
+        "key", "band", "rep", "members", F.coalesce("root", "rep").alias("root")
     )
     labelled = stored(labelled, "labelled")
     mixed = (
@@ -308,15 +343,22 @@ def near_duplicates(
         .where(F.col("r0") != F.col("r1"))
         .select("key")
     )
-    open_members = labelled.join(stored(mixed, "mixed"), "key").join(reps, "rep")
-    chunks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    open_members = open_members.withColumn("chunks", chunks).withColumn(
-        "chunk", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks")).cast("int")
-    )
+    open_members = stored(labelled.join(stored(mixed, "mixed"), "key"), "open")
+    # A node's texts all have its set.
+    open_texts = texts.join(open_members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    open_texts = stored(open_texts.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "texts")
+    lengths = open_members.join(open_texts.select("rep", F.octet_length("text").alias("bytes")), "rep")
+    chunks = F.greatest(F.ceil(F.max("members") / F.lit(BLOCK)), F.ceil(F.sum("bytes") / F.lit(BLOCK_BYTES)))
+    chunks = stored(lengths.groupBy("key").agg(chunks.cast("int").alias("chunks")), "chunks")
     blocks = (
-        open_members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        open_members.join(chunks, "key")
+        .withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks")).cast("int"))
+        .join(reps, "rep")
+        .join(open_texts, "rep")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select(
             "key",
+            "band",
             F.least("chunk", "other").alias("i"),
             F.greatest("chunk", "other").alias("j"),
             "rep",
@@ -324,12 +366,12 @@ def near_duplicates(
             "n",
             F.when(F.col("chunk") <= F.col("other"), 0).otherwise(1).alias("side"),
             "registers",
+            "text",
         )
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
     )
-    more = blocks.mapInArrow(_compare_blocks(percent), "a long, b long").distinct()
-    more_links = _verified(stored(more, "more"), texts, percent, size)
+    more_links = blocks.mapInArrow(_compare_blocks(percent, size), "a long, b long")
     roots = components(links.unionAll(more_links))
 
     labels = stored(

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lakeops.llm import decontaminate, minhash
@@ -151,3 +152,31 @@ def test_near_duplicates_of_ids_that_repeat(make):
     ]
     got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(make(rows)).collect()}
     assert got == {(1, 1), (3, 1), (4, 1), (7, 7), (8, 7), (9, 7), (20, 20), (21, 21), (22, 22)}
+
+
+@pytest.mark.parametrize("halves", [False, True])
+def test_a_block_gives_out_fewer_links_than_it_has_members(halves):
+    """Sets of one band that almost link are no rows, nor are the links that join nothing new."""
+    core, out = [f"c{k}" for k in range(400)], []
+    word = lambda k, n: [f"{k}w{i}" for i in range(n)]
+    # 40 sets of 392 shingles in common out of 548 of two; then 30 that link with each other.
+    texts = [" ".join(core + word(k, 78)) for k in range(40)] + [" ".join(core + word(k, 10)) for k in range(40, 70)]
+    hashes = minhash.WordHashes()
+    sets = [minhash.shingles(t.encode(), hashes) for t in texts]
+    registers = [minhash.registers(s) for s in sets]
+    for band in range(minhash.BANDS):
+        at = slice(minhash.ROWS * band, minhash.ROWS * (band + 1))
+        keys = {}
+        for k, r in enumerate(registers):
+            keys.setdefault(r[at].tobytes(), []).append(k)
+        for key, (_, ks) in enumerate(sorted(keys.items())):
+            rows = [
+                {"key": key, "band": band, "i": 0, "j": int(halves), "rep": k, "root": k, "n": len(sets[k]),
+                 "side": k % 2 if halves else 0, "registers": registers[k].tobytes(), "text": texts[k]}
+                for k in ks
+            ]
+            found = [p for b in minhash._compare_blocks(85)([pa.RecordBatch.from_pylist(rows)]) for p in zip(*b.to_pydict().values())]
+            assert len(found) < len(ks)
+            out += found
+    links = {(a, b) for a in range(70) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))}
+    assert links and set(out) <= links and brute_components(range(70), out) == brute_components(range(70), links)
