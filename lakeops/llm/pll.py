@@ -6,7 +6,7 @@ buckets by hash. The words are dealt to classes of about equal mass, and a token
     p(class | two tokens before, two after) * p(word or bucket | class, the same tokens) * p(word | bucket)
 
 with the last factor from the corpus counts (by a join of each document's words with the table of all
-counts, which stays in Spark) and the others from a small window network in numpy: embeddings weighted
+counts, which stays in Spark; a bounded number of the most frequent ones all tasks have) and the others from a small window network in numpy: embeddings weighted
 by place, summed, squashed, a softmax over the classes, and inside a class a Huffman tree of its words,
 whose forks start from the corpus counts and learn to turn by the same context.
 
@@ -18,16 +18,21 @@ averages only, whose size is fixed.
 
 from __future__ import annotations
 
+import copy
 import heapq
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from lakeops.llm.common import id_and_text, stored, table
 
@@ -46,6 +51,13 @@ RATE = 0.3
 # Tokens that are scored together, and distinct words counted before they are sent on.
 STEP = 1 << 15
 MAX_COUNTED = 300_000
+# Most frequent words whose own counts all tasks have; those of other words are joined.
+RANKED = 100_000
+# Runs of characters between white space that are remembered, and the longest of them.
+MAX_RUNS = 200_000
+MAX_RUN = 48
+# Code points of texts whose runs are counted before they are cut into words.
+MAX_CHARS = 1 << 24
 # Ids as they are stored: all are below WORDS + BUCKETS + 1.
 PACKED = np.dtype("<u2")
 
@@ -54,17 +66,41 @@ def tokens_of(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
+def words_of(run: str) -> list[str]:
+    """The words of lower-cased text without white space."""
+    return [run] if run.isalnum() else TOKEN.findall(run)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """Occurrences of every word of all texts; tasks add up what they can hold first."""
+    """Occurrences of every word of all texts; tasks add up what they can hold first.
+
+    No word has white space in it, so runs between white space are counted and each distinct one is
+    cut into words once.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        runs: Counter = Counter()
+        size = 0
+
+        def cut() -> None:
+            for run, n in runs.items():
+                for word in words_of(run):
+                    counts[word] = counts.get(word, 0) + n
+            runs.clear()
+
         for batch in batches:
             for text in batch.column(0):
-                counts.update(tokens_of(text.as_py() or ""))
-                if len(counts) > MAX_COUNTED:
-                    yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())})
-                    counts.clear()
+                text = text.as_py() or ""
+                runs.update(text.lower().split())
+                size += len(text)
+                if len(runs) > MAX_RUNS or size > MAX_CHARS:
+                    cut()
+                    size = 0
+                    if len(counts) > MAX_COUNTED:
+                        yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())})
+                        counts.clear()
+        cut()
         yield pa.RecordBatch.from_pydict(
             {"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())}
         )
@@ -75,10 +111,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Vocabulary:
     """Ids of words: 0 is no word, then the frequent ones, then the buckets of all others."""
 
-    def __init__(self, words: list[tuple[str, int]], others: list[int]):
+    def __init__(self, words: list[tuple[str, int]], others: list[int], pooled: list[tuple[str, int]] = ()):
         self.ids = {w: i for i, (w, _) in enumerate(words, 1)}
         self.first = len(words) + 1
         self.size = self.first + BUCKETS
+        # Ids as they are stored, and what is known of the words themselves: as ``run`` has it.
+        self.stored = [i.to_bytes(PACKED.itemsize, "little") for i in range(self.size)]
+        self.known = {w: (self.stored[self.bucket(w)], (), math.log(n)) for w, n in pooled}
+        self.known |= {w: (self.stored[i], (), 0.0) for w, i in self.ids.items()}
         mass = np.array([1.0] + [n for _, n in words] + [n + 1.0 for n in others])
         mass[0] = 0
         order = np.argsort(-mass[1:], kind="stable") + 1
@@ -119,35 +159,63 @@ class Vocabulary:
                     open_ += [(child, [*way, (node, turn)]) for child, turn in zip(forks[node], (1, -1))]
         self.odds = odds.astype(np.float32)
         self.lengths = np.array([len(w) for w in ways])
-        # Paths one after the other; a word's begins at its start.
+        # Paths one after the other, with the log odds of the turns; a word's begins at its start.
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.paths = np.array([node for way in ways for node, _ in way], np.int64)
         self.turns = np.array([turn for way in ways for _, turn in way], np.float32)
+        self.turned = self.turns * self.odds.take(self.paths)
+
+    def forks(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The forks on the ways to words: which of ``ids``, which fork, which turn, its log odds by the
+        counts."""
+        lengths = self.lengths.take(ids)
+        who = np.arange(len(ids)).repeat(lengths)
+        at = (self.starts.take(ids) - (lengths.cumsum() - lengths)).repeat(lengths)
+        at += np.arange(len(at))
+        return who, self.paths.take(at), self.turns.take(at), self.turned.take(at)
+
+    def without_words(self) -> Vocabulary:
+        """For tasks that have ids only."""
+        other = copy.copy(self)
+        other.ids, other.known = {}, {}
+        return other
+
+    def encode(self, text: str, known: dict[str, tuple]) -> np.ndarray:
+        return np.frombuffer(b"".join(self.packed(text, known)[0]), PACKED).astype(np.int64)
+
+    def packed(self, text: str, known: dict[str, tuple]) -> tuple[tuple, tuple, tuple]:
+        """For each run between white space of a text: packed ids, pooled words whose counts are not known
+        here, the logs of the counts of the others, summed up. Runs are looked at once and kept in ``known``."""
+        run = self.run
+        found = [known.get(r) or run(r, known) for r in text.lower().split()]
+        return tuple(zip(*found)) if found else ((), (), ())
+
+    def run(self, run: str, known: dict[str, tuple]) -> tuple[bytes, tuple, float]:
+        """What ``packed`` has for one run."""
+        words = self.known
+        found = words.get(run)
+        if found is None:
+            packed, pooled, own = b"", (), 0.0
+            for w in words_of(run):
+                one = words.get(w)
+                if one:
+                    packed += one[0]
+                    own += one[2]
+                else:
+                    packed += self.stored[self.bucket(w)]
+                    pooled += (w,)
+            found = packed, pooled, own
+        if len(run) <= MAX_RUN:
+            if len(known) >= MAX_RUNS:
+                known.clear()
+            known[run] = found
+        return found
+
+    def bucket(self, word: str) -> int:
+        return self.first + zlib.crc32(word.encode()) % BUCKETS
+
 
-    def forks(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The forks on the ways to words: which of ``ids``, which fork, which turn."""
-        lengths = self.lengths[ids]
-        who = np.repeat(np.arange(len(ids)), lengths)
-        at = np.arange(len(who)) + np.repeat(self.starts[ids] - (np.cumsum(lengths) - lengths), lengths)
-        return who, self.paths.take(at), self.turns.take(at)
-
-    def encode(self, text: str, known: dict[str, int]) -> np.ndarray:
-        return self.encode_words(tokens_of(text), known)
-
-    def encode_words(self, words: list[str], known: dict[str, int]) -> np.ndarray:
-        ids = [known.get(w, -1) for w in words]
-        if -1 in ids:
-            for i, k in enumerate(ids):
-                if k < 0:
-                    w = words[i]
-                    ids[i] = self.ids.get(w) or self.first + zlib.crc32(w.encode()) % BUCKETS
-                    if len(known) >= MAX_COUNTED:
-                        known.clear()
-                    known[w] = ids[i]
-        return np.array(ids, np.int64)
-
-
-def ids_of(column: pa.Array, vocabulary: Vocabulary, known: dict[str, int]) -> Iterator[np.ndarray]:
+def ids_of(column: pa.Array, vocabulary: Vocabulary, known: dict[str, tuple]) -> Iterator[np.ndarray]:
     """The ids of every text of a column, or of every row of ids that were packed before."""
     packed = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
     for value in column:
@@ -155,14 +223,23 @@ def ids_of(column: pa.Array, vocabulary: Vocabulary, known: dict[str, int]) -> I
         yield np.frombuffer(value or b"", PACKED).astype(np.int64) if packed else vocabulary.encode(value or "", known)
 
 
-def _by_row(rows: np.ndarray, gradients: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows and their steps. A rare row's few gradients count as much as a frequent one's many."""
-    # All rows are below WORDS + BUCKETS + 1; numpy sorts 16 bits by radix.
-    order = np.argsort(rows.astype(np.uint16) if WORDS + BUCKETS < 1 << 16 else rows, kind="stable")
-    ordered = rows.take(order)
-    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    counts = np.diff(np.append(starts, len(rows)))
-    return ordered[starts], np.add.reduceat(gradients.take(order, axis=0), starts) * (n / np.maximum(counts, 8)).astype(np.float32)[:, None]
+@cache
+def _pairs(size: int) -> np.ndarray:
+    """For each row below ``size``, where its numbers are among those of all rows, taken two at a time."""
+    return np.arange(size * DIMENSIONS // 2).reshape(size, -1)
+
+
+def _add(table: np.ndarray, rows: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Adds a vector to each row, which may repeat. Numbers are added two at a time, as complex ones."""
+    at = _pairs(max(len(table), WORDS + BUCKETS + 1)).take(rows, axis=0)
+    np.add.at(table.reshape(-1).view(np.complex64), at.reshape(-1), vectors.reshape(-1).view(np.complex64))
+    return table
+
+
+def _shares(counts: np.ndarray, n: int) -> np.ndarray:
+    """Weights of rows by how often they are there: a rare row's few gradients count as much as a frequent
+    one's many."""
+    return (n / np.maximum(counts, 8)).astype(np.float32)[:, None]
 
 
 def rounds_of(ids: np.ndarray, rounds: int) -> np.ndarray:
@@ -203,33 +280,54 @@ class Network:
     def inside(self, h: np.ndarray, ids: np.ndarray, vocabulary: Vocabulary):
         """Forks on the ways to words of contexts ``h``: which context, which fork and turn, both their
         vectors, log odds of the turn."""
-        who, fork, turn = vocabulary.forks(ids)
+        who, fork, turn, odds = vocabulary.forks(ids)
         hs, vs = h.take(who, axis=0), self.v.take(fork, axis=0)
-        return who, fork, turn, hs, vs, turn * (np.einsum("nd,nd->n", hs, vs) + vocabulary.odds.take(fork))
+        return who, fork, turn, hs, vs, turn * np.einsum("nd,nd->n", hs, vs) + odds
+
+    def exponents(self, h: np.ndarray) -> np.ndarray:
+        """The logits of contexts, a class a row; the largest of a context is 0."""
+        logits = self.u.T @ h.T
+        logits += self.b[:, None]
+        logits -= logits.max(axis=0)
+        return logits
 
     def learn(self, padded: np.ndarray, at: np.ndarray, vocabulary: Vocabulary) -> None:
         """One gradient step."""
-        around, h, logp = self.forward(padded, at)
-        ids = padded[at]
-        g = np.exp(logp)
-        g[np.arange(len(at)), vocabulary.of[ids]] -= 1
-        g *= RATE / len(at)
-        to_h = g @ self.u.T
+        n, rate = len(at), np.float32(RATE / len(at))
+        ids = padded.take(at)
+        around = padded.take(at[:, None] + np.array(SIDES))
+        vectors = self.e.take(around, axis=0)
+        h = np.tanh(np.einsum("nkd,kd->nd", vectors, self.p))
+        g = self.exponents(h)
+        np.exp(g, out=g)
+        g *= rate / g.sum(axis=0)
+        g[vocabulary.of.take(ids), np.arange(n)] -= rate
+        to_h = g.T @ self.u.T
         who, fork, turn, hs, vs, odds = self.inside(h, ids, vocabulary)
         if len(who):
-            wrong = (-turn / (1 + np.exp(np.clip(odds, -30, 30))) * (RATE / len(at)))[:, None]
-            first = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
-            to_h[who[first]] += np.add.reduceat(wrong * vs, first)
-            forks, step = _by_row(fork, wrong * hs, len(at))
-            self.v[forks] -= step
+            np.minimum(odds, 30, out=odds)
+            np.exp(odds, out=odds)
+            odds += 1
+            wrong = (turn * -rate / odds)[:, None]
+            vs *= wrong
+            _add(to_h, who, vs)
+            hs *= -wrong * _shares(np.bincount(fork).take(fork), n)
+            _add(self.v, fork, hs)
         back = to_h * (1 - h * h)
-        self.u -= 4 * (h.T @ g)
-        self.b -= 4 * g.sum(axis=0)
-        vectors = self.e.take(around, axis=0)
-        to_e = back[:, None, :] * self.p
+        self.u -= 4 * (g @ h).T
+        self.b -= 4 * g.sum(axis=1)
+        to_e = np.concatenate([back] * len(SIDES), axis=1)
+        to_e *= self.p.ravel()
         self.p -= np.einsum("nd,nkd->kd", back, vectors)
-        places, step = _by_row(around.ravel(), to_e.reshape(-1, DIMENSIONS), len(at))
-        self.e[places] -= np.clip(step, -0.5, 0.5)
+        counts = np.bincount(around.reshape(-1))
+        places = counts.astype(bool).nonzero()[0]
+        rank = np.empty(len(counts), np.int64)
+        rank[places] = np.arange(len(places))
+        step = _add(np.zeros((len(places), DIMENSIONS), np.float32), rank.take(around.reshape(-1)), to_e)
+        step *= _shares(counts.take(places), n)
+        np.minimum(step, 0.5, out=step)
+        np.maximum(step, -0.5, out=step)
+        self.e[places] = self.e.take(places, axis=0) - step
         self.e[0] = 0
 
     def score(self, ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
@@ -243,14 +341,13 @@ class Network:
             h = tables[0].take(ids[start - 2 : stop - 2], axis=0)
             for weighted, side in zip(tables[1:], SIDES[1:]):
                 h += weighted.take(ids[start + side : stop + side], axis=0)
-            logits = np.tanh(h, out=h) @ self.u
-            logits += self.b
-            logits -= logits.max(axis=1, keepdims=True)
-            chosen = logits[np.arange(stop - start), vocabulary.of[own]]
-            norm = np.log(np.exp(logits, out=logits).sum(axis=1))
+            logits = self.exponents(np.tanh(h, out=h))
+            chosen = logits[vocabulary.of.take(own), np.arange(stop - start)]
+            norm = np.log(np.exp(logits, out=logits).sum(axis=0))
             who, *_, odds = self.inside(h, own, vocabulary)
-            turns = np.bincount(who, np.logaddexp(0, -odds), len(own))
-            out[start:stop] = np.where(own > 0, chosen - norm - turns, 0)
+            # log(1 + exp(-odds)), whose exponent never grows large.
+            costs = np.log(1 + np.exp(-np.abs(odds))) - np.minimum(odds, 0)
+            out[start:stop] = np.where(own > 0, chosen - norm - np.bincount(who, costs, len(own)), 0)
         return out
 
     def placed(self) -> list[np.ndarray]:
@@ -320,15 +417,24 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
     others = np.zeros(BUCKETS)
     for r in rest.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect():
         others[r["bucket"]] = r["n"]
-    return Vocabulary(top, others.tolist())
+    # Whole levels of counts, the highest first, of no more than RANKED words; there are 16 levels to a power of two.
+    level, lowest, left = F.floor(F.log2("n") * 16), None, RANKED
+    for at, words in sorted(rest.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        left -= words
+        if left < 0:
+            break
+        lowest = at
+    pooled = rest.where(level >= lowest).collect() if lowest is not None else []
+    return Vocabulary(top, others.tolist(), [(r["word"], r["n"]) for r in pooled])
 
 
 def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Network:
     """The network trained on all rows of ``texts``, whose one column has texts or packed ids."""
     network = Network(vocabulary.size)
     schema = "row int, n long, " + ", ".join(f"x{d} double" for d in range(DIMENSIONS))
+    needed = vocabulary.without_words() if isinstance(texts.schema[0].dataType, BinaryType) else vocabulary
     for round_ in range(rounds if vocabulary.ids else 0):
-        shared = texts.sparkSession.sparkContext.broadcast((vocabulary, network))
+        shared = texts.sparkSession.sparkContext.broadcast((needed, network))
         sums = texts.mapInArrow(_train_task(shared, round_, rounds), schema).groupBy("row")
         averages = [(F.sum(f"x{d}") / F.sum("n")).alias(f"x{d}") for d in range(DIMENSIONS)]
         rows = sums.agg(*averages).orderBy("row").toPandas()
@@ -339,24 +445,26 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Net
 
 def encode_column(text: Column, vocabulary: Vocabulary) -> Column:
     """Struct of a text: ids (packed, two bytes each), n_tokens, less (what its pooled words have less than
-    their buckets, but for the logs of their own counts), unigram (the log-probability without contexts,
-    with ``less``), pooled (words that share buckets, and how often). Null and empty texts have no tokens."""
+    their buckets, but for the logs of the counts of ``pooled``), unigram (the log-probability without contexts,
+    with ``less``), pooled (words that share buckets and are not ranked, and how often). Null and empty texts
+    have no tokens."""
     shared = SparkSession.getActiveSession().sparkContext.broadcast(vocabulary)
 
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = shared.value
-        known: dict[str, int] = {}
+        known: dict[str, tuple] = {}
         for batch in texts:
             # The words of a text become an Arrow array at once; a batch may have a million of them.
             ids_out, lengths, sums, words_out, times_out, ends = [], [], [], [], [], [0]
             for text in batch:
-                words = tokens_of(text.as_py() or "")
-                ids = vocabulary.encode_words(words, known)
-                pooled = Counter(words[i] for i in np.flatnonzero(ids >= vocabulary.first))
-                less = float(vocabulary.pooled[ids].sum())
-                ids_out.append(ids.astype(PACKED).tobytes())
+                packed, words, own = vocabulary.packed(text.as_py() or "", known)
+                packed = b"".join(packed)
+                ids = np.frombuffer(packed, PACKED)
+                pooled = Counter(chain.from_iterable(words))
+                less = float(vocabulary.pooled.take(ids).sum()) + sum(own)
+                ids_out.append(packed)
                 lengths.append(len(ids))
-                sums.append((less, float(vocabulary.unigram[ids].sum()) + less))
+                sums.append((less, float(vocabulary.unigram.take(ids).sum()) + less))
                 words_out.append(pa.array(list(pooled), pa.string()))
                 times_out.append(pa.array(list(pooled.values()), pa.int64()))
                 ends.append(ends[-1] + len(pooled))
@@ -377,7 +485,7 @@ def encode_column(text: Column, vocabulary: Vocabulary) -> Column:
 
 def score_column(ids: Column, vocabulary: Vocabulary, network: Network) -> Column:
     """The sum of the conditional log-probabilities of packed ids; zero without ids."""
-    shared = SparkSession.getActiveSession().sparkContext.broadcast((vocabulary, network))
+    shared = SparkSession.getActiveSession().sparkContext.broadcast((vocabulary.without_words(), network))
 
     def score(packed: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary, network = shared.value

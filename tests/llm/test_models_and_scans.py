@@ -175,6 +175,92 @@ def test_likelihood_token_by_token(make, monkeypatch):
     assert np.allclose([x[2] for x in got], [x[2] for x in sorted(want)], rtol=1e-4, atol=1e-3)
 
 
+def test_runs_between_white_space_are_cut_into_words_once(make, monkeypatch):
+    """Counts, ids and pooled words equal those of whole texts, whatever is remembered and ranked."""
+    cut, plain = Counter(), pll.words_of
+    monkeypatch.setattr(pll, "words_of", lambda run: cut.update([run]) or plain(run))
+    odd = ["It's (a) it's\x1c\x85b_c\u3000É! Straße\tİ ²½ " * 40, "漢字かな。" * 30, "_x_ x_ -- ...a" * 20, " \n", "", None, "x" * 90 + " it's"]
+    rows = list(enumerate([*odd, *odd]))
+    want = Counter(w for _, t in rows for w in pll.tokens_of(t or ""))
+    encoded = lambda v, t, known: b"".join(v.packed(t or "", known)[0])
+    vocabulary = pll.Vocabulary([("it", 9), ("a", 5)], [1] * pll.BUCKETS, [("s", 4)])
+    known = {}
+    for _, text in rows:
+        words = pll.tokens_of(text or "")
+        ids = [vocabulary.ids.get(w) or vocabulary.first + zlib.crc32(w.encode()) % pll.BUCKETS for w in words]
+        packed, pooled, own = vocabulary.packed(text or "", known)
+        assert np.frombuffer(b"".join(packed), pll.PACKED).tolist() == ids == vocabulary.encode(text or "", {}).tolist()
+        assert [w for ws in pooled for w in ws] == [w for w in words if w not in ("it", "a", "s")]
+        assert np.isclose(sum(own), words.count("s") * math.log(4))
+    # It is there 82 times: once for the table of all texts, once for that of each text.
+    assert cut["it's"] <= 1 + len(rows)
+    for runs, chars in ((pll.MAX_RUNS, pll.MAX_CHARS), (3, pll.MAX_CHARS), (pll.MAX_RUNS, 30)):
+        monkeypatch.setattr(pll, "MAX_RUNS", runs)
+        monkeypatch.setattr(pll, "MAX_CHARS", chars)
+        assert {r.word: r.n for r in pll.word_counts(make(rows)).collect()} == want
+        known = {}
+        assert all(encoded(vocabulary, t, known) == encoded(vocabulary, t, {}) and len(known) <= runs for _, t in rows)
+
+
+def test_steps_equal_sums_row_by_row():
+    """One gradient step beside sums token by token and fork by fork; rows and forks repeat."""
+    vocabulary = pll.Vocabulary([(f"w{i}", 1000 // (i + 1)) for i in range(300)], [1] * pll.BUCKETS)
+    rng = np.random.default_rng(5)
+    ids = np.minimum(rng.zipf(1.3, 200), vocabulary.size - 1)
+    padded, at = np.concatenate(([0, 0], ids, [0, 0])), np.arange(2, 202)
+    network = pll.Network(vocabulary.size)
+    network.u += rng.normal(0, 0.5, network.u.shape).astype(np.float32)
+    network.v += rng.normal(0, 0.5, network.v.shape).astype(np.float32)
+    e, p, u, b, v = (x.astype(float) for x in (network.e, network.p, network.u, network.b, network.v))
+    to_e, to_p, to_u, to_b, to_v = (np.zeros_like(x) for x in (e, p, u, b, v))
+    seen, forked = Counter(), Counter()
+    for i in at:
+        around = [padded[i + s] for s in pll.SIDES]
+        h = np.tanh(sum(e[a] * p[k] for k, a in enumerate(around)))
+        g = np.exp(h @ u + b)
+        g /= g.sum()
+        g[vocabulary.of[padded[i]]] -= 1
+        to_h = u @ g
+        to_u += np.outer(h, g)
+        to_b += g
+        start = vocabulary.starts[padded[i]]
+        for fork, turn in zip(vocabulary.paths[start:], vocabulary.turns[start : start + vocabulary.lengths[padded[i]]]):
+            wrong = -turn / (1 + np.exp(turn * (h @ v[fork] + vocabulary.odds[fork])))
+            to_h = to_h + wrong * v[fork]
+            to_v[fork] += wrong * h
+            forked[fork] += 1
+        for k, a in enumerate(around):
+            to_e[a] += to_h * (1 - h * h) * p[k]
+            to_p[k] += to_h * (1 - h * h) * e[a]
+            seen[a] += 1
+    network.learn(padded, at, vocabulary)
+    n, rate = len(at), pll.RATE / len(at)
+    for fork, times in forked.items():
+        v[fork] -= rate * to_v[fork] * n / max(times, 8)
+    for a, times in seen.items():
+        e[a] -= np.clip(rate * to_e[a] * n / max(times, 8), -0.5, 0.5)
+    e[0] = 0
+    expected = (e, p - rate * to_p, u - 4 * rate * to_u, b - 4 * rate * to_b, v)
+    for got, x in zip((network.e, network.p, network.u, network.b, network.v), expected):
+        assert np.allclose(got, x, atol=1e-5)
+
+
+def test_only_unranked_pooled_words_are_joined(make, monkeypatch):
+    """Words whose counts all tasks have leave the join; the likelihoods are the same."""
+    monkeypatch.setattr(pll, "WORDS", 5)
+    monkeypatch.setattr(pll, "train", lambda texts, vocabulary: pll.Network(vocabulary.size))
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}." for _ in range(100))) for i in range(12)]
+    join, sent, found = pll.own_counts, [], []
+    monkeypatch.setattr(pll, "own_counts", lambda encoded, counts: sent.append(encoded.agg(F.sum(F.size("pooled"))).first()[0]) or join(encoded, counts))
+    for ranked in (0, 20, 10_000):
+        monkeypatch.setattr(pll, "RANKED", ranked)
+        scored = pll.score_documents(make(rows)).collect()
+        found.append({r.doc_id: pytest.approx((r.n_tokens, r.log_likelihood, r.unigram), rel=1e-6) for r in scored})
+    first = {r.doc_id: (r.n_tokens, r.log_likelihood, r.unigram) for r in scored}
+    assert found[0] == first and found[1] == first and sent[0] > sent[1] > sent[2] == 0
+
+
 def test_every_token_is_predicted_in_one_round(monkeypatch):
     vocabulary = pll.Vocabulary([(f"w{i}", 1000 // (i + 1)) for i in range(300)], [0] * pll.BUCKETS)
     rng = random.Random(6)
