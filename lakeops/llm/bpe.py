@@ -8,7 +8,8 @@ determinisation holds, as one state, every boundary that may still be extended:
 
     (the last emitted token, the bytes since)
 
-with the token that ends at each of these bytes. Tokens on which all boundaries agree are emitted at once,
+with the token that ends at each of these bytes; a step looks only at the boundaries from which a
+token may go on. Tokens on which all boundaries agree are emitted at once,
 so what is pending is bounded by the longest token. States and transitions are made when first
 needed and kept in a table of bounded size; afterwards a byte costs one lookup.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 import hashlib
 import re
 import struct
@@ -34,11 +36,14 @@ from lakeops.llm.common import named, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # What the tables of states, pairs and pieces may hold before they are emptied and begun anew.
-MAX_STATES = 300_000
-MAX_PAIRS = 400_000
+MAX_STATES = 500_000
+MAX_PAIRS = 800_000
 MAX_PIECES = 300_000
 MAX_CHUNKS = 900_000
 MAX_PIECE_BYTES = 64
+BYTES = [bytes((byte,)) for byte in range(256)]
+# No token, packed.
+NONE = b"\xff\xff\xff\xff"
 # Code points of a text that are split and encoded at a time, and ids that are decoded at a time.
 STEP = 1 << 16
 
@@ -63,26 +68,32 @@ class Transducer:
         if any(bytes([b]) not in self.rank for b in range(256)):
             raise ValueError("every single byte must be a token")
         self.size = list(map(len, tokens))
-        self.prefixes = {t[:k] for t in self.rank for k in range(1, len(t))}
+        self.packed = [struct.pack("<I", i) for i in range(len(tokens))]
+        # By bytes: twice their token and two, or nothing without one; and one if a longer token begins with them.
+        self.kinds = {t: 2 * i + 2 for t, i in self.rank.items()}
+        for prefix in {t[:k] for t in self.rank for k in range(1, len(t))}:
+            self.kinds[prefix] = self.kinds.get(prefix, 0) + 1
         self.parts: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        # By the left token times the number of tokens, and the right one.
+        self.pairs: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        # A state is known by (the last emitted token or -1, the bytes since). Its content also has
-        # the token that ends at each of these bytes.
-        self.states: dict[tuple[int, bytes], int] = {}
+        # A state is known by the last emitted token (packed, or -1) and the bytes since. Its content also
+        # has the token that ends at each of these bytes, and the boundaries from which a token may go on.
+        self.states: dict[bytes, int] = {}
         self.content: list[tuple] = []
-        # By state and byte: the next state and the tokens emitted.
-        self.moves: dict[int, tuple[int, tuple]] = {}
-        self.start = self.state(b"", (-1,))
+        # By state and byte: the next state and the tokens emitted, packed.
+        self.moves: dict[int, tuple[int, bytes]] = {}
+        # Rows of boundaries, each once.
+        self.rows: dict[tuple, tuple] = {}
+        self.start = self.state(NONE, (-1,), (0,))
 
-    def state(self, data: bytes, ending: tuple) -> int:
-        key = (ending[0], data)
+    def state(self, key: bytes, ending: tuple, live: tuple) -> int:
         number = self.states.get(key)
         if number is None:
             number = self.states[key] = len(self.content)
-            self.content.append((data, ending))
+            self.content.append((key, ending, self.rows.setdefault(live, live)))
         return number
 
     def split(self, token: int) -> tuple[int, int] | None:
@@ -109,18 +120,19 @@ class Transducer:
         return result
 
     def fits(self, left: int, right: int) -> bool:
-        """Whether the two tokens may stand side by side.
+        """Whether the two tokens may stand side by side; -1 on the left is the begin of a piece.
 
         The merges are undone from the last one on. What faces each other at the boundary at any
         time must not merge before one of the two went into its own token; of equal ranks the left
         merge comes first.
         """
-        known = self.pairs.get((left, right))
+        pair = left * len(self.tokens) + right
+        known = self.pairs.get(pair)
         if known is not None:
             return known
         tokens, rank = self.tokens, self.rank
-        x, y, limit, known = left, right, 1 << 40, True
-        while True:
+        x, y, limit, known = left, right, 1 << 40, self.split(right) is not None
+        while known and left >= 0:
             across = rank.get(tokens[x] + tokens[y])
             if across is not None and across < limit:
                 known = False
@@ -135,60 +147,68 @@ class Transducer:
                 limit, y = y + 1, self.split(y)[0]
         if len(self.pairs) > MAX_PAIRS:
             self.pairs.clear()
-        self.pairs[left, right] = known
+        self.pairs[pair] = known
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple]:
+    def step(self, state: int, byte: int) -> tuple[int, bytes]:
         """The next state and the tokens emitted on the way to it; made once, then looked up."""
-        rank, pairs = self.rank, self.pairs
-        data, ending = self.content[state]
-        data += bytes((byte,))
-        found = -1
-        for at, left in enumerate(ending):
-            token = rank.get(data[at:], -1)
-            if token >= 0:
-                fits = left < 0 or pairs.get((left, token))
+        kinds, pairs, many = self.kinds, self.pairs, len(self.tokens)
+        key, ending, live = self.content[state]
+        key += BYTES[byte]
+        data = key[4:]
+        found, still = -1, []
+        for at in live:
+            kind = kinds.get(data[at:] if at else data)
+            if kind is None:
+                continue
+            if kind & 1:
+                still.append(at)
+            if found < 0 and kind > 1:
+                left, token = ending[at], (kind >> 1) - 1
+                fits = pairs.get(left * many + token)
                 if fits is None:
                     fits = self.fits(left, token)
-                if fits and self.split(token) is not None:
+                if fits:
                     found = token
-                    break
         if found < 0:
             raise AssertionError("a prefix without an encoding")
         ending += (found,)
-        emitted = ()
-        if data not in self.prefixes:  # the oldest boundary is gone: emit what all others agree on
-            size, prefixes = self.size, self.prefixes
-            root = len(data)
-            for at in range(root - 1, 0, -1):
-                if data[at:] in prefixes:
-                    while at != root:
-                        if at > root:
-                            at -= size[ending[at]]
-                        else:
-                            root -= size[ending[root]]
+        emitted = b""
+        if still and not still[0]:
+            still.append(len(data))
+        else:  # the oldest boundary is gone: emit what all others agree on
+            size, root = self.size, len(data)
+            for at in reversed(still):
+                while at != root:
+                    if at > root:
+                        at -= size[ending[at]]
+                    else:
+                        root -= size[ending[root]]
+            still.append(len(data))
             if root:
-                emitted = tuple([ending[at] for at in self.path(ending, root)])
-                data, ending = data[root:], ending[root:]
-        move = self.moves[state << 8 | byte] = (self.state(data, ending), emitted)
+                emitted = self.path(ending, root)
+                ending, still = ending[root:], [at - root for at in still]
+                key = self.packed[ending[0]] + data[root:]
+        move = self.moves[state << 8 | byte] = (self.state(key, ending, tuple(still)), emitted)
         return move
 
-    def path(self, ending: tuple, at: int) -> list[int]:
-        """The boundaries on the way to ``at``, which comes last."""
-        out = []
+    def path(self, ending: tuple, at: int) -> bytes:
+        """The tokens on the way to the boundary ``at``, packed."""
+        out = b""
         while at > 0:
-            out.append(at)
-            at -= self.size[ending[at]]
-        return out[::-1]
+            token = ending[at]
+            out = self.packed[token] + out
+            at -= self.size[token]
+        return out
 
-    def encode(self, piece: bytes) -> list[int]:
-        """The ids of one piece. A piece that is a token is that token."""
+    def encode(self, piece: bytes) -> bytes:
+        """The ids of one piece, packed. A piece that is a token is that token."""
         token = self.rank.get(piece)
         if token is not None:
-            return [token]
+            return self.packed[token]
         if len(self.content) > MAX_STATES:
             self.reset()
-        out: list[int] = []
+        out: list[bytes] = []
         state, moves = self.start, self.moves
         for byte in piece:
             move = moves.get(state << 8 | byte)
@@ -200,10 +220,10 @@ class Transducer:
                 move = self.step(state, byte)
             state, emitted = move
             if emitted:
-                out.extend(emitted)
-        data, ending = self.content[state]
-        out.extend(ending[at] for at in self.path(ending, len(data)))
-        return out
+                out.append(emitted)
+        ending = self.content[state][1]
+        out.append(self.path(ending, len(ending) - 1))
+        return b"".join(out)
 
 
 class Encoder:
@@ -227,8 +247,7 @@ class Encoder:
 
     def piece(self, piece: str) -> bytes:
         data = piece.encode()
-        ids = self.transducer.encode(data)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.transducer.encode(data)
         if len(data) <= MAX_PIECE_BYTES:
             if len(self.known) >= MAX_PIECES:
                 self.known.clear()
@@ -250,7 +269,9 @@ class Encoder:
         return b"".join([*out, *part])
 
     def chunk(self, chunk: str) -> bytes:
-        packed = self.matches(" " + chunk)
+        # A blank and letters are one match.
+        plain = chunk.isascii() and chunk.isalpha()
+        packed = self.transducer.encode(b" " + chunk.encode()) if plain else self.matches(" " + chunk)
         if len(chunk) <= MAX_PIECE_BYTES:
             if len(self.after_blank) >= MAX_CHUNKS:
                 self.after_blank.clear()
@@ -386,20 +407,25 @@ def round_trip_column(text: Column, path: str | None = None, pattern: str | None
 
     def run(texts: "Iterator[pa.Array]") -> "Iterator[pa.Array]":  # noqa: F821
         encoder, decoder = shared.value.encoder(), Decoder(shared.value.tokens)
-        for batch in texts:
-            out = []
-            for text in batch:
-                packed = encoder.encode(text.as_py() or "")
-                stream, digest, chars = Utf8Stream(), hashlib.sha256(), 0
-                for chunk in decoder.chunks(packed):
-                    digest.update(chunk)
-                    chars += len(stream.feed(chunk))
-                chars += len(stream.feed(b"", last=True))
-                out.append(
-                    {"n_tokens": len(packed) // 4, "ids_sha256": hashlib.sha256(packed).hexdigest(),
-                     "decoded_sha256": digest.hexdigest(), "n_chars": chars}
-                )
-            yield pa.array(out, kind)
+        # The tables have no cycles, so nothing is looked for in them while they grow.
+        gc.disable()
+        try:
+            for batch in texts:
+                out = []
+                for text in batch:
+                    packed = encoder.encode(text.as_py() or "")
+                    stream, digest, chars = Utf8Stream(), hashlib.sha256(), 0
+                    for chunk in decoder.chunks(packed):
+                        digest.update(chunk)
+                        chars += len(stream.feed(chunk))
+                    chars += len(stream.feed(b"", last=True))
+                    out.append(
+                        {"n_tokens": len(packed) // 4, "ids_sha256": hashlib.sha256(packed).hexdigest(),
+                         "decoded_sha256": digest.hexdigest(), "n_chars": chars}
+                    )
+                yield pa.array(out, kind)
+        finally:
+            gc.enable()
 
     return _iterating(run, "n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars long")(text)
 

@@ -335,6 +335,23 @@ def test_tokens_are_the_librarys(tokens, library, tables, monkeypatch):
             assert decoder.text(ids) == text
 
 
+def test_steps_look_at_live_boundaries_only(tokens, library, monkeypatch):
+    """A step looks up bytes only from the boundaries from which a token may go on; letters need no pattern."""
+    encoder = bpe.Encoder(tokens, bpe.split_pattern())
+    transducer, rng = encoder.transducer, random.Random(8)
+    words = ["".join(rng.choice(["th", "is", "er", "an", "on", "qu", "x", "ing"]) for _ in range(rng.randrange(1, 8))) for _ in range(800)]
+    monkeypatch.setattr(encoder, "matches", lambda text: pytest.fail(text))
+    for word in words:
+        assert encoder.chunk(word) == struct.pack(f"<{len(ids := library.encode_ordinary(' ' + word))}I", *ids)
+    assert not encoder.known and len(encoder.after_blank) == len(set(words))
+    longer = {t[:k] for t in tokens for k in range(len(t))}
+    assert len(transducer.content) > 1000
+    for key, ending, live in transducer.content:
+        data = key[4:]
+        assert key[:4] == (struct.pack("<I", ending[0]) if ending[0] >= 0 else bpe.NONE)
+        assert len(ending) == len(data) + 1 and live == tuple(at for at in range(len(data) + 1) if data[at:] in longer)
+
+
 def test_stream_of_bytes_in_any_pieces():
     rng = random.Random(2)
     for _ in range(300):
