@@ -25,11 +25,12 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -46,7 +47,7 @@ SIDES = (-2, -1, 1, 2)
 ROUNDS = 2
 BATCH = 512
 # Tokens whose forks are in memory at a time.
-PIECE = 1 << 12
+PIECE = 1 << 11
 RATE = 0.3
 # Tokens that are scored together, and distinct words counted before they are sent on.
 STEP = 1 << 15
@@ -56,8 +57,9 @@ RANKED = 100_000
 # Runs of characters between white space that are remembered, and the longest of them.
 MAX_RUNS = 200_000
 MAX_RUN = 48
-# Code points of texts whose runs are counted before they are cut into words.
+# Code points of texts, and runs, whose distinct runs are found at a time.
 MAX_CHARS = 1 << 24
+MAX_FOUND = 1 << 20
 # Ids as they are stored: all are below WORDS + BUCKETS + 1.
 PACKED = np.dtype("<u2")
 
@@ -71,6 +73,47 @@ def words_of(run: str) -> list[str]:
     return [run] if run.isalnum() else TOKEN.findall(run)
 
 
+def runs_of(texts: pa.Array) -> Iterator[tuple[list[int], pa.DictionaryArray]]:
+    """The runs between white space of lower-cased texts, some texts at a time: how many each text has, and
+    all of them with their distinct ones as the dictionary."""
+    runs: list[str] = []
+    lengths: list[int] = []
+    size = 0
+    for text in texts:
+        text = text.as_py() or ""
+        found = text.lower().split()
+        runs += found
+        lengths.append(len(found))
+        size += len(text)
+        if size > MAX_CHARS or len(runs) > MAX_FOUND:
+            yield lengths, pa.array(runs, pa.large_string()).dictionary_encode()
+            runs, lengths, size = [], [], 0
+    if lengths:
+        yield lengths, pa.array(runs, pa.large_string()).dictionary_encode()
+
+
+def cut(runs: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of runs: the words (first those that are a run of their own), the run of each word, and
+    where the words of each run begin and how many they are."""
+    texts = runs.to_numpy(zero_copy_only=False).tolist()
+    whole = np.fromiter(map(str.isalnum, texts), bool, len(texts))
+    one, other = np.flatnonzero(whole), np.flatnonzero(~whole)
+    found = [TOKEN.findall(texts[i]) for i in other.tolist()]
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    words = pa.concat_arrays([runs.take(pa.array(one)), pa.array(list(chain.from_iterable(found)), runs.type)])
+    starts, sizes = np.empty(len(texts), np.int64), np.ones(len(texts), np.int64)
+    starts[one], starts[other] = np.arange(len(one)), len(one) + lengths.cumsum() - lengths
+    sizes[other] = lengths
+    return words, np.concatenate([one, other.repeat(lengths)]), starts, sizes
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of stretches, one stretch after the other."""
+    at = (starts - (lengths.cumsum() - lengths)).repeat(lengths)
+    at += np.arange(len(at))
+    return at
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """Occurrences of every word of all texts; tasks add up what they can hold first.
 
@@ -79,31 +122,26 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        runs: Counter = Counter()
-        size = 0
+        held: list[tuple[pa.Array, np.ndarray]] = []
 
-        def cut() -> None:
-            for run, n in runs.items():
-                for word in words_of(run):
-                    counts[word] = counts.get(word, 0) + n
-            runs.clear()
+        def added() -> tuple[pa.Array, np.ndarray]:
+            words = pa.concat_arrays([pa.array([], pa.large_string()), *(words for words, _ in held)]).dictionary_encode()
+            # Sums below 2 ** 53 are exact.
+            n = np.bincount(words.indices.to_numpy(), np.concatenate([np.zeros(0), *(n for _, n in held)]), len(words.dictionary))
+            return words.dictionary, n.astype(np.int64)
+
+        def sent(words: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"word": words.cast(pa.string()), "n": pa.array(n)})
 
         for batch in batches:
-            for text in batch.column(0):
-                text = text.as_py() or ""
-                runs.update(text.lower().split())
-                size += len(text)
-                if len(runs) > MAX_RUNS or size > MAX_CHARS:
-                    cut()
-                    size = 0
-                    if len(counts) > MAX_COUNTED:
-                        yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())})
-                        counts.clear()
-        cut()
-        yield pa.RecordBatch.from_pydict(
-            {"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())}
-        )
+            for _, runs in runs_of(batch.column(0)):
+                words, of, *_ = cut(runs.dictionary)
+                held.append((words, np.bincount(runs.indices.to_numpy(), minlength=len(runs.dictionary)).take(of)))
+                if sum(len(n) for _, n in held) > 2 * MAX_COUNTED:
+                    held[:] = [added()]
+                    if len(held[0][1]) > MAX_COUNTED:
+                        yield sent(*held.pop())
+        yield sent(*added())
 
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -170,8 +208,7 @@ class Vocabulary:
         counts."""
         lengths = self.lengths.take(ids)
         who = np.arange(len(ids)).repeat(lengths)
-        at = (self.starts.take(ids) - (lengths.cumsum() - lengths)).repeat(lengths)
-        at += np.arange(len(at))
+        at = spread(self.starts.take(ids), lengths)
         return who, self.paths.take(at), self.turns.take(at), self.turned.take(at)
 
     def without_words(self) -> Vocabulary:
@@ -214,6 +251,56 @@ class Vocabulary:
     def bucket(self, word: str) -> int:
         return self.first + zlib.crc32(word.encode()) % BUCKETS
 
+    @cached_property
+    def tables(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """What is ``known`` of words as tables: the words, their ids, the logs of the counts of pooled ones."""
+        packed, _, own = zip(*self.known.values()) if self.known else ((), (), ())
+        return pa.array(list(self.known), pa.large_string()), np.frombuffer(b"".join(packed), PACKED), np.array(own, float)
+
+    def found(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Of words: ids, the logs of the counts of pooled ones where they are known here, the numbers of the
+        others (-1: known), and the others by number."""
+        known, ids, own = self.tables
+        at = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()
+        here, other = at >= 0, np.flatnonzero(at < 0)
+        out, logs, numbers = np.empty(len(at), PACKED), np.zeros(len(at)), np.full(len(at), -1, np.int64)
+        out[here], logs[here] = ids.take(at[here]), own.take(at[here])
+        others = words.take(pa.array(other)).dictionary_encode()
+        numbers[other] = others.indices.to_numpy()
+        codes = np.fromiter(map(zlib.crc32, others.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)), np.int64, len(others.dictionary))
+        out[other] = (self.first + codes % BUCKETS).take(numbers[other])
+        return out, logs, numbers, others.dictionary
+
+    def encoded(self, lengths: list[int], runs: pa.DictionaryArray) -> pa.StructArray:
+        """What ``encode_column`` has for texts, whose runs are as ``runs_of`` has them."""
+        words, of, starts, sizes = cut(runs.dictionary)
+        ids, logs, numbers, others = self.found(words)
+        less = self.pooled.take(ids) + logs
+        plain = self.unigram.take(ids) + less
+        # Sums of distinct runs, then of texts.
+        rows = np.arange(len(lengths)).repeat(np.array(lengths, np.int64))
+        which = runs.indices.to_numpy()
+        total = lambda x: np.bincount(rows, np.bincount(of, x, len(sizes)).take(which), len(lengths)).astype(float)
+        less, plain = total(less), total(plain)
+        times = sizes.take(which)
+        at = spread(starts.take(which), times)
+        n_tokens = np.bincount(rows, times, len(lengths)).astype(np.int64)
+        ends = np.concatenate([[0], n_tokens.cumsum()])
+        ids = pa.Array.from_buffers(
+            pa.large_binary(), len(lengths), [None, pa.py_buffer(ends * PACKED.itemsize), pa.py_buffer(ids.take(at))]
+        )
+        numbers = numbers.take(at)
+        pooled = np.flatnonzero(numbers >= 0)
+        keys = np.searchsorted(ends, pooled, side="right") - 1
+        keys, times = np.unique(keys * max(len(others), 1) + numbers[pooled], return_counts=True)
+        rows, numbers = np.divmod(keys, max(len(others), 1))
+        ends = np.concatenate([[0], np.bincount(rows, minlength=len(lengths)).cumsum()])
+        pairs = pa.StructArray.from_arrays([others.take(pa.array(numbers)).cast(pa.string()), pa.array(times, pa.int64())], ["word", "n"])
+        return pa.StructArray.from_arrays(
+            [ids.cast(pa.binary()), pa.array(n_tokens), pa.array(less), pa.array(plain), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
+            ["ids", "n_tokens", "less", "unigram", "pooled"],
+        )
+
 
 def ids_of(column: pa.Array, vocabulary: Vocabulary, known: dict[str, tuple]) -> Iterator[np.ndarray]:
     """The ids of every text of a column, or of every row of ids that were packed before."""
@@ -294,8 +381,8 @@ class Network:
     def learn(self, padded: np.ndarray, at: np.ndarray, vocabulary: Vocabulary) -> None:
         """One gradient step."""
         n, rate = len(at), np.float32(RATE / len(at))
-        ids = padded.take(at)
-        around = padded.take(at[:, None] + np.array(SIDES))
+        ids = padded.take(at).astype(np.int64)
+        around = padded.take(at[:, None] + np.array(SIDES)).astype(np.int64)
         vectors = self.e.take(around, axis=0)
         h = np.tanh(np.einsum("nkd,kd->nd", vectors, self.p))
         g = self.exponents(h)
@@ -381,7 +468,7 @@ def _train_task(shared, round_: int, rounds: int):
         def steps() -> int:
             if not held:
                 return 0
-            padded = np.concatenate([none, *held])
+            padded = np.concatenate([none, *held]).astype(PACKED)
             at = np.flatnonzero(np.concatenate([never, *dealt]) == round_)
             at = at[np.argsort(at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
             for i in range(0, len(at), BATCH):
@@ -411,7 +498,7 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
     ranked = counts.orderBy(F.desc("n"), "word").limit(WORDS)
     top = [(r["word"], r["n"]) for r in ranked.collect()]
     # At most WORDS rows.
-    frequent = counts.sparkSession.createDataFrame([(w,) for w, _ in top], "word string")
+    frequent = counts.sparkSession.createDataFrame(pa.table({"word": pa.array([w for w, _ in top], pa.string())}))
     bucket = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(BUCKETS)).cast("int")
     rest = counts.join(F.broadcast(frequent), "word", "left_anti")
     others = np.zeros(BUCKETS)
@@ -452,31 +539,9 @@ def encode_column(text: Column, vocabulary: Vocabulary) -> Column:
 
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = shared.value
-        known: dict[str, tuple] = {}
         for batch in texts:
-            # The words of a text become an Arrow array at once; a batch may have a million of them.
-            ids_out, lengths, sums, words_out, times_out, ends = [], [], [], [], [], [0]
-            for text in batch:
-                packed, words, own = vocabulary.packed(text.as_py() or "", known)
-                packed = b"".join(packed)
-                ids = np.frombuffer(packed, PACKED)
-                pooled = Counter(chain.from_iterable(words))
-                less = float(vocabulary.pooled.take(ids).sum()) + sum(own)
-                ids_out.append(packed)
-                lengths.append(len(ids))
-                sums.append((less, float(vocabulary.unigram.take(ids).sum()) + less))
-                words_out.append(pa.array(list(pooled), pa.string()))
-                times_out.append(pa.array(list(pooled.values()), pa.int64()))
-                ends.append(ends[-1] + len(pooled))
-            pairs = pa.StructArray.from_arrays(
-                [pa.concat_arrays([pa.array([], pa.string()), *words_out]), pa.concat_arrays([pa.array([], pa.int64()), *times_out])],
-                ["word", "n"],
-            )
-            yield pa.StructArray.from_arrays(
-                [pa.array(ids_out, pa.binary()), pa.array(lengths, pa.int64()), pa.array([x for x, _ in sums], pa.float64()),
-                 pa.array([x for _, x in sums], pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
-                ["ids", "n_tokens", "less", "unigram", "pooled"],
-            )
+            none = vocabulary.encoded([], pa.array([], pa.large_string()).dictionary_encode())
+            yield pa.concat_arrays([none, *(vocabulary.encoded(*found) for found in runs_of(batch))])
 
     encode.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     form = "ids binary, n_tokens long, less double, unigram double, pooled array<struct<word: string, n: bigint>>"
