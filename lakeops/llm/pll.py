@@ -25,7 +25,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache, cached_property
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -49,6 +49,8 @@ BATCH = 512
 # Tokens whose forks are in memory at a time.
 PIECE = 1 << 11
 RATE = 0.3
+# Logits that may be above it, or as far below 0, are lowered before exp.
+MAX_EXPONENT = 60
 # Tokens that are scored together, and distinct words counted before they are sent on.
 STEP = 1 << 15
 MAX_COUNTED = 300_000
@@ -149,6 +151,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Vocabulary:
     """Ids of words: 0 is no word, then the frequent ones, then the buckets of all others."""
 
+    tables: tuple[pa.Array, np.ndarray, np.ndarray] | None = None
+
     def __init__(self, words: list[tuple[str, int]], others: list[int], pooled: list[tuple[str, int]] = ()):
         self.ids = {w: i for i, (w, _) in enumerate(words, 1)}
         self.first = len(words) + 1
@@ -211,10 +215,11 @@ class Vocabulary:
         at = spread(self.starts.take(ids), lengths)
         return who, self.paths.take(at), self.turns.take(at), self.turned.take(at)
 
-    def without_words(self) -> Vocabulary:
-        """For tasks that have ids only."""
+    def without_words(self, tables: bool = False) -> Vocabulary:
+        """For tasks that have ids only, or need words as ``tables`` only."""
         other = copy.copy(self)
         other.ids, other.known = {}, {}
+        other.tables = self.as_tables() if tables else None
         return other
 
     def encode(self, text: str, known: dict[str, tuple]) -> np.ndarray:
@@ -251,8 +256,7 @@ class Vocabulary:
     def bucket(self, word: str) -> int:
         return self.first + zlib.crc32(word.encode()) % BUCKETS
 
-    @cached_property
-    def tables(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    def as_tables(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """What is ``known`` of words as tables: the words, their ids, the logs of the counts of pooled ones."""
         packed, _, own = zip(*self.known.values()) if self.known else ((), (), ())
         return pa.array(list(self.known), pa.large_string()), np.frombuffer(b"".join(packed), PACKED), np.array(own, float)
@@ -260,7 +264,7 @@ class Vocabulary:
     def found(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         """Of words: ids, the logs of the counts of pooled ones where they are known here, the numbers of the
         others (-1: known), and the others by number."""
-        known, ids, own = self.tables
+        known, ids, own = self.tables or self.as_tables()
         at = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()
         here, other = at >= 0, np.flatnonzero(at < 0)
         out, logs, numbers = np.empty(len(at), PACKED), np.zeros(len(at)), np.full(len(at), -1, np.int64)
@@ -372,10 +376,12 @@ class Network:
         return who, fork, turn, hs, vs, turn * np.einsum("nd,nd->n", hs, vs) + odds
 
     def exponents(self, h: np.ndarray) -> np.ndarray:
-        """The logits of contexts, a class a row; the largest of a context is 0."""
+        """The logits of contexts, which are between -1 and 1, a class a row; where some could be too large
+        for exp, the largest of a context is 0."""
         logits = self.u.T @ h.T
         logits += self.b[:, None]
-        logits -= logits.max(axis=0)
+        if not (np.abs(self.u).sum(axis=0) + np.abs(self.b)).max() < MAX_EXPONENT:
+            logits -= logits.max(axis=0)
         return logits
 
     def learn(self, padded: np.ndarray, at: np.ndarray, vocabulary: Vocabulary) -> None:
@@ -383,8 +389,10 @@ class Network:
         n, rate = len(at), np.float32(RATE / len(at))
         ids = padded.take(at).astype(np.int64)
         around = padded.take(at[:, None] + np.array(SIDES)).astype(np.int64)
-        vectors = self.e.take(around, axis=0)
-        h = np.tanh(np.einsum("nkd,kd->nd", vectors, self.p))
+        vectors = self.e.take(around, axis=0).reshape(n, -1)
+        # The weights of the places as a matrix, so that sums over places are products.
+        weights = (np.eye(DIMENSIONS, dtype=np.float32) * self.p[:, None]).reshape(-1, DIMENSIONS)
+        h = np.tanh(vectors @ weights)
         g = self.exponents(h)
         np.exp(g, out=g)
         g *= rate / g.sum(axis=0)
@@ -402,10 +410,9 @@ class Network:
             _add(self.v, fork, hs)
         back = to_h * (1 - h * h)
         self.u -= 4 * (g @ h).T
-        self.b -= 4 * g.sum(axis=1)
-        to_e = np.concatenate([back] * len(SIDES), axis=1)
-        to_e *= self.p.ravel()
-        self.p -= np.einsum("nd,nkd->kd", back, vectors)
+        self.b -= 4 * (g @ np.ones(n, np.float32))
+        to_e = back @ weights.T
+        self.p -= (vectors.T @ back).reshape(-1, DIMENSIONS, DIMENSIONS).diagonal(axis1=1, axis2=2)
         counts = np.bincount(around.reshape(-1))
         places = counts.astype(bool).nonzero()[0]
         rank = np.empty(len(counts), np.int64)
@@ -535,7 +542,7 @@ def encode_column(text: Column, vocabulary: Vocabulary) -> Column:
     their buckets, but for the logs of the counts of ``pooled``), unigram (the log-probability without contexts,
     with ``less``), pooled (words that share buckets and are not ranked, and how often). Null and empty texts
     have no tokens."""
-    shared = SparkSession.getActiveSession().sparkContext.broadcast(vocabulary)
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(vocabulary.without_words(tables=True))
 
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = shared.value

@@ -202,6 +202,32 @@ def test_runs_between_white_space_are_cut_into_words_once(make, monkeypatch):
         assert all(encoded(vocabulary, t, known) == encoded(vocabulary, t, {}) and len(known) <= runs for _, t in rows)
 
 
+def test_texts_are_encoded_many_at_a_time(make, monkeypatch):
+    """Distinct runs of many texts are cut once; each text gets what it gets by itself."""
+    odd = ["It's (a) it's\x1c\x85b_c\u3000E! Straße\tİ ²½ " * 40, "漢字かな。" * 30, "_x_ x_ -- ...a" * 20, " \n", "", None, "x" * 90 + " it's", "s s. a"]
+    texts = pa.array([*odd, *odd], pa.string())
+    vocabulary = pll.Vocabulary([("it", 9), ("a", 5)], [1] * pll.BUCKETS, [("s", 4)])
+    pooled = lambda t: Counter(w for w in pll.tokens_of(t or "") if w not in ("it", "a", "s"))
+    for chars, found in ((pll.MAX_CHARS, pll.MAX_FOUND), (30, pll.MAX_FOUND), (pll.MAX_CHARS, 0)):
+        monkeypatch.setattr(pll, "MAX_CHARS", chars)
+        monkeypatch.setattr(pll, "MAX_FOUND", found)
+        pieces = list(pll.runs_of(texts))
+        assert len(pieces) > 1 or (chars > 30 and found)
+        assert all(len(set(runs.dictionary.to_pylist())) == len(runs.dictionary) for _, runs in pieces)
+        for v in (vocabulary, vocabulary.without_words(tables=True)):
+            rows = [row for piece in pieces for row in v.encoded(*piece).to_pylist()]
+            assert len(rows) == len(texts)
+            for row, text in zip(rows, [*odd, *odd]):
+                packed, _, own = vocabulary.packed(text or "", {})
+                ids = np.frombuffer(b"".join(packed), pll.PACKED)
+                less = vocabulary.pooled[ids].sum() + sum(own)
+                assert (row["ids"], row["n_tokens"]) == (b"".join(packed), len(ids))
+                assert np.allclose([row["less"], row["unigram"]], [less, vocabulary.unigram[ids].sum() + less])
+                assert {p["word"]: p["n"] for p in row["pooled"]} == pooled(text)
+    rows = make([(i, t) for i, t in enumerate(texts.to_pylist())]).select(pll.encode_column(F.col("text"), vocabulary).alias("s")).collect()
+    assert sorted(r.s.n_tokens for r in rows) == sorted(len(pll.tokens_of(t or "")) for t in texts.to_pylist())
+
+
 def test_steps_equal_sums_row_by_row():
     """One gradient step beside sums token by token and fork by fork; rows and forks repeat."""
     vocabulary = pll.Vocabulary([(f"w{i}", 1000 // (i + 1)) for i in range(300)], [1] * pll.BUCKETS)
