@@ -26,7 +26,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +37,7 @@ from pyspark.sql.types import BinaryType
 from lakeops.llm.common import id_and_text, stored, table
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
+TOKEN_OR_BREAK = re.compile(TOKEN.pattern + r"|\n")
 WORDS = 8192
 BUCKETS = 512
 CLASSES = 64
@@ -49,8 +49,6 @@ BATCH = 512
 # Tokens whose forks are in memory at a time.
 PIECE = 1 << 11
 RATE = 0.3
-# Logits that may be above it, or as far below 0, are lowered before exp.
-MAX_EXPONENT = 60
 # Tokens that are scored together, and distinct words counted before they are sent on.
 STEP = 1 << 15
 MAX_COUNTED = 300_000
@@ -78,20 +76,30 @@ def words_of(run: str) -> list[str]:
 def runs_of(texts: pa.Array) -> Iterator[tuple[list[int], pa.DictionaryArray]]:
     """The runs between white space of lower-cased texts, some texts at a time: how many each text has, and
     all of them with their distinct ones as the dictionary."""
-    runs: list[str] = []
+    lines: list[str] = []
     lengths: list[int] = []
-    size = 0
+    size = found = 0
     for text in texts:
         text = text.as_py() or ""
-        found = text.lower().split()
-        runs += found
-        lengths.append(len(found))
+        runs = text.lower().split()
+        lines += ["\n".join(runs)] if runs else []
+        lengths.append(len(runs))
         size += len(text)
-        if size > MAX_CHARS or len(runs) > MAX_FOUND:
-            yield lengths, pa.array(runs, pa.large_string()).dictionary_encode()
-            runs, lengths, size = [], [], 0
+        found += len(runs)
+        if size > MAX_CHARS or found > MAX_FOUND:
+            yield lengths, distinct("\n".join([*lines, ""]))
+            lines, lengths, size, found = [], [], 0, 0
     if lengths:
-        yield lengths, pa.array(runs, pa.large_string()).dictionary_encode()
+        yield lengths, distinct("\n".join([*lines, ""]))
+
+
+def distinct(lines: str) -> pa.DictionaryArray:
+    """Lines, each with a line break behind it, with their distinct ones as the dictionary."""
+    data = np.frombuffer(lines.encode(), np.uint8)
+    ends = np.concatenate([[0], np.flatnonzero(data == ord("\n")) + 1])
+    buffers = [None, pa.py_buffer(ends), pa.py_buffer(data)]
+    found = pa.Array.from_buffers(pa.large_string(), len(ends) - 1, buffers).dictionary_encode()
+    return pa.DictionaryArray.from_arrays(found.indices, pc.utf8_slice_codeunits(found.dictionary, 0, -1))
 
 
 def cut(runs: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,9 +108,11 @@ def cut(runs: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     texts = runs.to_numpy(zero_copy_only=False).tolist()
     whole = np.fromiter(map(str.isalnum, texts), bool, len(texts))
     one, other = np.flatnonzero(whole), np.flatnonzero(~whole)
-    found = [TOKEN.findall(texts[i]) for i in other.tolist()]
-    lengths = np.fromiter(map(len, found), np.int64, len(found))
-    words = pa.concat_arrays([runs.take(pa.array(one)), pa.array(list(chain.from_iterable(found)), runs.type)])
+    # No run has a line break in it, so all can be cut as one text.
+    found = pa.array(TOKEN_OR_BREAK.findall("".join([texts[i] + "\n" for i in other.tolist()])), runs.type)
+    breaks = pc.equal(found, pa.scalar("\n", runs.type))
+    lengths = np.diff(np.flatnonzero(breaks.to_numpy(zero_copy_only=False)), prepend=-1) - 1
+    words = pa.concat_arrays([runs.take(pa.array(one)), found.filter(pc.invert(breaks))])
     starts, sizes = np.empty(len(texts), np.int64), np.ones(len(texts), np.int64)
     starts[one], starts[other] = np.arange(len(one)), len(one) + lengths.cumsum() - lengths
     sizes[other] = lengths
@@ -368,37 +378,33 @@ class Network:
         logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
         return around, h, logits
 
-    def inside(self, h: np.ndarray, ids: np.ndarray, vocabulary: Vocabulary):
-        """Forks on the ways to words of contexts ``h``: which context, which fork and turn, both their
-        vectors, log odds of the turn."""
-        who, fork, turn, odds = vocabulary.forks(ids)
+    def inside(self, h: np.ndarray, ways: tuple[np.ndarray, ...]):
+        """Forks on the ways to words of contexts ``h``, as ``Vocabulary.forks`` has them: which context, which
+        fork and turn, both their vectors, log odds of the turn."""
+        who, fork, turn, odds = ways
         hs, vs = h.take(who, axis=0), self.v.take(fork, axis=0)
         return who, fork, turn, hs, vs, turn * np.einsum("nd,nd->n", hs, vs) + odds
 
     def exponents(self, h: np.ndarray) -> np.ndarray:
-        """The logits of contexts, which are between -1 and 1, a class a row; where some could be too large
-        for exp, the largest of a context is 0."""
+        """The logits of contexts, a class a row; the largest of a context is 0."""
         logits = self.u.T @ h.T
         logits += self.b[:, None]
-        if not (np.abs(self.u).sum(axis=0) + np.abs(self.b)).max() < MAX_EXPONENT:
-            logits -= logits.max(axis=0)
+        logits -= logits.max(axis=0)
         return logits
 
-    def learn(self, padded: np.ndarray, at: np.ndarray, vocabulary: Vocabulary) -> None:
-        """One gradient step."""
+    def learn(self, padded: np.ndarray, at: np.ndarray, vocabulary: Vocabulary, ways: tuple | None = None) -> None:
+        """One gradient step, with the forks on the ways to its words if they are known."""
         n, rate = len(at), np.float32(RATE / len(at))
         ids = padded.take(at).astype(np.int64)
         around = padded.take(at[:, None] + np.array(SIDES)).astype(np.int64)
-        vectors = self.e.take(around, axis=0).reshape(n, -1)
-        # The weights of the places as a matrix, so that sums over places are products.
-        weights = (np.eye(DIMENSIONS, dtype=np.float32) * self.p[:, None]).reshape(-1, DIMENSIONS)
-        h = np.tanh(vectors @ weights)
+        vectors = self.e.take(around, axis=0)
+        h = np.tanh(np.einsum("nkd,kd->nd", vectors, self.p))
         g = self.exponents(h)
         np.exp(g, out=g)
         g *= rate / g.sum(axis=0)
         g[vocabulary.of.take(ids), np.arange(n)] -= rate
         to_h = g.T @ self.u.T
-        who, fork, turn, hs, vs, odds = self.inside(h, ids, vocabulary)
+        who, fork, turn, hs, vs, odds = self.inside(h, ways or vocabulary.forks(ids))
         if len(who):
             np.minimum(odds, 30, out=odds)
             np.exp(odds, out=odds)
@@ -410,9 +416,10 @@ class Network:
             _add(self.v, fork, hs)
         back = to_h * (1 - h * h)
         self.u -= 4 * (g @ h).T
-        self.b -= 4 * (g @ np.ones(n, np.float32))
-        to_e = back @ weights.T
-        self.p -= (vectors.T @ back).reshape(-1, DIMENSIONS, DIMENSIONS).diagonal(axis1=1, axis2=2)
+        self.b -= 4 * g.sum(axis=1)
+        to_e = np.concatenate([back] * len(SIDES), axis=1)
+        to_e *= self.p.ravel()
+        self.p -= np.einsum("nd,nkd->kd", back, vectors)
         counts = np.bincount(around.reshape(-1))
         places = counts.astype(bool).nonzero()[0]
         rank = np.empty(len(counts), np.int64)
@@ -438,7 +445,7 @@ class Network:
             logits = self.exponents(np.tanh(h, out=h))
             chosen = logits[vocabulary.of.take(own), np.arange(stop - start)]
             norm = np.log(np.exp(logits, out=logits).sum(axis=0))
-            who, *_, odds = self.inside(h, own, vocabulary)
+            who, *_, odds = self.inside(h, vocabulary.forks(own))
             # log(1 + exp(-odds)), whose exponent never grows large.
             costs = np.log(1 + np.exp(-np.abs(odds))) - np.minimum(odds, 0)
             out[start:stop] = np.where(own > 0, chosen - norm - np.bincount(who, costs, len(own)), 0)
@@ -478,8 +485,13 @@ def _train_task(shared, round_: int, rounds: int):
             padded = np.concatenate([none, *held]).astype(PACKED)
             at = np.flatnonzero(np.concatenate([never, *dealt]) == round_)
             at = at[np.argsort(at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
-            for i in range(0, len(at), BATCH):
-                network.learn(padded, at[i : i + BATCH], vocabulary)
+            for start in range(0, len(at), PIECE):
+                piece = at[start : start + PIECE]
+                who, *ways = vocabulary.forks(padded.take(piece))
+                starts = range(0, len(piece), BATCH)
+                ends = who.searchsorted([*starts, len(piece)]).tolist()
+                for i, a, b in zip(starts, ends, ends[1:]):
+                    network.learn(padded, piece[i : i + BATCH], vocabulary, (who[a:b] - i, *(x[a:b] for x in ways)))
             return len(at)
 
         for batch in batches:
